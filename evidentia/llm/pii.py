@@ -216,7 +216,8 @@ def decide(found: Column, model: dict) -> Column:
         z = F.element_at(F.create_map(*(x for k, b in model["bias"].items() for x in (F.lit(k), F.lit(b)))), c["kind"])
         for (n, v), w in model["weight"].items():
             z = z + F.when(c[n] == v, F.lit(w)).otherwise(F.lit(0.0))
-        return z > math.log(SURE / (1 - SURE))
+        # what fails a base pattern's own check teaches the model, but is never added
+        return (c["pattern"] >= 0) & (z > math.log(SURE / (1 - SURE)))
 
     def both(split: Column) -> Column:
         free = lambda c: ~F.exists(split["base"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
