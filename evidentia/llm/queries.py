@@ -59,6 +59,12 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
