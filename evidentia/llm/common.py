@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch.  Texts may be long, so batches are kept small.
 BATCH_ROWS = 500
+#: Rows of narrow tables that one file holds.
+FILE_ROWS = 100_000
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -34,9 +36,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it back."""
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write a table to the shared folder and read it back.
+
+    rows: where a bound is known, it is written in parts of a fair size rather than by the shuffle's."""
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def _to_root(parents: DataFrame) -> DataFrame:
-    """(v, p) with p the root of v, by pointer doubling.  Roots have no row."""
+def _to_root(parents: DataFrame, rows: int) -> DataFrame:
+    """(v, p) with p the root of v, by pointer doubling.  Roots have no row; there are at most that many."""
     while True:
         up = parents.select(F.col("v").alias("p"), F.col("p").alias("pp"))
         jumped = parents.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved"))
-        jumped = materialise(jumped, "hooks")
+        jumped = materialise(jumped, "hooks", rows)
         done = jumped.filter("moved").isEmpty()
         parents = jumped.select("v", "p")
         if done:
@@ -30,18 +30,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, root): every vertex with an edge to another vertex, and the smallest vertex of its component."""
     left = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     found: DataFrame | None = None
-    while not left.isEmpty():
-        parents = _to_root(left.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p")))
+    first = n = left.count()
+    while n:
+        parents = _to_root(left.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p")), n)
         if found is None:
             found = parents
         else:
             # vertices of earlier rounds follow their root; roots that hooked now join them
             up = parents.select(F.col("v").alias("p"), F.col("p").alias("pp"))
             found = found.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")).unionByName(parents)
-            found = materialise(found, "found")
+            found = materialise(found, "found", first)
         pa, pb = parents.select(F.col("v").alias("a"), F.col("p").alias("ra")), parents.select(F.col("v").alias("b"), F.col("p").alias("rb"))
         moved = left.join(pa, "a", "left").join(pb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b")
-        left = materialise(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        left = materialise(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", n)
+        n = left.count()
     if found is None:
         return left.select(F.col("a").alias("v"), F.col("b").alias("root"))
     roots = found.select(F.col("p").alias("v"), F.col("p").alias("root")).distinct()

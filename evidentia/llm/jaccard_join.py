@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, materialise, utf8
 from .components import components
+from .words import window_sets
 
 WORDS = 5
 #: Similarity of at least SIMILAR / 100.
@@ -54,20 +55,6 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 LOWEST = -(1 << 63)
 
 
-def hashed_set(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's n-grams of words."""
-    found = text.lower().split()  # of bytes: A-Z and ASCII white space only
-    if not found:
-        return np.empty(0, np.uint64)
-    a = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    size = min(words, len(a))
-    z = np.full(len(a) - size + 1, size, np.uint64)
-    for k in range(size):
-        z = (z ^ a[k : len(a) - size + 1 + k]) * MIX
-        z ^= z >> np.uint64(29)
-    return np.unique(z)
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -81,10 +68,18 @@ def _profile(words: int, seed: int):
         names = ["key", "n", "sid", "check", "chunk", "sketch"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
+        new: list[np.ndarray] = []
+
+        def count() -> None:
+            nonlocal counts
+            if new:
+                slots = (np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                counts += np.bincount(slots, minlength=len(counts)).astype(np.uint32)
+                new.clear()
+
         for batch in batches:
-            ns, sids, checks, new = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = hashed_set(text, words)
+            ns, sids, checks = [], [], []
+            for s in window_sets((t.lower() for t in batch.column(1).to_pylist()), words):
                 sid = _set_id(s, seed)
                 ns.append(len(s))
                 sids.append(sid if len(s) else None)
@@ -92,12 +87,13 @@ def _profile(words: int, seed: int):
                 if sid not in seen and len(s):
                     seen.add(sid)
                     new.append(s)
-            if new:
-                np.add.at(counts, (np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            if sum(map(len, new)) > 4_000_000:
+                count()
             if len(seen) > 1_000_000:
                 seen.clear()
             nothing = [pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((ns, sids, checks), kinds[1:4], strict=True)), *nothing], names)
+        count()
         if counts.any():
             pack = zstandard.ZstdCompressor(level=1).compress
             for k, part in enumerate(counts.reshape(CHUNKS, -1)):
@@ -157,8 +153,7 @@ def _index(words: int, seed: int, sent, floor: int, partitions: int, similar: in
                 yield pa.RecordBatch.from_arrays([pa.array(p[cuts[lo : lo + 256]], pa.int32()), pa.array((ends - cuts)[lo : lo + 256], pa.int32()), pa.array(blobs, pa.binary())], ["p", "size", "postings"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = hashed_set(text, words)
+            for s in window_sets((t.lower() for t in batch.column(0).to_pylist()), words):
                 sid = _set_id(s, seed)
                 if not len(s) or sid in seen:
                     continue
@@ -257,8 +252,8 @@ def _verify(words: int, seed: int, similar: int):
         at, leader = None, None
         for batch in batches:
             a, b = [], []
-            for lead, part, member, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                s = hashed_set(text, words)
+            sets = window_sets((t.lower() for t in batch.column(3).to_pylist()), words)
+            for lead, part, member, s in zip(*(batch.column(k).to_pylist() for k in range(3)), sets, strict=True):
                 if _set_id(s, seed) != (lead if member is None else member):
                     continue  # another text under the same document id
                 if member is None:
@@ -308,22 +303,22 @@ class _Join:
         self.pairs = found.filter(F.col("list").isNull()).select("a", "b").distinct()
         self.lists = materialise(found.filter(F.col("list").isNotNull()).select("list", F.col("a").alias("sid"), "n").distinct(), "lists")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are links.  The first of a pair leads; a leader with many is repeated by parts."""
+    def verify(self, pairs: DataFrame, n: int) -> DataFrame:
+        """Of n pairs, those that are links.  The first of a pair leads; a leader with many is repeated by parts."""
         parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_PART).cast("int").alias("parts"))
         members = pairs.join(parts, "a").select(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("member"))
         leaders = parts.select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("member"))
         asked = members.unionByName(leaders).withColumn("sid", F.coalesce("member", "lead"))
-        asked = materialise(asked.join(self.sets.select("sid", "key"), "sid").select("key", "lead", "part", "member"), "asked")
-        if asked.count() <= BROADCAST_ROWS:  # the size is known here
+        asked = materialise(asked.join(self.sets.select("sid", "key"), "sid").select("key", "lead", "part", "member"), "asked", rows=2 * n)
+        if 2 * n <= BROADCAST_ROWS:  # a pair asks for two texts at most, and for its leader's again by parts
             asked = F.broadcast(asked)
         texts = self.rows.join(asked, "key").select("lead", "part", "member", "text")
         dealt = texts.repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("member").asc_nulls_first())
-        return materialise(arrow_map(dealt, _verify(self.words, self.seed, self.similar), "a long, b long"), "links").distinct()
+        return materialise(arrow_map(dealt, _verify(self.words, self.seed, self.similar), "a long, b long").distinct(), "links", rows=n)
 
     def links(self) -> DataFrame:
         tried = materialise(self.pairs, "pairs")
-        links = self.verify(tried)
+        links = self.verify(tried, tried.count())
         final = False
         while True:
             self.labels = components(links)
@@ -344,15 +339,15 @@ class _Join:
             close = F.expr(f"100 * least(n1, n2) >= {self.similar} * greatest(n1, n2)")
             more = more.filter(close).select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")).distinct()
             more = materialise(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-            if more.isEmpty():
+            n = more.count()
+            if not n:
                 if final:
                     return links
                 final = True
                 continue
-            new = self.verify(more)
+            new = self.verify(more, n)
             tried = tried.unionByName(more)
-            if not new.isEmpty():
-                links = materialise(links.unionByName(new), "links")
+            links = links.unionByName(new)
             if final:
                 # pairs of what is one component by now were only spared, not lost
                 self.labels = components(links)
