@@ -41,8 +41,11 @@ from .words import window_sets
 WORDS = 5
 #: Similarity of at least SIMILAR / 100.
 SIMILAR = 75
-SKETCH_BITS = 24
+SKETCH_BITS = 25
 CHUNKS = 64
+CELLS = (1 << SKETCH_BITS) // CHUNKS
+#: N-grams that a task counts together.
+SKETCH_RUN = 4_000_000
 #: Postings of one index partition, on average; and how many of one n-gram stay together.
 PARTITION_POSTINGS, LIST_POSTINGS = 1_000_000, 100_000
 #: Lists up to this length give all their pairs at once.
@@ -50,7 +53,7 @@ SHORT = 8
 #: Candidates that share a leader go to tasks in parts of this many.
 LEADER_PART = 256
 #: Rows up to which the verifier's assignments are sent to the texts instead of texts to them.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOWEST = -(1 << 63)
 
@@ -67,15 +70,19 @@ def _profile(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "n", "sid", "check", "chunk", "sketch"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-        counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
+        seen: set[int] = set()
         new: list[np.ndarray] = []
 
-        def count() -> None:
-            nonlocal counts
-            if new:
-                slots = (np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                counts += np.bincount(slots, minlength=len(counts)).astype(np.uint32)
-                new.clear()
+        def counted() -> Iterator[pa.RecordBatch]:
+            """The cells that n-grams fell into, by chunk: distances between them and their counts."""
+            pack = zstandard.ZstdCompressor(level=1).compress
+            cells, counts = np.unique((np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+            new.clear()
+            cuts = np.searchsorted(cells, np.arange(CHUNKS + 1, dtype=np.int64) * CELLS)
+            for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if hi > lo:
+                    blob = pack(np.diff(cells[lo:hi], prepend=np.uint32(k * CELLS)).tobytes() + counts[lo:hi].astype(np.uint32).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, k, blob), kinds, strict=True)], names)
 
         for batch in batches:
             ns, sids, checks = [], [], []
@@ -87,18 +94,14 @@ def _profile(words: int, seed: int):
                 if sid not in seen and len(s):
                     seen.add(sid)
                     new.append(s)
-            if sum(map(len, new)) > 4_000_000:
-                count()
             if len(seen) > 1_000_000:
                 seen.clear()
             nothing = [pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((ns, sids, checks), kinds[1:4], strict=True)), *nothing], names)
-        count()
-        if counts.any():
-            pack = zstandard.ZstdCompressor(level=1).compress
-            for k, part in enumerate(counts.reshape(CHUNKS, -1)):
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, k, pack(part.tobytes())), kinds, strict=True)], names)
+            if sum(map(len, new)) > SKETCH_RUN:
+                yield from counted()
+        if new:
+            yield from counted()
 
     return run
 
@@ -108,18 +111,20 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(unpack(blob), np.uint32)
-            total[k] = total.get(k, 0) + part.astype(np.uint64)
+            gaps, counts = np.frombuffer(unpack(blob), np.uint32).reshape(2, -1)
+            if k not in total:
+                total[k] = np.zeros(CELLS, np.uint64)
+            total[k][np.cumsum(gaps, dtype=np.int64)] += counts
     for k, part in total.items():
-        level = np.frexp(part.astype(np.float64))[1].astype(np.uint8)  # 0, or 1 + floor(log2)
+        level = np.where(part > 0, 1 + np.rint(4 * np.log2(np.maximum(part, 1).astype(np.float64))), 0).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "levels"])
 
 
 def _ordered(s: np.ndarray, levels: np.ndarray, floor: int) -> np.ndarray:
-    """The set in the common order: by the sketch's count where it stands out, then by hash."""
+    """The set in the common order: by the sketch's count where it stands out (8 bits), then by hash."""
     level = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     common = np.where(level > floor, level - floor, 0).astype(np.uint64)
-    return np.sort(common << np.uint64(58) | (s * MIX) >> np.uint64(6))
+    return np.sort(common << np.uint64(56) | (s * MIX) >> np.uint64(8))
 
 
 def _need(n: np.ndarray | int, m: np.ndarray | int, similar: int):
@@ -135,21 +140,21 @@ def _index(words: int, seed: int, sent, floor: int, partitions: int, similar: in
         postings = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            token, pos, sid, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            token, pos, sid, n, central = (np.concatenate(c) for c in zip(*held, strict=True))
             # an n-gram that is common by the sketch is dealt in parts, by set
-            level = (token >> np.uint64(58)).astype(np.int64)
-            bound = np.ldexp(1.0, np.where(level > 0, level + floor, 0))
+            level = (token >> np.uint64(56)).astype(np.int64)
+            bound = np.exp2(np.where(level > 0, (level + floor) / 4, 0))
             parts = np.maximum(1, np.ceil(bound / LIST_POSTINGS)).astype(np.uint64)
             mixed = (token ^ (token >> np.uint64(31))) * MIX
             part = sid.view(np.uint64) % parts
             p = (((mixed + part * MIX) >> np.uint64(20)) % np.uint64(partitions)).astype(np.int64)
             order = np.lexsort((sid, p))
             # within a partition 32 bits tell n-grams apart; if they don't, lists only grow
-            token, pos, sid, n, p, split = mixed.astype(np.uint32)[order], pos[order], sid[order], n[order], p[order], (parts > 1)[order]
+            token, pos, sid, n, central, split, p = (x[order] for x in (mixed.astype(np.uint32), pos, sid, n, central, parts > 1, p))
             cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
             ends = np.r_[cuts[1:], len(p)]
             for lo in range(0, len(cuts), 256):
-                blobs = [pack(b"".join(x[s:e].tobytes() for x in (token, sid, n, pos, split))) for s, e in zip(cuts[lo : lo + 256], ends[lo : lo + 256], strict=True)]
+                blobs = [pack(b"".join(x[s:e].tobytes() for x in (token, sid, n, pos, central, split))) for s, e in zip(cuts[lo : lo + 256], ends[lo : lo + 256], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(p[cuts[lo : lo + 256]], pa.int32()), pa.array((ends - cuts)[lo : lo + 256], pa.int32()), pa.array(blobs, pa.binary())], ["p", "size", "postings"])
 
         for batch in batches:
@@ -159,9 +164,12 @@ def _index(words: int, seed: int, sent, floor: int, partitions: int, similar: in
                     continue
                 seen.add(sid)
                 n = len(s)
-                first = _ordered(s, levels, floor)[: n - -(-similar * n // 100) + 1]
+                ordered = _ordered(s, levels, floor)
+                first = ordered[: n - -(-similar * n // 100) + 1]
                 k = len(first)
-                held.append((first, np.arange(k, dtype=np.uint32), np.full(k, sid, np.int64), np.full(k, n, np.uint32)))
+                # how much of the set others have too: the original of many variants leads them
+                central = 255 * int((ordered >> np.uint64(56) > 0).sum()) // n
+                held.append((first, np.arange(k, dtype=np.uint32), np.full(k, sid, np.int64), np.full(k, n, np.uint32), np.full(k, central, np.uint8)))
                 postings += k
             if postings > 600_000:
                 yield from flushed()
@@ -178,20 +186,20 @@ def _pairs(similar: int):
     """Index lists to candidate pairs; members of long lists also as (list, set, size)."""
 
     def lists(blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[np.ndarray]] = [[], [], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
         unpack = zstandard.ZstdDecompressor().decompress
         for size, blob in blobs:
             raw, at = unpack(blob), 0
-            for column, kind in zip(columns, ("<u4", "<i8", "<u4", "<u4", "?"), strict=True):
+            for column, kind in zip(columns, ("<u4", "<i8", "<u4", "<u4", "u1", "?"), strict=True):
                 column.append(np.frombuffer(raw, kind, size, at))
                 at += size * np.dtype(kind).itemsize
-        token, sid, n, pos, split = (np.concatenate(c) for c in columns)
+        token, sid, n, pos, central, split = (np.concatenate(c) for c in columns)
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         order = np.lexsort((sid, n, token))
-        token, sid, n, pos, split = (x[order] for x in (token, sid, n, pos, split))
+        token, sid, n, pos, central, split = (x[order] for x in (token, sid, n, pos, central, split))
         # the same set from several tasks
         fresh = np.r_[True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])]
-        token, sid, n, pos, split = (x[fresh] for x in (token, sid, n, pos, split))
+        token, sid, n, pos, central, split = (x[fresh] for x in (token, sid, n, pos, central, split))
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         sizes = np.diff(np.r_[starts, len(token)])
         # the smaller set of a linked pair shares one of its first n - need(n, n) + 1
@@ -210,27 +218,27 @@ def _pairs(similar: int):
             if len(of):
                 i = np.repeat(of, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 keep(i, i + gap)
-        groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        long = np.repeat(sizes > SHORT, sizes) | split  # parts of one list meet again later
         for s, k in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
             span = np.arange(s, s + k)
-            lead = span[np.argmin(sid[span])]
+            lead = span[np.lexsort((sid[span], -central[span].astype(np.int64)))[0]]
             # sizes are in order: the blocks that can't reach the leader's size are skipped
             lo, hi = np.searchsorted(n[span], [-(-similar * n[lead] // 100), 100 * n[lead] // similar + 1])
             rest = span[lo:hi]
             rest = rest[rest != lead]
             keep(rest[rest < lead], np.full((rest < lead).sum(), lead))
             keep(np.full((rest > lead).sum(), lead), rest[rest > lead])
-            members = sid[span]
-            name = _signed(int(token[s])) if split[s] else _signed(xxhash.xxh3_64_intdigest(np.sort(members).tobytes()))
-            groups[name] = (members, n[span])
         if found_a and sum(map(len, found_a)):
             a, b = np.concatenate(found_a), np.concatenate(found_b)
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             for lo in range(0, len(pairs), 100_000):
                 part = pairs[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64())], ["a", "b", "list", "n"])
-        for name, (members, ns) in groups.items():
-            yield pa.RecordBatch.from_arrays([pa.array(members), pa.nulls(len(members), pa.int64()), pa.array(np.full(len(members), name)), pa.array(ns)], ["a", "b", "list", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), *(pa.nulls(len(part), pa.int64()) for _ in range(4))], ["a", "b", "list", "n", "pos", "central"])
+        if long.any():
+            # lists keep their n-gram's name, under which their parts meet again
+            columns = (x[long].astype(np.int64) for x in (token, n, pos, central))
+            member = pa.array(sid[long])
+            yield pa.RecordBatch.from_arrays([member, pa.nulls(len(member), pa.int64()), *map(pa.array, columns)], ["a", "b", "list", "n", "pos", "central"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, blobs = None, []
@@ -288,20 +296,20 @@ class _Join:
             self.seed += 1
         self.total = total["n"]
         chunks = arrow_map(table.filter(F.col("chunk").isNotNull()).select("chunk", "sketch").repartition(CHUNKS, "chunk"), _sum_sketch, "chunk int, levels binary")
-        levels = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint8)
+        levels = np.zeros((CHUNKS, CELLS), np.uint8)
         for row in chunks.collect():  # 2 ** SKETCH_BITS bytes, whatever the input
             levels[row["chunk"]] = np.frombuffer(row["levels"], np.uint8)
         self.levels = self.spark.sparkContext.broadcast(levels.reshape(-1))
-        mean = self.total / (1 << SKETCH_BITS)
-        self.floor = max(3, math.ceil(math.log2(mean + 1)) + 2)
+        mean = self.total / (1 << SKETCH_BITS)  # counts that stand out of it make an n-gram common
+        self.floor = math.ceil(1 + 4 * math.log2(mean + 6 * math.sqrt(mean) + 4))
 
     def candidates(self) -> None:
         partitions = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.total * (100 - self.similar) // 100 // PARTITION_POSTINGS)
         postings = arrow_map(self.rows.select("text"), _index(self.words, self.seed, self.levels, self.floor, partitions, self.similar), "p int, size int, postings binary")
         dealt = postings.repartition(partitions, "p").sortWithinPartitions("p")
-        found = materialise(arrow_map(dealt, _pairs(self.similar), "a long, b long, list long, n long"), "candidates")
+        found = materialise(arrow_map(dealt, _pairs(self.similar), "a long, b long, list long, n long, pos long, central long"), "candidates")
         self.pairs = found.filter(F.col("list").isNull()).select("a", "b").distinct()
-        self.lists = materialise(found.filter(F.col("list").isNotNull()).select("list", F.col("a").alias("sid"), "n").distinct(), "lists")
+        self.lists = found.filter(F.col("list").isNotNull()).select("list", F.col("a").alias("sid"), "n", "pos", "central")
 
     def verify(self, pairs: DataFrame, n: int) -> DataFrame:
         """Of n pairs, those that are links.  The first of a pair leads; a leader with many is repeated by parts."""
@@ -324,19 +332,25 @@ class _Join:
             self.labels = components(links)
             if self.lists.isEmpty():
                 return links
-            placed = self.lists.join(self.labels.withColumnRenamed("v", "sid"), "sid", "left").select("list", "sid", "n", F.coalesce("root", "sid").alias("root"))
-            parts = placed.groupBy("list", "root").agg(F.min_by(F.struct("sid", "n"), "sid").alias("first"))
+            placed = self.lists.join(self.labels.withColumnRenamed("v", "sid"), "sid", "left").select("list", "sid", "n", "pos", "central", F.coalesce("root", "sid").alias("root"))
+            parts = placed.groupBy("list", "root").agg(F.max(F.struct("central", "sid", "n", "pos")).alias("first"))
             if final:
                 # lists that are still apart: every pair from two components
                 apart = parts.groupBy("list").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("list")
                 left = placed.join(apart, "list")
-                x, y = left.select("list", *(F.col(c).alias(f"{c}1") for c in ("sid", "n", "root"))), left.select("list", *(F.col(c).alias(f"{c}2") for c in ("sid", "n", "root")))
+                side = lambda k: left.select("list", *(F.col(c).alias(f"{c}{k}") for c in ("sid", "n", "pos", "root")))
+                x, y = side(1), side(2)
                 more = x.join(y, "list").filter("root1 < root2")
             else:
-                # the first member of each component with the first of the list's first component
-                lead = parts.groupBy("list").agg(F.min("root").alias("root1"), F.min_by("first", "root").alias("f")).select("list", "root1", F.col("f.sid").alias("sid1"), F.col("f.n").alias("n1"))
-                more = parts.select("list", F.col("root").alias("root2"), F.col("first.sid").alias("sid2"), F.col("first.n").alias("n2")).join(lead, "list").filter("root1 <> root2")
-            close = F.expr(f"100 * least(n1, n2) >= {self.similar} * greatest(n1, n2)")
+                # the most central member of each component with that of the list
+                head = lambda c, k: [F.col(f"{c}.{x}").alias(f"{x}{k}") for x in ("sid", "n", "pos")]
+                lead = parts.groupBy("list").agg(F.max(F.struct("first", "root")).alias("f")).select("list", F.col("f.root").alias("root1"), *head("f.first", 1))
+                more = parts.select("list", F.col("root").alias("root2"), *head("first", 2)).join(lead, "list").filter("root1 <> root2")
+            # the bounds of size and position, as in the lists themselves
+            t = self.similar
+            need = f"ceil({t} * (n1 + n2) / {100 + t})"
+            small = "if(n1 < n2 or n1 = n2 and pos1 < pos2, struct(n1 as n, pos1 as pos), struct(n2 as n, pos2 as pos))"
+            close = F.expr(f"100 * least(n1, n2) >= {t} * greatest(n1, n2) and least(n1 - pos1, n2 - pos2) >= {need} and {small}.pos <= {small}.n - ceil({t} * 2 * {small}.n / {100 + t})")
             more = more.filter(close).select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")).distinct()
             more = materialise(more.join(tried, ["a", "b"], "left_anti"), "pairs")
             n = more.count()
