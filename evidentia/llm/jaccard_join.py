@@ -311,14 +311,17 @@ class _Join:
         self.pairs = found.filter(F.col("list").isNull()).select("a", "b").distinct()
         self.lists = found.filter(F.col("list").isNotNull()).select("list", F.col("a").alias("sid"), "n", "pos", "central")
 
-    def verify(self, pairs: DataFrame, n: int) -> DataFrame:
-        """Of n pairs, those that are links.  The first of a pair leads; a leader with many is repeated by parts."""
+    def verify(self, pairs: DataFrame, n: int, few: bool) -> DataFrame:
+        """Of n pairs, those that are links.  The first of a pair leads; a leader with many is repeated by parts.
+
+        few: late rounds, whose pairs go to the texts where there are not too many to send; the
+        first round's grow with the corpus, so there texts and pairs meet by a shuffle."""
         parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_PART).cast("int").alias("parts"))
         members = pairs.join(parts, "a").select(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("member"))
         leaders = parts.select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("member"))
         asked = members.unionByName(leaders).withColumn("sid", F.coalesce("member", "lead"))
         asked = materialise(asked.join(self.sets.select("sid", "key"), "sid").select("key", "lead", "part", "member"), "asked", rows=2 * n)
-        if 2 * n <= BROADCAST_ROWS:  # a pair asks for two texts at most, and for its leader's again by parts
+        if few and 2 * n <= BROADCAST_ROWS:  # a pair asks for two texts at most, and for its leader's again by parts
             asked = F.broadcast(asked)
         texts = self.rows.join(asked, "key").select("lead", "part", "member", "text")
         dealt = texts.repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("member").asc_nulls_first())
@@ -326,7 +329,7 @@ class _Join:
 
     def links(self) -> DataFrame:
         tried = materialise(self.pairs, "pairs")
-        links = self.verify(tried, tried.count())
+        links = self.verify(tried, tried.count(), few=False)
         final = False
         while True:
             self.labels = components(links)
@@ -359,7 +362,7 @@ class _Join:
                     return links
                 final = True
                 continue
-            new = self.verify(more, n)
+            new = self.verify(more, n, few=True)
             tried = tried.unionByName(more)
             links = links.unionByName(new)
             if final:
