@@ -1 +1,2 @@
-
+from . import activity_queries, story_queries, text_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
