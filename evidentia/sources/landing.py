@@ -77,12 +77,17 @@ def posts(payloads: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
+def paragraphs(html: Column) -> Column:
+    """Contents of the paragraphs outside navigation and scripts."""
+    gone = "script|style|nav|header|footer|aside|form"
+    body = F.regexp_replace(html, rf"(?is)<(?:{gone})\b.*?</(?:{gone})>", " ")
+    return F.regexp_extract_all(body, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1)
+
+
 def main_text(html: Column) -> Column:
-    """SRC-6: the first twelve paragraphs of more than 60 characters outside navigation and scripts."""
-    body = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|aside|form)\b.*?</\1>", " ")
-    raw = F.regexp_extract_all(body, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1)
-    paragraphs = F.filter(F.transform(raw, strip_html), lambda p: F.length(p) > 60)
-    return F.substring(F.array_join(F.slice(paragraphs, 1, 12), " "), 1, 1500)
+    """SRC-6: the first twelve paragraphs of more than 60 characters."""
+    long = F.filter(F.transform(paragraphs(html), strip_html), lambda p: F.length(p) > 60)
+    return F.substring(F.array_join(F.slice(long, 1, 12), " "), 1, 1500)
 
 
 def thin_articles(articles: DataFrame, as_of: Column, listed: list[str], most: int) -> DataFrame:
