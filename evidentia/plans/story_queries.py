@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, evidence, feeds
+from ..operators import cards, checks, evidence, feeds
 from ..operators.matching import first_by
 from .registry import query, table
 from .shapes import AS_OF, ITEMS_SQL, as_of, items
@@ -97,3 +97,32 @@ def win_best_family(spark, sf_dir):
     """WIN-1: the best candidate of each story, by aggregate instead of a window."""
     n = items(spark, sf_dir).groupBy("story", "family").agg(F.count(F.lit(1)).alias("items"))
     return first_by(n, ["story"], [-F.col("items"), F.col("family")]).select("story", "family", "items")
+
+
+@query(
+    f"""WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY at, name) AS number FROM items)
+SELECT story, coalesce(sum(number) FILTER (source_type = 'OFFICIAL' AND NOT derivative), 0)::BIGINT AS confirmed, coalesce(sum(number) FILTER (denial), 0)::BIGINT AS disputed,
+ count(*) FILTER (NOT (source_type = 'OFFICIAL' AND NOT derivative) AND speculation >= 0.34) AS claims FROM n GROUP BY story""".replace("ORDER BY at, name) AS number", "ORDER BY t0, name) AS number")
+)
+def agg_knowledge(spark, sf_dir):
+    """AGG-24, as sums of the sources' numbers."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return cards.knowledge(items(spark, sf_dir)).select("story", total("confirmed_by").alias("confirmed"), total("disputed_by").alias("disputed"), F.size("claimed_by").cast("long").alias("claims"))
+
+
+@query(
+    f"""WITH {ITEMS_SQL}, g AS (SELECT story, name, t0, engagement, CASE WHEN source_type = 'OFFICIAL' THEN 'official' WHEN source_type IN ('ESTABLISHED_JOURNALIST','TRUSTED_REPORTER','MAJOR_NEWS') THEN 'journalist'
+ WHEN source_type IN ('FIGHTER','COACH_TEAM') THEN 'fighter' WHEN speculation > 0 THEN 'rumour' ELSE 'other' END AS grp, story || '|' || name || '|' || strftime(t0, '%Y-%m-%d') AS post FROM items WHERE kind = 'social'),
+u AS (SELECT grp, post, max(engagement) AS engagement FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY engagement DESC NULLS LAST, post) AS place FROM u)
+SELECT grp, post, place::INTEGER AS place FROM r WHERE place <= 6"""
+)
+def flt_radar_groups(spark, sf_dir):
+    """FLT-9, WIN-7: the six most engaged posts of each kind of account."""
+    posts = items(spark, sf_dir).filter("kind = 'social'")
+    post = F.concat_ws("|", "story", "name", F.date_format("at", "yyyy-MM-dd"))
+    unique = posts.groupBy(post.alias("post"), F.col("source_type").alias("account_type"), (F.col("speculation") > 0).cast("double").alias("speculation_score")).agg(F.max("engagement").alias("engagement"))
+    merged = cards.radar_groups(unique, most=1 << 30).groupBy("grp", "post").agg(F.max("engagement").alias("engagement"))
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.col("engagement").desc_nulls_last(), "post"))
+    return merged.withColumn("place", place).filter("place <= 6").select("grp", "post", "place")

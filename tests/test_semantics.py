@@ -225,3 +225,39 @@ def test_stream_windows_and_duplicates(spark, sf_dir, tmp_path):
     q = streams.ingest(stream, delay="90 days").writeStream.format("memory").queryName("ingested").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert spark.table("ingested").count() == 50
+
+
+def test_card_changes(spark):
+    rows = [(1, "Max Holloway steps in for Conor McGregor", "after a torn ligament in the co-main event", "replacement", []), (2, "Bout cancelled", "Jon Jones vs. Tom Aspinall is off the card", "cancellation", ["jon"]), (3, "Booked", "Ann Lee vs Sue Ray and Kim Do vs Pat Xu at lightweight", "fight_announcement", []), (4, "Star injured", "she will return", "injury", ["ann"]), (5, "Star injured", "forced out of the fight", "injury", ["ann"])]
+    from evidentia.operators import cards
+
+    found = cards.detect_changes(spark.createDataFrame(rows, "id int, title string, body string, category string, entities array<string>"))
+    assert sorted((r.id, r.change_type, r.before_text, r.after_text, r.reason) for r in found.collect()) == [
+        (1, "replacement", "Conor McGregor", "Max Holloway", "injury"),
+        (2, "cancellation", "jon jones|tom aspinall", "Bout reported off the card", None),
+        (3, "new_fight", None, "ann lee|sue ray", None),
+        (3, "new_fight", None, "kim do|pat xu", None),
+        (5, "cancellation", "ann", "ann reported out", "injury"),
+    ]
+    assert {r.id: r.segment for r in found.collect()}[1] == "co_main"
+
+
+def test_official_cards_and_rankings(spark):
+    from evidentia.operators import cards
+
+    bouts = [(1, 1, "A One (C) 12-1-0", "B Two", "Lightweight Title Bout", "main_card"), (1, 2, "C Three", "D Four", "Light Heavyweight", "main_card"), (1, 3, "b two", "a one", "again", "prelims"), (1, 4, "E", "", "x", "prelims")]
+    found = [(r.pair_key, r.bout_order, r.segment, r.weight_class, r.is_title_fight) for r in cards.official_card(spark.createDataFrame(bouts, "event int, pos int, fighter_a string, fighter_b string, heading string, segment string")).orderBy("bout_order").collect()]
+    assert found == [("a one|b two", 1, "main_event", "Lightweight", True), ("c three|d four", 2, "co_main", "Light Heavyweight", False)]
+    ranks = [("mens pound for pound", "Á B", 1), ("Men's Pound-for-Pound", "a b", 2), ("Flyweight", "", 1)]
+    assert [(r.division, r.name) for r in cards.clean_rankings(spark.createDataFrame(ranks, "division string, name string, pos int")).collect()] == [("Men's Pound-for-Pound", "Á B")]
+    assert one(spark, cards.ranking_system(F.lit("Rankings | Meta UFC Rankings - as of today")))["system_name"] == "Meta UFC Rankings"
+    assert one(spark, cards.has_placeholder(F.lit("It is official - this story."))) and not one(spark, cards.has_placeholder(F.lit("history")))
+
+
+def test_event_evidence_is_never_made_by_previews_or_denials(spark):
+    from evidentia.operators import cards
+
+    events = spark.createDataFrame([(1, "UFC 300", "UFC 300: A vs B")], "event int, name string, short_name string")
+    rows = [(1, "UFC 300 cancelled", "general", "UNKNOWN", False), (2, "UFC 300 cancelled", "general", "UNKNOWN", True), (3, "UFC 300 results", "result", "RESULT", False), (4, "UFC 300 preview", "general", "PREVIEW", False), (5, "UFC 300 postponed, live blog", "general", "UNKNOWN", False)]
+    articles = spark.createDataFrame([(i, t, "", ["ufc 300"], c, n, "MAJOR_NEWS", False, d, 0) for i, t, c, n, d in rows], "id int, title string, body string, events array<string>, category string, intent string, source_type string, is_official boolean, has_denial boolean, at int")
+    assert sorted((r.id, r.kind) for r in cards.event_evidence(articles, events).collect()) == [(1, "cancelled"), (3, "completed"), (5, "live"), (5, "postponed")]
