@@ -228,7 +228,7 @@ def test_stream_windows_and_duplicates(spark, sf_dir, tmp_path):
 
 
 def test_card_changes(spark):
-    rows = [(1, "Max Holloway steps in for Conor McGregor", "after a torn ligament in the co-main event", "replacement", []), (2, "Bout cancelled", "Jon Jones vs. Tom Aspinall is off the card", "cancellation", ["jon"]), (3, "Booked", "Ann Lee vs Sue Ray and Kim Do vs Pat Xu at lightweight", "fight_announcement", []), (4, "Star injured", "she will return", "injury", ["ann"]), (5, "Star injured", "forced out of the fight", "injury", ["ann"])]
+    rows = [(1, "Max Holloway steps in for Conor McGregor", "after a torn ligament in the co-main event", "replacement", []), (2, "Bout cancelled", "Jon Jones vs. Tom Aspinall is off the card", "cancellation", ["jon"]), (3, "Booked for june", "Ann Lee vs Sue Ray and Kim Do vs Pat Xu at lightweight", "fight_announcement", []), (4, "Star injured", "she will return", "injury", ["ann"]), (5, "Star injured", "forced out of the fight", "injury", ["ann"])]
     from evidentia.operators import cards
 
     found = cards.detect_changes(spark.createDataFrame(rows, "id int, title string, body string, category string, entities array<string>"))
