@@ -96,5 +96,31 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_HOST = f"translate(regexp_extract({{u}}, '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+_PATH = "regexp_extract({u}, '://[^/?#]*([^?#]*)', 1)"
+_REST = "regexp_extract({u}, '://[^/?#]*([^#]*)', 1)"
+_KEY = f"CASE WHEN {_HOST} <> '' THEN {_HOST} || CASE WHEN starts_with({_REST}, '/') THEN {_REST} ELSE '/' || {_REST} END END"
+#: The rules' verdict for (host, path) rows of {src}, with the columns that identify them.
+_MATCH = """SELECT x.*, m.rule, m.action FROM {src} x LEFT JOIN (SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action
+  FROM (SELECT DISTINCT host, path FROM {src}) d JOIN r ON (d.host = rh OR suffix(d.host, '.' || rh)) AND starts_with(d.path, rp) GROUP BY host, path) m ON x.host = m.host AND x.path = m.path"""
+OP7_SQL = f"""
+WITH RECURSIVE r(action, rh, rp) AS (VALUES {", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)}),
+u AS (SELECT page_id, url, html, coalesce({_HOST.format(u="url")}, '') AS host, coalesce({_PATH.format(u="url")}, '') AS path, {_KEY.format(u="url")} AS key FROM pages),
+t AS (SELECT key, host, path, unnest(list_filter(regexp_extract_all(html, '(?i)(<(?:link|meta)\\b[^>]*>)', 1), lambda t: regexp_matches(t, '(?i)\\brel\\s*=\\s*[\\x22'']?canonical\\b')
+  OR regexp_matches(t, '(?i)\\bhttp-equiv\\s*=\\s*[\\x22'']?refresh\\b'))) AS tag FROM u WHERE url IS NOT NULL),
+h AS (SELECT key, host, regexp_extract(path, '^(.*/)', 1) AS folder, replace(CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*[\\x22'']?([^\\x22''\\s>]+)', 1)
+  ELSE regexp_extract(tag, '(?i)\\burl\\s*=\\s*[\\x22'']?([^\\x22''\\s>]+)', 1) END, '&amp;', '&') AS href FROM t),
+a AS (SELECT key, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href WHEN starts_with(href, '/') THEN 'http://' || host || href
+  ELSE 'http://' || host || CASE WHEN folder = '' THEN '/' ELSE folder END || href END AS target FROM h WHERE href <> ''),
+e AS (SELECT DISTINCT key AS x, {_KEY.format(u="target")} AS y FROM a WHERE key IS NOT NULL AND {_KEY.format(u="target")} IS NOT NULL),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+n0 AS (SELECT DISTINCT x AS key, {_HOST.format(u="'x://' || x")} AS host, {_PATH.format(u="'x://' || x")} AS path FROM b), n AS ({_MATCH.format(src="n0")}),
+blocked(key) AS (SELECT key FROM n WHERE action = 'block' UNION SELECT b.y FROM blocked JOIN b ON b.x = blocked.key),
+j AS ({_MATCH.format(src="u")})
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN key IN (SELECT key FROM blocked) THEN 'block' END, 'allow') AS verdict FROM j
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_grace_dedup": OP2_SQL}
+    return {"op2_grace_dedup": OP2_SQL, "op7_redirect_url_filter": OP7_SQL}

@@ -63,7 +63,7 @@ def match(rows: DataFrame, rules: list[Rule], host: str = "host", path: str = "p
 
 def _targets(html: Column) -> Column:
     """URLs that a page names as its own: canonical links, then refresh redirects."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta)\b[^>]{0,4000}>)"), 1)
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1)
     named = F.filter(tags, lambda t: t.rlike(r"(?i)\brel\s*=\s*[\x22']?canonical\b") | t.rlike(r"(?i)\bhttp-equiv\s*=\s*[\x22']?refresh\b"))
     href = lambda t: F.when(t.rlike("(?i)^<link"), F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\x22']?([^\x22'\s>]+)", 1)).otherwise(F.regexp_extract(t, r"(?i)\burl\s*=\s*[\x22']?([^\x22'\s>]+)", 1))
     found = F.filter(F.transform(named, href), lambda u: u != "")

@@ -7,7 +7,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -16,7 +18,7 @@ from tokenizers import Tokenizer
 
 from evidentia.llm import bpe, exact_dedup, packing, pii, quality, sharding, url_filter, warc
 from evidentia.llm.pretokens import splitter
-from evidentia.llm.queries import URL_RULES
+from evidentia.llm.queries import URL_RULES, oracle_sql
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -263,6 +265,11 @@ def test_urls(spark):
         (6, "", "", None, "allow"), (7, "", "", None, "allow"), (8, "d.net", "/es/1", "net/es/", "block"), (9, "a.org", "/x", None, "block"), (10, "a.org", "/dup", None, "block"), (11, "example.com", "/en/", "example.com/en/", "block"),
         (12, "example.com", "", None, "allow"), (12, "example.com", "", None, "allow"), (None, "e.net", "/fr/", "net/fr/", "block"),
     ]
+    con = duckdb.connect()
+    con.register("listed", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    con.execute("CREATE VIEW pages AS SELECT page_id, url, html FROM listed")
+    by_sql = con.execute(oracle_sql()["op7_redirect_url_filter"]).fetchall()
+    assert Counter(r[1:] for r in by_sql) == Counter(r[1:] for r in found)  # pandas makes floats of ids with a null
     many = [*URL_RULES, *(("block", f"h{k}.example", "/") for k in range(url_filter.LISTED))]
     assert [tuple(r) for r in url_filter.judge(table, many).orderBy("page_id", "host").collect()] == [tuple(r) for r in url_filter.judge(table, URL_RULES).orderBy("page_id", "host").collect()]
 
