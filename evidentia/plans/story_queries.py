@@ -126,3 +126,26 @@ def flt_radar_groups(spark, sf_dir):
 
     place = F.row_number().over(Window.partitionBy("grp").orderBy(F.col("engagement").desc_nulls_last(), "post"))
     return merged.withColumn("place", place).filter("place <= 6").select("grp", "post", "place")
+
+
+@query(
+    f"""WITH {ITEMS_SQL} SELECT 'IMPORTANT' AS feed, count(*) AS n FROM stories WHERE relevance >= 55 UNION ALL SELECT 'RUMORS', count(*) FROM stories WHERE status IN ('RUMOR','UNVERIFIED','FIGHTER_CLAIM')
+ UNION ALL SELECT 'DEVELOPING', count(*) FROM stories WHERE is_moving UNION ALL SELECT 'TRENDING', count(*) FROM stories WHERE is_trending UNION ALL SELECT 'INJURIES', count(*) FROM stories WHERE category = 'injury'
+ UNION ALL SELECT 'RANKINGS', count(*) FROM stories WHERE category = 'ranking' UNION ALL SELECT 'TITLE', count(*) FROM stories WHERE category = 'title' UNION ALL SELECT 'RESULTS', count(*) FROM stories WHERE category = 'result'"""
+)
+def flt_named_feeds(spark, sf_dir):
+    """FLT-2: how many stories each named feed shows, in one pass."""
+    names = ["IMPORTANT", "RUMORS", "DEVELOPING", "TRENDING", "INJURIES", "RANKINGS", "TITLE", "RESULTS"]
+    stories = evidence.rebuild_stories(items(spark, sf_dir), as_of())
+    counts = stories.agg(*(F.count_if(F.expr(feeds.NAMED[n])).alias(n) for n in names))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("feed"), F.col(n).alias("n")) for n in names))).alias("x")).select("x.*")
+
+
+@query(
+    f"""WITH {ITEMS_SQL}
+SELECT story, count(*) AS items, count(DISTINCT family) AS families, max(t0) = min(t0) AS one_day FROM items WHERE kind = 'news' GROUP BY story HAVING count(DISTINCT family) >= 3"""
+)
+def agg_trending_families(spark, sf_dir):
+    """STRM-3 in batch: stories that three families report."""
+    news = items(spark, sf_dir).filter("kind = 'news'")
+    return news.groupBy("story").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("family").alias("families"), (F.max("at") == F.min("at")).alias("one_day")).filter("families >= 3")

@@ -235,3 +235,57 @@ def clu_stories(spark, sf_dir):
 
 
 query()(clu_stories)
+
+
+@query(r"""SELECT doc_id, (len(regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '[.!?]\s+[A-Z0-9"''“]')) + 1)::BIGINT AS n_sentences FROM documents""")
+def str_sentences(spark, sf_dir):
+    """STR-10"""
+    return documents(spark, sf_dir).select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+@query(
+    """WITH b AS (SELECT *, CASE source WHEN 'src1' THEN 'OFFICIAL' WHEN 'src2' THEN 'MAJOR_NEWS' WHEN 'src3' THEN 'FAN_ACCOUNT' END AS a_type, CASE source WHEN 'src1' THEN 1.0 WHEN 'src2' THEN 0.85 WHEN 'src3' THEN 0.15 END AS a_weight,
+ CASE WHEN lang = 'en' THEN 'UNKNOWN' ELSE 'INSIDER' END AS st, CASE WHEN lang = 'en' THEN 0.3 ELSE 0.5 END AS w FROM documents)
+SELECT doc_id, CASE WHEN a_weight > w AND st IN ('UNKNOWN', 'FAN_ACCOUNT') THEN a_type ELSE st END AS source_type, CASE WHEN a_weight > w THEN a_weight ELSE w END::DOUBLE AS reliability_weight FROM b"""
+)
+def join_author_class(spark, sf_dir):
+    """JOIN-2: the source stands for the byline."""
+    rows = documents(spark, sf_dir).select("doc_id", F.concat("source", F.lit(", staff")).alias("author"), F.when(F.col("lang") == "en", F.lit("UNKNOWN")).otherwise("INSIDER").alias("source_type"), F.when(F.col("lang") == "en", 0.3).otherwise(0.5).alias("reliability_weight"))
+    authors = spark.createDataFrame([("src1", "OFFICIAL", 1.0), ("src2", "MAJOR_NEWS", 0.85), ("src3", "FAN_ACCOUNT", 0.15)], "normalized_id string, classification string, reliability_weight double")
+    return entities.upgrade_by_author(rows, authors).select("doc_id", "source_type", "reliability_weight")
+
+
+@query("SELECT event_id, value FROM events WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 25")
+def win_top_posts(spark, sf_dir):
+    """WIN-7: the 25 most engaged; the cap is the report's."""
+    return table(spark, sf_dir, "events").filter("value is not null").orderBy(F.col("value").desc(), "event_id").limit(25).select("event_id", "value")
+
+
+@query(
+    """WITH o AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_partkey, p_type AS p_brand, p_size + 100 AS p_size FROM part WHERE p_partkey % 2 = 0)
+SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, coalesce(o.p_brand, n.p_brand) AS p_brand, coalesce(n.p_size, o.p_size)::INTEGER AS p_size FROM o FULL JOIN n ON o.p_partkey = n.p_partkey"""
+)
+def snk_merge_dimension(spark, sf_dir):
+    """SNK-5: brands are the user's and protected, sizes are not."""
+    part = table(spark, sf_dir, "part")
+    old = part.filter("p_partkey % 3 <> 0").select("p_partkey", "p_brand", "p_size")
+    new = part.filter("p_partkey % 2 = 0").select("p_partkey", F.col("p_type").alias("p_brand"), (F.col("p_size") + 100).alias("p_size"))
+    return feeds.merge_dimension(old, new, "p_partkey", ["p_brand"])
+
+
+@query("WITH f AS (SELECT user_id, last(event_type ORDER BY ts, event_type) AS fixed FROM events GROUP BY user_id) SELECT c_custkey, coalesce(fixed, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN f ON c_custkey = user_id")
+def res_overlay(spark, sf_dir):
+    """RES-15: the latest correction of each customer's segment."""
+    from ..operators.resolve import overlay
+
+    fixes = table(spark, sf_dir, "events").select(F.col("user_id").alias("target"), F.col("event_type").alias("value"), F.col("ts").alias("at"))
+    return overlay(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), fixes, "c_custkey", "c_mktsegment")
+
+
+@query("SELECT system, count(*) AS n FROM (SELECT c_mktsegment || '|' || c_nationkey AS system FROM customer) GROUP BY system HAVING count(*) > 1")
+def dq_duplicate_positions(spark, sf_dir):
+    """DQ-9"""
+    from ..operators.checks import duplicates
+
+    found = duplicates(table(spark, sf_dir, "customer"), F.concat_ws("|", "c_mktsegment", "c_nationkey"), "ERROR", "duplicate_position")
+    return found.select(F.col("row_key").alias("system"), F.col("detail").cast("long").alias("n"))
