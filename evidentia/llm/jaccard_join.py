@@ -323,6 +323,8 @@ class _Join:
         asked = materialise(asked.join(self.sets.select("sid", "key"), "sid").select("key", "lead", "part", "member"), "asked", rows=2 * n)
         if few and 2 * n <= BROADCAST_ROWS:  # a pair asks for two texts at most, and for its leader's again by parts
             asked = F.broadcast(asked)
+        elif not few:
+            asked = asked.hint("merge")
         texts = self.rows.join(asked, "key").select("lead", "part", "member", "text")
         dealt = texts.repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("member").asc_nulls_first())
         return materialise(arrow_map(dealt, _verify(self.words, self.seed, self.similar), "a long, b long").distinct(), "links", rows=n)
