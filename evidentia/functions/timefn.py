@@ -54,7 +54,7 @@ def humanize_age(c: Column, as_of: Column) -> Column:
 
 def countdown(start: Column, as_of: Column) -> Column:
     """DT-8: days, hours, minutes until start; null unless it is ahead."""
-    seconds = F.floor(-age_hours(start, as_of) * 3600)
+    seconds = F.floor((F.unix_micros(start) - F.unix_micros(as_of)) / 1_000_000)
     parts = F.struct(F.floor(seconds / 86400).alias("days"), F.floor(seconds % 86400 / 3600).alias("hours"), F.floor(seconds % 3600 / 60).alias("minutes"))
     return F.when(start > as_of, parts)
 

@@ -177,3 +177,55 @@ def res_event_lifecycle(spark, sf_dir):
         (F.col("l_suppkey") % 5 == 0).alias("official"),
     )
     return resolve.lifecycle(events, proof, F.lit("1997-06-01 03:00:00").cast("timestamp")).select("event", "status", "has_conflict")
+
+
+COUNTDOWN_AS_OF = "2024-01-10 12:00:00"
+
+
+@query(
+    f"""WITH s AS (SELECT event_id, epoch(date_trunc('second', ts))::BIGINT - epoch(TIMESTAMP '{COUNTDOWN_AS_OF}')::BIGINT AS s FROM events)
+SELECT event_id, s // 86400 AS days, s % 86400 // 3600 AS hours, s % 3600 // 60 AS minutes FROM s WHERE s > 0"""
+)
+def dt_countdown(spark, sf_dir):
+    """DT-8, to whole seconds."""
+    from ..functions.timefn import countdown
+
+    start = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").select("event_id", countdown(start, F.lit(COUNTDOWN_AS_OF).cast("timestamp")).alias("c")).filter("c is not null")
+    return rows.select("event_id", "c.days", "c.hours", "c.minutes")
+
+
+@query("SELECT user_id AS entity, count(DISTINCT event_id) AS mentions, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events GROUP BY user_id")
+def ent_mentions(spark, sf_dir):
+    """ENT-7"""
+    from ..operators.entities import mention_counts
+
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.array("user_id").alias("entities"))
+    return mention_counts(rows).select("entity", "mentions", F.date_format("last_mentioned", "yyyy-MM-dd").alias("last_day"))
+
+
+@query("SELECT user_id, max(event_id) AS last_id, last(event_id ORDER BY ts, event_id) FILTER (event_type = 'error') AS last_error FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') > 0")
+def agg_poll_state(spark, sf_dir):
+    """AGG-26, SRC-8"""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(F.max("event_id").alias("last_id"), F.max_by("event_id", F.when(F.col("event_type") == "error", F.struct("ts", "event_id"))).alias("last_error")).filter("last_error is not null")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' ORDER BY ts DESC, event_id LIMIT 50")
+def flt_latest(spark, sf_dir):
+    """FLT-4: the 50 latest; the cap is the feed's."""
+    e = table(spark, sf_dir, "events").filter(F.col("ts") >= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
+    return e.orderBy(F.col("ts").desc(), "event_id").limit(50).select("event_id", "user_id")
+
+
+@query(
+    """SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'ESTABLISHED_JOURNALIST' WHEN 'STANDARD' THEN 'COACH_TEAM' ELSE 'UNKNOWN' END AS source_type,
+ CASE p_type WHEN 'ECONOMY' THEN 0.8 WHEN 'STANDARD' THEN 0.5 ELSE 0.3 END::DOUBLE AS weight FROM part"""
+)
+def cls_source_types(spark, sf_dir):
+    """CLS-12: labels of several vocabularies as source types."""
+    from ..operators.classify import reliability, source_type
+
+    label = F.when(F.col("p_type") == "ECONOMY", F.lit(" trusted journalist ")).when(F.col("p_type") == "STANDARD", "Coach / Team").otherwise(F.col("p_type"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", source_type(label).alias("source_type"))
+    return rows.withColumn("weight", reliability(F.col("source_type")))
