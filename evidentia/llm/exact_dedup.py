@@ -38,10 +38,12 @@ LOWEST = -(1 << 63)
 class OpenTable:
     """Open addressing with linear probing; equal means equal contents, not equal digests."""
 
-    def __init__(self) -> None:
+    def __init__(self, gather: bool = True) -> None:
+        """gather: a class keeps the payloads of all its records, else that of its best one."""
         self.slots = np.full(1024, -1, np.int64)
-        self.entries: list[list] = []  # [digest, text, reps, size, (id, uid)]
+        self.entries: list[list] = []  # [digest, text, payloads, size, best (id, uid)]
         self.bytes = 0
+        self.gather = gather
 
     def add(self, record: list) -> list:
         """Fold the record into its class; returns the class."""
@@ -51,7 +53,10 @@ class OpenTable:
         while (k := self.slots[at]) >= 0:
             entry = self.entries[k]
             if entry[1] == text:
-                entry[2] += reps
+                if self.gather:
+                    entry[2] += reps
+                elif best > entry[4]:
+                    entry[2] = list(reps)
                 entry[3] += size
                 entry[4] = max(entry[4], best)
                 return entry
@@ -82,9 +87,9 @@ def _read(path: str) -> Iterator[list]:
                 return
 
 
-def grace(records: Iterator[list], scratch: str, budget: int = TABLE_BYTES, depth: int = 16) -> Iterator[list]:
+def grace(records: Iterator[list], scratch: str, budget: int = TABLE_BYTES, depth: int = 16, gather: bool = True) -> Iterator[list]:
     """Classes of equal records.  depth: which digit of the digest the next partitioning looks at."""
-    table = OpenTable()
+    table = OpenTable(gather)
     for record in records:
         table.add(record)
         if table.bytes <= budget or len(table.entries) == 1 or depth >= 64:
@@ -100,7 +105,7 @@ def grace(records: Iterator[list], scratch: str, budget: int = TABLE_BYTES, dept
                 file.close()
         del table
         for path in paths:
-            yield from grace(_read(path), scratch, budget, depth + 1)
+            yield from grace(_read(path), scratch, budget, depth + 1, gather)
             os.remove(path)
         return
     yield from table.entries
@@ -158,7 +163,7 @@ def _records(rows: list[dict], schema: pa.Schema, most: int = 8 << 20) -> Iterat
         yield pa.RecordBatch.from_pylist(part, schema)
 
 
-def _grace_task(budget: int, with_text: bool):
+def _grace_task(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[list]:
             for batch in batches:
@@ -166,35 +171,73 @@ def _grace_task(budget: int, with_text: bool):
                     yield [r["digest"], r["content"], [r["rep"]], r["size"], (r["best_id"], r["best_uid"])]
 
         def out(rows: list) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["rep", "keep", "keep_uid", "group_size", "content"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["rep", "keep", "keep_uid", "group_size"])
 
-        rows, held = [], 0
+        rows: list[tuple] = []
         with tempfile.TemporaryDirectory() as scratch:
-            for _, text, reps, size, (keep, uid) in grace(records(), scratch, budget):
-                for rep in reps:
-                    # the text travels with the record that the surviving row belongs to
-                    rows.append((rep, None if keep == LOWEST else keep, uid, size, text if with_text and rep == reps[0] else None))
-                held += len(text) if with_text else 64 * len(reps)
-                if held > 8 << 20:
+            for _, _, reps, size, (keep, uid) in grace(records(), scratch, budget):
+                rows += [(rep, None if keep == LOWEST else keep, uid, size) for rep in reps]
+                if len(rows) > 100_000:
                     yield out(rows)
-                    rows, held = [], 0
+                    rows = []
         if rows:
             yield out(rows)
 
     return run
 
 
-def _classes(docs: DataFrame, carry: dict[str, str], id_col: str, text_col: str, budget: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    """Member rows (with the carried columns under the names given) and the classes' records."""
-    kinds = dict(docs.dtypes)
-    fields = "rep long, digest string, uid long, content binary, size long, best_id long, best_uid long"
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), utf8(F.col(f"`{text_col}`")).alias("__text"), *(F.col(f"`{c}`").alias(v) for c, v in carry.items()))
-    folded = arrow_map(rows, _fold_task(list(carry.values()), budget), ", ".join([fields, *(f"{v} {kinds[c]}" for c, v in carry.items())]))
-    spool = materialise(folded, "grace")  # written once: a retried task can't number its records anew
-    records = spool.filter(F.col("content").isNotNull()).select("rep", "digest", "content", "size", "best_id", "best_uid")
-    classes = arrow_map(records.repartition(F.col("digest")), _grace_task(budget, with_text), "rep long, keep long, keep_uid long, group_size long, content binary")
-    return spool.filter(F.col("content").isNull()).select("rep", "digest", "uid", *carry.values()), classes
+def _survivors(names: list[str], budget: int, source: bool):
+    """Both sides of keep_one.  source: rows come in, and each distinct text of the task goes out with
+    the row that it would keep; else such records come in, and the rows that are kept go out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+        base, row = TaskContext.get().partitionId() << 40, 0
+
+        def out(entries: list[list]) -> pa.RecordBatch:
+            rest = [pa.array(c, t) for c, t in zip(zip(*(e[2][0] for e in entries), strict=True), types, strict=True)] if names else []
+            own = [pa.array([e[0] for e in entries], pa.string()), pa.array([e[1] for e in entries], pa.binary()), pa.array([e[4][0] for e in entries], pa.int64()), pa.array([e[4][1] for e in entries], pa.int64())]
+            return pa.RecordBatch.from_arrays([*own, *rest], ["digest", "content", "best_id", "best_uid", *names])
+
+        def parts(entries: Iterator[list]) -> Iterator[pa.RecordBatch]:
+            some, held = [], 0
+            for e in entries:
+                some.append(e)
+                held += len(e[1])
+                if held > 8 << 20:
+                    yield out(some)
+                    some, held = [], 0
+            if some:
+                yield out(some)
+
+        def records() -> Iterator[list]:
+            nonlocal row
+            for batch in batches:
+                field = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+                types[:] = [field[n].type for n in names]
+                rest = list(zip(*(field[n].to_pylist() for n in names), strict=True)) if names else [()] * len(batch)
+                texts = field["content"].to_pylist()
+                if source:
+                    for text, key, r in zip(texts, field["id"].to_pylist(), rest, strict=True):
+                        yield [hashlib.sha256(text).hexdigest(), text, [r], 1, (LOWEST if key is None else key, base + row)]
+                        row += 1
+                else:
+                    for digest, text, key, uid, r in zip(field["digest"].to_pylist(), texts, field["best_id"].to_pylist(), field["best_uid"].to_pylist(), rest, strict=True):
+                        yield [digest, text, [r], 1, (key, uid)]
+
+        if source:
+            table = OpenTable(gather=False)
+            for record in records():
+                table.add(record)
+                if table.bytes > budget:
+                    yield from parts(iter(table.entries))
+                    table = OpenTable(gather=False)
+            yield from parts(iter(table.entries))
+        else:
+            with tempfile.TemporaryDirectory() as scratch:
+                yield from parts(grace(records(), scratch, budget, gather=False))
+
+    return run
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, budget: int = TABLE_BYTES) -> DataFrame:
@@ -202,8 +245,14 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     carry: columns of docs to pass through (default the id); id_col must be an integer."""
     inner = {c: f"c{k}_" for k, c in enumerate([id_col] if carry is None else carry)}  # names that can't clash
-    members, classes = _classes(docs, inner, id_col, text_col, budget, False)
-    return members.join(classes.drop("content"), "rep").select(
+    kinds = dict(docs.dtypes)
+    fields = "rep long, digest string, uid long, content binary, size long, best_id long, best_uid long"
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), utf8(F.col(f"`{text_col}`")).alias("__text"), *(F.col(f"`{c}`").alias(v) for c, v in inner.items()))
+    folded = arrow_map(rows, _fold_task(list(inner.values()), budget), ", ".join([fields, *(f"{v} {kinds[c]}" for c, v in inner.items())]))
+    spool = materialise(folded, "grace")  # written once: a retried task can't number its records anew
+    records = spool.filter(F.col("content").isNotNull()).select("rep", "digest", "content", "size", "best_id", "best_uid")
+    classes = arrow_map(records.repartition(F.col("digest")), _grace_task(budget), "rep long, keep long, keep_uid long, group_size long")
+    return spool.filter(F.col("content").isNull()).select("rep", "digest", "uid", *inner.values()).join(classes, "rep").select(
         *(F.col(v).alias(c) for c, v in inner.items()),
         F.col("keep").alias("keep_id"),
         "group_size",
@@ -215,11 +264,14 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = TABLE_BYTES) -> DataFrame:
     """docs without the rows that repeat another row's text; columns unchanged.
 
-    The surviving text is that of its class's record; a null text stays null if its row survives."""
+    A record carries the row that its text would keep, so texts cross one shuffle and no join."""
     null = "text is null"
     marked = docs.withColumn(null, F.col(f"`{text_col}`").isNull())
     inner = {c: f"c{k}_" for k, c in enumerate(c for c in marked.columns if c != text_col)}
-    members, classes = _classes(marked, inner, id_col, text_col, budget, True)
-    kept = members.join(classes.filter(F.col("content").isNotNull()).select(F.col("keep_uid").alias("uid"), "content"), "uid")
+    kinds, names = dict(marked.dtypes), list(inner.values())
+    fields = ", ".join(["digest string, content binary, best_id long, best_uid long", *(f"{v} {kinds[c]}" for c, v in inner.items())])
+    rows = marked.select(F.col(f"`{id_col}`").cast("long").alias("id"), utf8(F.col(f"`{text_col}`")).alias("content"), *(F.col(f"`{c}`").alias(v) for c, v in inner.items()))
+    folded = arrow_map(rows, _survivors(names, budget, True), fields)
+    kept = arrow_map(folded.repartition(F.col("digest")), _survivors(names, budget, False), fields)
     text = F.when(~F.col(inner[null]), F.col("content").cast("string"))
     return kept.select(*(text.alias(c) if c == text_col else F.col(inner[c]).alias(c) for c in docs.columns))

@@ -54,6 +54,8 @@ SHORT = 8
 LEADER_PART = 256
 #: Rows up to which the verifier's assignments are sent to the texts instead of texts to them.
 BROADCAST_ROWS = 100_000
+#: Ids of dropped documents up to which they are sent to the documents.
+SENT_IDS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOWEST = -(1 << 63)
 
@@ -386,3 +388,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
     out = join.documents.join(by_set, "sid", "left").select("key", "n", F.coalesce("component", "key").alias("component"))
     return out.select(real("key").alias(id_col), F.col("n").cast("long").alias("n_shingles"), real("component").alias("component_id"))
+
+
+def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """docs without those whose component has a smaller id; columns unchanged."""
+    found = near_duplicates(docs, id_col, text_col, words, similar)
+    extra = materialise(found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("extra id")).distinct(), "extra")
+    # ids are sent to the texts up to a fixed number of them; beyond it both are shuffled
+    extra = F.broadcast(extra) if extra.count() <= SENT_IDS else extra.hint("merge")
+    return docs.join(extra, docs[id_col].eqNullSafe(extra["extra id"]), "left_anti")
