@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from evidentia.llm import exact_dedup, jaccard_join, packing, pii, quality
 from evidentia.llm.common import materialise
@@ -29,9 +28,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the smallest doc_id stays."""
-    found = jaccard_join.near_duplicates(docs)
-    extra = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("extra_id"))
-    return docs.join(extra.distinct(), docs["doc_id"].eqNullSafe(F.col("extra_id")), "left_anti")
+    return jaccard_join.keep_smallest(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
