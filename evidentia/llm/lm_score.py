@@ -5,7 +5,7 @@ rows (at most 65,536) and is broadcast.  The bigram table grows with the corpus
 place: every document's distinct bigrams, with how often it has them, are dealt by a hash of the
 bigram to partitions.  A partition's bigrams meet all of their occurrences there, so it counts them
 (its part of the count table), joins the counts back to the exploded bigrams and sums each
-document's share of the score.  A last aggregate adds up the shares of each document.
+document's share of the score.  A last shuffle, by buckets of documents, adds the shares up.
 
 Score of a token after another: c(ab) / c(a) where the bigram was seen `min_count` times or more in
 the corpus, else backoff * c(b) / tokens.  The first token follows a start mark that counts as
@@ -96,8 +96,8 @@ def _bigrams(ranks: str, pattern: str, partitions: int):
     return run
 
 
-def _shares(sent, backoff: float, min_count: int):
-    def share(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+def _shares(sent, backoff: float, min_count: int, buckets: int):
+    def share(blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         log_count, log_total = sent.value
         unpack = zstandard.ZstdDecompressor().decompress
         columns: list[list[np.ndarray]] = [[], [], []]
@@ -113,23 +113,60 @@ def _shares(sent, backoff: float, min_count: int):
         unseen = math.log(backoff) + log_count[table & np.uint32(0xFFFF)] - log_total
         each = np.where(counts >= min_count, seen, unseen)
         docs, of = np.unique(keys, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(np.bincount(of, each[at] * times, len(docs))), pa.array(np.bincount(of, times, len(docs)).astype(np.int64)), pa.array(np.bincount(of, times * (counts[at] < min_count), len(docs)).astype(np.int64))], ["key", "score", "n", "backed"])
+        score, n = np.bincount(of, each[at] * times, len(docs)), np.bincount(of, times, len(docs))
+        backed = np.bincount(of, times * (counts[at] < min_count), len(docs))
+        # the shares leave by buckets of documents, so that there are not documents times partitions rows
+        q = ((docs.view(np.uint64) * MIX >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(q, kind="stable")
+        q, docs, score, n, backed = q[order], docs[order], score[order], n[order].astype("<i8"), backed[order].astype("<i8")
+        pack = zstandard.ZstdCompressor(level=1).compress
+        cuts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        ends = np.r_[cuts[1:], len(q)]
+        data = [pack(b"".join(x[lo:hi].tobytes() for x in (docs, score, n, backed))) for lo, hi in zip(cuts, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(q[cuts]), pa.array(ends - cuts, pa.int32()), pa.array(data, pa.binary())], ["q", "size", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for batch in batches:
             for p, size, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if p != now and blobs:
-                    yield share(blobs)
+                    yield from share(blobs)
                     blobs = []
                 now = p
                 blobs.append((size, blob))
         if blobs:
-            yield share(blobs)
+            yield from share(blobs)
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the shares of each document, bucket by bucket."""
+
+    def added(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        unpack = zstandard.ZstdDecompressor().decompress
+        for size, blob in blobs:
+            raw = unpack(blob)
+            for k, kind in enumerate(("<i8", "<f8", "<i8", "<i8")):
+                columns[k].append(np.frombuffer(raw, kind, size, 8 * size * k))
+        keys, score, n, backed = map(np.concatenate, columns)
+        docs, of = np.unique(keys, return_inverse=True)
+        whole = lambda x: pa.array(np.rint(np.bincount(of, x, len(docs))).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(np.bincount(of, score, len(docs))), whole(n), whole(backed)], ["key", "score", "n", "backed"])
+
+    now, blobs = None, []
+    for batch in batches:
+        for q, size, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if q != now and blobs:
+                yield added(blobs)
+                blobs = []
+            now = q
+            blobs.append((size, blob))
+    if blobs:
+        yield added(blobs)
+
+
 def score(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
     """id, n_tokens, n_backed_off, log_score (natural log, summed), mean_log_score; one row per id.
 
@@ -145,8 +182,8 @@ def score(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", tex
     sent = spark.sparkContext.broadcast((np.log(np.maximum(table, 1)), math.log(max(tokens, 1))))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // PARTITION_BIGRAMS)
     dealt = arrow_map(rows, _bigrams(ranks, pattern, partitions), "p int, size int, data binary").repartition(partitions, "p").sortWithinPartitions("p")
-    shares = arrow_map(dealt, _shares(sent, backoff, min_count), "key long, score double, n long, backed long")
-    summed = shares.groupBy("key").agg(F.sum("score").alias("score"), F.sum("n").alias("n"), F.sum("backed").alias("backed"))
+    shares = arrow_map(dealt, _shares(sent, backoff, min_count, partitions), "q int, size int, data binary")
+    summed = arrow_map(shares.repartition(partitions, "q").sortWithinPartitions("q"), _added, "key long, score double, n long, backed long")
     out = rows.select("key").distinct().join(materialise(summed, "scores"), "key", "left")
     n, total = F.coalesce("n", F.lit(0)), F.coalesce("score", F.lit(0.0))
     return out.select(
