@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -251,6 +252,34 @@ def test_quality_rejects_other_languages_and_noise(spark):
     assert all(found[k] for k, *_ in clean) and not any(found[k] for k, *_ in noise)
 
 
+def test_quality_bands_follow_length_and_distribution(spark):
+    """Junk that a wide band keeps goes, long or short; clean texts stay at every length."""
+    r = random.Random(2)
+    vocabulary = ["".join(r.choice("aeiostrn") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    prose = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    clean = [(k, " ".join(prose(r.choice([25, 60, 150, 600]))), "en") for k in range(200)]
+    junk = [(500, " ".join(w + r.choice(["###", "&&&"]) * (k % 12 == 0) for k, w in enumerate(prose(600))), "en"), (501, " ".join(w + "$" * (k % 2) for k, w in enumerate(prose(22))), "en")]
+    found = {x.doc_id: x for x in quality.judge(spark.createDataFrame([*clean, *junk], "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+    assert all(found[k].kept for k, *_ in clean)
+    assert not any(found[k].base_failed or found[k].kept for k, *_ in junk)
+
+
+def test_quality_agrees_with_labels(spark):
+    """Of labelled documents that pass the base rules, most junk goes and few clean ones do."""
+    d = Path("/root/testdata/sf0.01")
+    if not d.is_dir():
+        pytest.skip("no tables")
+    judged = quality.judge(spark.read.parquet(f"{d}/documents.parquet"), ["doc_id"]).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("not base_failed")
+    share = {x.quality: x.share for x in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[0] < 0.4 and share[1] > 0.97
+
+
+def test_other_scripts_keep_their_letters():
+    for first, n in ((0x430, 32), (0x3B1, 25), (0x5D0, 27)):
+        assert len({int(quality.trigrams(chr(first + k))[0]) for k in range(n)}) == n
+    assert (quality.trigrams("ПРИВЕТ") == quality.trigrams("привет")).all()
+
+
 def test_urls(spark):
     canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
     pages = [
