@@ -54,7 +54,7 @@ SHORT = 8
 LEADER_PART = 256
 #: Rows up to which the verifier's assignments are sent to the texts instead of texts to them.
 BROADCAST_ROWS = 100_000
-#: Ids of dropped documents up to which they are sent to the documents.
+#: Numbers of dropped rows up to which they are sent to the documents.
 SENT_IDS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOWEST = -(1 << 63)
@@ -391,9 +391,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """docs without those whose component has a smaller id; columns unchanged."""
-    found = near_duplicates(docs, id_col, text_col, words, similar)
-    extra = materialise(found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("extra id")).distinct(), "extra")
-    # ids are sent to the texts up to a fixed number of them; beyond it both are shuffled
+    """docs with one row of each component, that with the smallest id (null first); columns unchanged.
+
+    Rows are joined, chosen and dropped by number, as ids may repeat; of equal ids one row stays."""
+    number = "row number"
+    while number in docs.columns:
+        number += "_"
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")  # written once: a retried task can't number its rows anew
+    found = near_duplicates(rows.select(number, text_col), number, text_col, words, similar)
+    follow = materialise(found.filter(F.col(number) != F.col("component_id")).select(number, "component_id"), "followers")
+    members = follow.unionByName(follow.select(F.col("component_id").alias(number), "component_id").distinct())
+    placed = members.join(rows.select(number, F.col(f"`{id_col}`").alias("id")), number)
+    first = placed.groupBy("component_id").agg(F.min(F.struct("id", number)).alias("m")).select(F.col("m").getField(number).alias(number))
+    extra = materialise(members.select(number).join(first, number, "left_anti"), "extra")
+    # numbers are sent to the texts up to a fixed number of them; beyond it both are shuffled
     extra = F.broadcast(extra) if extra.count() <= SENT_IDS else extra.hint("merge")
-    return docs.join(extra, docs[id_col].eqNullSafe(extra["extra id"]), "left_anti")
+    return rows.join(extra, number, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -80,3 +80,16 @@ def test_components_of_chains_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (5, 5)]
     found = {r.v: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200, 202: 200}
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows that share an id are still told apart: unique texts stay, and of near copies one."""
+    r = random.Random(5)
+    prose = lambda: [f"w{r.randrange(10_000)}" for _ in range(60)]
+    a, b, c, d, e, f = (prose() for _ in range(6))
+    near = lambda words, k: " ".join([*words, *(f"more{k}" for _ in range(k))])
+    rows = [(1, near(a, 0)), (5, near(a, 1)), (5, near(c, 0)), (7, near(d, 0)), (7, near(d, 1)), (9, near(d, 2)), (None, near(e, 0)), (None, near(e, 1)), (None, near(f, 0)), (3, near(e, 2)), (4, near(b, 0)), (4, near(b, 0)), (8, ""), (8, None)]
+    kept = [tuple(x) for x in jaccard_join.keep_smallest(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    groups = {w[0]: name for name, w in zip("abcdef", (a, b, c, d, e, f), strict=True)}
+    assert all(x in rows for x in kept)
+    assert sorted((groups.get((t or "").split(" ")[0], ""), str(i)) for i, t in kept) == [("", "8"), ("", "8"), ("a", "1"), ("b", "4"), ("c", "5"), ("d", "7"), ("e", "None"), ("f", "None")]
