@@ -18,6 +18,8 @@ class EngineConfig:
     match_hours: int = 72
     similarity: float = 0.42
     title_similarity: float = 0.62
+    text_similarity: float = 0.30
+    reply_text_similarity: float = 0.20
     post_score: float = 0.34
     stale_source_hours: int = 48
     event_hours: int = 7

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.text import normalize, overlap, title_similarity, tokens
+from ..functions.text import normalize, overlap, set_similarity, title_similarity, tokens
 from ..functions.url import url_hash
 
 CONFIG = EngineConfig()
@@ -72,8 +72,7 @@ def score_pairs(pairs: DataFrame, articles: DataFrame, config: EngineConfig = CO
     entity, text = F.greatest("people", "event"), F.greatest("content", "headline")
     recency = F.greatest(F.lit(0.0), 1 - F.col("gap") / config.match_hours)
     score = F.when(named, 0.34 * F.col("content") + 0.28 * F.col("headline") + 0.24 * entity + 0.14 * recency).otherwise(0.48 * F.col("content") + 0.38 * F.col("headline") + 0.14 * recency)
-    strong = text >= 0.2
-    accepted = ((score >= config.similarity) & strong) | ((F.col("headline") >= config.title_similarity) & ((entity > 0) | ~named)) | (reply & (entity >= 0.5) & strong)
+    accepted = ((score >= config.similarity) & (text >= config.text_similarity)) | ((F.col("headline") >= config.title_similarity) & ((entity > 0) | ~named)) | (reply & (entity >= 0.5) & (text >= config.reply_text_similarity))
     gates = (F.col("gap") <= config.match_hours) & ~(both & (F.col("people") == 0)) & ~apart
     return rows.withColumns({"score": score, "accepted": gates & accepted})
 
@@ -116,19 +115,23 @@ def fold_stories(articles: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def link_posts(posts: DataFrame, stories: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:
-    """JOIN-7: (post, story, score) - each post's best story; posts and stories meet on entities and rare tokens."""
-    p = posts.select("post", F.col("entities").alias("pe"), tokens(normalize(F.col("text"))).alias("pt"))
-    s = stories.select("story", F.col("entities").alias("se"), tokens(normalize(F.col("headline"))).alias("st"))
-    keys = lambda df, i, e, t: df.select(i, F.explode(F.array_distinct(F.concat(F.col(e), F.col(t)))).alias("key"))
-    sk = keys(s, "story", "se", "st")
+    """JOIN-7: (post, story, score) - each post's best story; posts and stories meet on entities, events and tokens."""
+    names = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    p = posts.select("post", names("entities").alias("pe"), names("events").alias("pv"), tokens(normalize(F.col("text"))).alias("pt"))
+    words = F.concat_ws(" ", F.col("headline"), names("entities"))
+    s = stories.select("story", names("entities").alias("se"), names("events").alias("sv"), tokens(normalize(words)).alias("st"))
+    keys = lambda df, i, *c: df.select(i, F.explode(F.array_distinct(F.concat(*(F.transform(x, normalize) for x in c[:-1]), F.col(c[-1])))).alias("key"))
+    sk = keys(s, "story", "se", "sv", "st")
     fit = sk.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= config.block_limit).select("key")
-    pairs = keys(p, "post", "pe", "pt").join(sk.join(fit, "key"), "key").select("post", "story").distinct()
+    pairs = keys(p, "post", "pe", "pv", "pt").join(sk.join(fit, "key"), "key").select("post", "story").distinct()
     rows = pairs.join(p, "post").join(s, "story")
-    people, text = overlap(F.col("pe"), F.col("se")), F.size(F.array_intersect("pt", "st")) / F.greatest(F.size(F.array_union("pt", "st")), F.lit(1))
-    named = (F.size("pe") > 0) & (F.size("se") > 0)
+    people, event = set_similarity(F.col("pe"), F.col("se")), set_similarity(F.col("pv"), F.col("sv"))
     shared = F.size(F.array_intersect("pt", "st"))
-    score = F.when(named, 0.45 * people + 0.30 * text).otherwise(0.85 * text)
-    rows = rows.withColumn("score", score).filter(~(named & (people == 0)) & ~((people == 0) & (shared < 3)) & (F.col("score") >= config.post_score))
+    text = shared / F.greatest(F.size(F.array_union("pt", "st")), F.lit(1))
+    both = (F.size("pe") > 0) & (F.size("se") > 0)
+    named = (F.size("pe") + F.size("pv") + F.size("se") + F.size("sv")) > 0
+    score = F.when(named, 0.45 * people + 0.25 * event + 0.30 * text).otherwise(0.85 * text)
+    rows = rows.withColumn("score", score).filter(~(both & (people == 0)) & ~((people == 0) & (event == 0) & (shared < 3)) & (F.col("score") >= config.post_score))
     return rows.groupBy("post").agg(F.max(F.struct("score", (-F.col("story")).alias("s"))).alias("m")).select("post", (-F.col("m.s")).alias("story"), F.col("m.score").alias("score"))
 
 

@@ -1,6 +1,7 @@
 """What the operators mean, on rows made by hand."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,55 @@ def test_clusters_follow_the_best_earlier_article(spark):
     assert folded == {1: 2, 3: 0}
 
 
+def share(x, y):
+    return len(set(x) & set(y)) / min(len(set(x)), len(set(y))) if x and y else 0.0
+
+
+def test_pair_rules_against_the_reference_formula(spark):
+    r = random.Random(3)
+    some = lambda names: r.sample(names, r.randint(0, 2))
+    vocabulary = [f"{x}{y}" for x in ("alpha", "bravo", "delta", "hotel", "india", "tango") for y in ("ville", "worth", "stone", "field")]
+    rows = [(i, dt.datetime(2024, 5, 1) + dt.timedelta(hours=r.randint(0, 60)), " ".join(r.sample(vocabulary, 3)), some(["jones", "silva"]), some(["E1", "E2"]), r.choice(["injury", "result", "general"]), r.random() < 0.4) for i in range(60)]
+    articles = spark.createDataFrame(rows, "id long, at timestamp, title string, entities array<string>, events array<string>, category string, has_denial boolean")
+    pairs = spark.createDataFrame([(a, b, round(r.random(), 3)) for a in range(60) for b in range(a + 1, 60)], "a long, b long, content double")
+    by_id, outcomes = {x[0]: x for x in rows}, set()
+    for x in matching.score_pairs(pairs, articles).collect():
+        (_, at_a, _, ent_a, ev_a, cat_a, _), (_, at_b, _, ent_b, ev_b, cat_b, denies) = by_id[x.a], by_id[x.b]
+        gap, people, event = abs((at_b - at_a).total_seconds()) / 3600, share(ent_a, ent_b), share(ev_a, ev_b)
+        reply, entity, text = denies and gap <= 24 and (people > 0 or event > 0), max(people, event), max(x.content, x.headline)
+        named, recency = bool(ent_a or ent_b or ev_a or ev_b), max(0, 1 - gap / 72)
+        score = 0.34 * x.content + 0.28 * x.headline + 0.24 * entity + 0.14 * recency if named else 0.48 * x.content + 0.38 * x.headline + 0.14 * recency
+        gate = gap <= 72 and not (ent_a and ent_b and people == 0) and not (not reply and cat_a != cat_b and "general" not in (cat_a, cat_b))
+        want = gate and ((score >= 0.42 and text >= 0.3) or (x.headline >= 0.62 and (entity > 0 or not named)) or (reply and entity >= 0.5 and text >= 0.2))
+        assert abs(score - x.score) < 1e-9 and x.accepted == bool(want)
+        outcomes.add((x.accepted, 0.2 <= text < 0.3 and score >= 0.42))
+    assert {(True, False), (False, True)} <= outcomes
+
+
+def test_posts_link_to_the_reference_formulas_best_story(spark):
+    r = random.Random(4)
+    some = lambda names: r.sample(names, r.randint(0, 2))
+    vocabulary = ["alpha", "bravo", "delta", "hotel", "india", "tango", "quebec", "romeo", "sierra", "victor"]
+    posts = [(i, " ".join(r.sample(vocabulary, 4)), some(["jones", "silva", "pereira"]), some(["Event One", "Event Two"])) for i in range(80)] + [(80, "kilos", [], ["Event One"])]
+    stories = [(i, " ".join(r.sample(vocabulary, 4)), some(["jones", "silva", "pereira"]), some(["Event One", "Event Two"])) for i in range(25)] + [(25, "zulus", [], ["Event One"])]
+    want, only_event = {}, 0
+    for post, text, pe, pv in posts:
+        best = []
+        for story, headline, se, sv in stories:
+            people, event, p, s = share(pe, se), share(pv, sv), set(text.split()), {*headline.split(), *se}
+            score = 0.45 * people + 0.25 * event + 0.30 * len(p & s) / len(p | s) if pe or pv or se or sv else 0.85 * len(p & s) / len(p | s)
+            if not (pe and se and people == 0) and not (people == 0 and event == 0 and len(p & s) < 3) and score >= 0.34:
+                best.append((round(score, 9), -story, people))
+        if best:
+            score, story, people = max(best)
+            want[post] = (-story, score)
+            only_event += people == 0
+    kinds = "text string, entities array<string>, events array<string>"
+    found = matching.link_posts(spark.createDataFrame(posts, f"post long, {kinds}"), spark.createDataFrame(stories, f"story long, {kinds}").withColumnRenamed("text", "headline"))
+    rows = {x.post: (x.story, round(x.score, 9)) for x in found.collect()}
+    assert {k: v[1] for k, v in rows.items()} == {k: v[1] for k, v in want.items()} and only_event
+
+
 def test_redirects_survive_cycles(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (10, 11), (11, 10), (12, 10)], "id long, target long")
     found = {r.id: r.target for r in resolve.follow_redirects(links, keep).collect()}
