@@ -10,17 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch.  Texts may be long, so batches are kept small.
-BATCH_ROWS = 500
+#: Bytes in one Arrow batch, after which it ends with the row that it holds.
+BATCH_BYTES = 4 << 20
 #: Rows of narrow tables that one file holds.
 FILE_ROWS = 100_000
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough that a batch of long texts fits a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches small enough that a batch of long texts fits a worker; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,18 +1,27 @@
-"""Stupid-backoff language-model scores, computed by partitioned joins.
-
-Tokens are those of a public byte-level BPE vocabulary, so the unigram table has a fixed number of
-rows (at most 65,536) and is broadcast.  The bigram table grows with the corpus and is never in one
-place: every document's distinct bigrams, with how often it has them, are dealt by a hash of the
-bigram to partitions.  A partition's bigrams meet all of their occurrences there, so it counts them
-(its part of the count table), joins the counts back to the exploded bigrams and sums each
-document's share of the score.  A last shuffle, by buckets of documents, adds the shares up.
-
-Score of a token after another: c(ab) / c(a) where the bigram was seen `min_count` times or more in
-the corpus, else backoff * c(b) / tokens.  The first token follows a start mark that counts as
-often as there are documents.
-
-Null and empty texts have no tokens and score 0.  Rows that share an id are scored as one document;
-null ids count as one id.  An empty table gives an empty result.  Texts are read whole.
+"""Stupid-backoff language-model scores, computed relationally.
+
+1. Blocks: the documents' words become a table of blocks, each the words of some documents as
+   numbers into the block's own vocabulary.  Written once, so a retry can't deal anew.
+2. N-grams: every block is exploded into its distinct n-grams of orders 1 to `order` with how often
+   it has them - counts are added up within a block before anything is shuffled - dealt by a
+   hash of the n-gram.  A row holds a block's part of one hash partition, packed.
+3. Counts: a hash partition adds up its n-grams over all blocks (its part of the count table) and
+   joins the totals back to the rows that asked.
+4. Scores: a block meets its totals again, looks up every n-gram of every document and sums.
+
+The commonest n-gram has one row a block, however many documents hold it, so no key is hot: a
+partition's size depends on the number of its distinct n-grams in blocks alone.
+
+Score of a word after the words before it, with c the counts of the corpus without the document
+that is scored (its own n-grams would all be seen): c(abw) / c(ab) where abw was seen, else
+backoff times the score with one word less; after none, c(w) / words, at least one occurrence.
+The first words of a document have a shorter history.
+
+Words are runs between ASCII white space, A-Z in lower case, known by 64-bit hashes; n-grams too.
+Null and empty texts and such without words have no words and score 0.  Every row is scored by
+itself; rows that repeat an id or a text see each other.  Ids are whole numbers or null.  A text
+is read whole and its words lie in one block, so a task holds the longest text at least.  Other
+columns, whatever their names, aren't read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,170 +35,190 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import load_ranks
-from .common import arrow_map, materialise
-
-BACKOFF, MIN_COUNT = 0.4, 2
-#: Bigrams that a task deals out together, and that a partition holds on average.
-RUN, PARTITION_BIGRAMS = 1_000_000, 3_000_000
-MIX = np.uint64(0x9E3779B97F4A7C15)
-LOWEST = -(1 << 63)
+from .common import arrow_map, materialise, utf8
+from .words import by_text, distinct, window_hashes
 
+ORDER, BACKOFF = 3, 0.4
+#: Words of a block, and n-grams that a hash partition has on average.
+BLOCK_WORDS, PARTITION_GRAMS = 1_000_000, 2_000_000
 
-def _encoder(ranks: str, pattern: str):
-    import tiktoken
 
-    vocabulary = load_ranks(ranks)
-    if len(vocabulary) >= 1 << 16:
-        raise ValueError("bigrams are kept in 32 bits: the vocabulary must have fewer than 65,536 tokens")
-    coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
-    return lambda text: coder.encode_to_numpy(text, disallowed_special=()), len(vocabulary)
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, which compress where the upper bytes are mostly nought."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _unigrams(ranks: str, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start = _encoder(ranks, pattern)
-        counts = np.zeros(start + 1, np.int64)
-        for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            if texts:
-                counts += np.bincount(np.concatenate([encode(t) for t in texts]), minlength=start + 1)
-                counts[start] += len(texts)
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(counts[found], pa.int64())], ["token", "n"])
+def _unpack(blob: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
 
-    return run
 
+def _blocks(most: int):
+    """Blocks of documents: their ids, numbers of words, the block's vocabulary, and the words by its numbers."""
 
-def _bigrams(ranks: str, pattern: str, partitions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start = _encoder(ranks, pattern)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        held: list[tuple] = []
-        many = 0
+        keys: list[int | None] = []
+        sizes: list[int] = []
+        held: list[np.ndarray] = []
 
-        def dealt() -> Iterator[pa.RecordBatch]:
-            grams, times, keys = (np.concatenate(c) for c in zip(*held, strict=True))
-            p = ((grams.astype(np.uint64) * MIX >> np.uint64(32)) % np.uint64(partitions)).astype(np.int32)
-            order = np.argsort(p, kind="stable")  # documents stay in order within a partition
-            grams, times, keys, p = grams[order], times[order], keys[order], p[order]
-            cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-            ends = np.r_[cuts[1:], len(p)]
-            for lo in range(0, len(cuts), 256):
-                blobs = [pack(grams[s:e].tobytes() + times[s:e].tobytes() + keys[s:e].tobytes()) for s, e in zip(cuts[lo : lo + 256], ends[lo : lo + 256], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(p[cuts[lo : lo + 256]]), pa.array((ends - cuts)[lo : lo + 256], pa.int32()), pa.array(blobs, pa.binary())], ["p", "size", "data"])
+        def block() -> pa.RecordBatch:
+            vocabulary, numbers = np.unique(np.concatenate(held), return_inverse=True)
+            columns = [pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([_pack(vocabulary)]), pa.array([_pack(numbers.astype(np.uint32))])]
+            keys.clear(), sizes.clear(), held.clear()
+            return pa.RecordBatch.from_arrays(columns, ["keys", "sizes", "vocabulary", "numbers"])
 
+        many = 0
         for batch in batches:
-            for key, text in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
-                if not text:
-                    continue
-                ids = encode(text).astype(np.uint32)
-                grams, times = np.unique(np.concatenate([[np.uint32(start)], ids[:-1]]).astype(np.uint32) << np.uint32(16) | ids, return_counts=True)
-                held.append((grams, times.astype(np.uint32), np.full(len(grams), key, np.int64)))
-                many += len(grams)
-                if many >= RUN:
-                    yield from dealt()
-                    held, many = [], 0
-        if held:
-            yield from dealt()
+            texts = (t.lower() for t in batch.column(1).to_pylist())
+            for key, (h, lo, hi) in zip(batch.column(0).to_pylist(), by_text(texts), strict=True):
+                keys.append(key)
+                sizes.append(hi - lo)
+                held.append(h[lo:hi].copy())
+                many += hi - lo
+                if many >= most or len(keys) >= most:
+                    yield block()
+                    many = 0
+        if keys:
+            yield block()
 
     return run
 
 
-def _shares(sent, backoff: float, min_count: int, buckets: int):
-    def share(blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        log_count, log_total = sent.value
-        unpack = zstandard.ZstdDecompressor().decompress
-        columns: list[list[np.ndarray]] = [[], [], []]
-        for size, blob in blobs:
-            raw, at = unpack(blob), 0
-            for column, kind in zip(columns, ("<u4", "<u4", "<i8"), strict=True):
-                column.append(np.frombuffer(raw, kind, size, at))
-                at += size * np.dtype(kind).itemsize
-        grams, times, keys = map(np.concatenate, columns)
-        table, at = np.unique(grams, return_inverse=True)  # this partition's part of the count table
-        counts = np.bincount(at, times, len(table))
-        seen = np.log(counts) - log_count[table >> np.uint32(16)]
-        unseen = math.log(backoff) + log_count[table & np.uint32(0xFFFF)] - log_total
-        each = np.where(counts >= min_count, seen, unseen)
-        docs, of = np.unique(keys, return_inverse=True)
-        score, n = np.bincount(of, each[at] * times, len(docs)), np.bincount(of, times, len(docs))
-        backed = np.bincount(of, times * (counts[at] < min_count), len(docs))
-        # the shares leave by buckets of documents, so that there are not documents times partitions rows
-        q = ((docs.view(np.uint64) * MIX >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(q, kind="stable")
-        q, docs, score, n, backed = q[order], docs[order], score[order], n[order].astype("<i8"), backed[order].astype("<i8")
-        pack = zstandard.ZstdCompressor(level=1).compress
-        cuts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        ends = np.r_[cuts[1:], len(q)]
-        data = [pack(b"".join(x[lo:hi].tobytes() for x in (docs, score, n, backed))) for lo, hi in zip(cuts, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(q[cuts]), pa.array(ends - cuts, pa.int32()), pa.array(data, pa.binary())], ["q", "size", "data"])
+def _block_grams(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the hashes of a block's n-grams, and where their last words stand."""
+    rank = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place of a word in its document
+    for n in range(1, order + 1):
+        if len(words) < n:
+            yield np.empty(0, np.uint64), np.empty(0, np.int64)
+            continue
+        ends = np.flatnonzero(rank >= n - 1)
+        yield window_hashes(words, n)[ends - n + 1], ends
+
 
+def _grams(order: int, partitions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
         for batch in batches:
-            for p, size, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if p != now and blobs:
-                    yield from share(blobs)
-                    blobs = []
-                now = p
-                blobs.append((size, blob))
-        if blobs:
-            yield from share(blobs)
+            for block, sizes, vocabulary, numbers in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                words = _unpack(vocabulary, "<u8")[_unpack(numbers, "<u4")]
+                grams, times = np.unique(np.concatenate([g for g, _ in _block_grams(words, np.array(sizes), order)]), return_counts=True)
+                # partitions are ranges of the hash, so a block's n-grams stay in order
+                p = _partition(grams, partitions)
+                cuts = np.searchsorted(p, np.arange(partitions + 1))
+                found = np.flatnonzero(np.diff(cuts))
+                for lo in range(0, len(found), 256):
+                    some = found[lo : lo + 256].tolist()
+                    gaps = [_pack(np.diff(grams[cuts[k] : cuts[k + 1]], prepend=np.uint64(0))) for k in some]
+                    counts = [_pack(times[cuts[k] : cuts[k + 1]].astype(np.uint32)) for k in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array(gaps, pa.binary()), pa.array(counts, pa.binary())], ["p", "block", "grams", "times"])
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the shares of each document, bucket by bucket."""
+def _partition(grams: np.ndarray, partitions: int) -> np.ndarray:
+    return ((grams >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's part of the count table, joined to the rows that hold its n-grams."""
 
-    def added(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        unpack = zstandard.ZstdDecompressor().decompress
-        for size, blob in blobs:
-            raw = unpack(blob)
-            for k, kind in enumerate(("<i8", "<f8", "<i8", "<i8")):
-                columns[k].append(np.frombuffer(raw, kind, size, 8 * size * k))
-        keys, score, n, backed = map(np.concatenate, columns)
-        docs, of = np.unique(keys, return_inverse=True)
-        whole = lambda x: pa.array(np.rint(np.bincount(of, x, len(docs))).astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(np.bincount(of, score, len(docs))), whole(n), whole(backed)], ["key", "score", "n", "backed"])
+    def joined(p: int, rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        grams = [np.cumsum(_unpack(g, "<u8"), dtype=np.uint64) for _, g, _ in rows]
+        times = [_unpack(t, "<u4") for _, _, t in rows]
+        table = distinct(np.concatenate(grams))
+        counts = np.zeros(len(table), np.int64)
+        places = [np.searchsorted(table, g) for g in grams]
+        for at, n in zip(places, times, strict=True):
+            counts[at] += n  # a block has each n-gram once
+        for lo in range(0, len(rows), 256):
+            some = range(lo, min(lo + 256, len(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in some], pa.int64()), pa.array([p] * len(some), pa.int32()), pa.array([_pack(counts[places[k]]) for k in some], pa.binary())], ["block", "p", "totals"])
 
-    now, blobs = None, []
+    now, rows = None, []
     for batch in batches:
-        for q, size, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if q != now and blobs:
-                yield added(blobs)
-                blobs = []
-            now = q
-            blobs.append((size, blob))
-    if blobs:
-        yield added(blobs)
+        for p, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if p != now and rows:
+                yield from joined(now, rows)
+                rows = []
+            now = p
+            rows.append(tuple(row))
+    if rows:
+        yield from joined(now, rows)
+
+
+def _block_scores(words: np.ndarray, sizes: np.ndarray, totals: np.ndarray, order: int, backoff: float, corpus: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each document the sum of its words' log scores, and how many of them backed off."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    levels = list(_block_grams(words, sizes, order))
+    table = distinct(np.concatenate([g for g, _ in levels]))
+    score = np.zeros(len(words))
+    backed = np.zeros(len(words), bool)
+    below = None  # counts of the n-grams of the order below, by their last word
+    for n, (grams, ends) in enumerate(levels, 1):
+        at = np.searchsorted(table, grams)
+        # what the document itself has of each of its n-grams
+        _, which, own = np.unique(of[ends] * len(table) + at, return_inverse=True, return_counts=True)
+        others = np.zeros(len(words), np.int64)
+        others[ends] = totals[at] - own[which]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if n == 1:
+                rest = np.maximum(corpus - sizes[of], 1)
+                score = np.log(np.maximum(others, 1)) - np.log(rest)
+                backed = others == 0
+            else:
+                seen = others[ends] > 0
+                score[ends] = np.where(seen, np.log(others[ends]) - np.log(below[ends - 1]), math.log(backoff) + score[ends])
+                backed[ends] = ~seen
+        below = others
+    return np.bincount(of, score, len(sizes)), np.bincount(of, backed, len(sizes)).astype(np.int64)
+
+
+def _scores(order: int, backoff: float, corpus: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scored(block: tuple, totals: list[bytes]) -> pa.RecordBatch:
+            keys, sizes, vocabulary, numbers = block
+            sizes = np.array(sizes)
+            score, backed = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+            if totals:
+                words = _unpack(vocabulary, "<u8")[_unpack(numbers, "<u4")]
+                score, backed = _block_scores(words, sizes, np.concatenate([_unpack(t, "<i8") for t in totals]), order, backoff, corpus)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(backed), pa.array(score)], ["key", "n", "backed", "score"])
+
+        block, totals = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
+                if row[0] is not None:
+                    if block:
+                        yield scored(block, totals)
+                    block, totals = row[:4], []
+                else:
+                    totals.append(row[4])
+        if block:
+            yield scored(block, totals)
 
+    return run
 
-def score(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
-    """id, n_tokens, n_backed_off, log_score (natural log, summed), mean_log_score; one row per id.
 
-    ranks: path of a rank file that every worker can read."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """id, n_tokens, n_backed_off, log_score (natural log, summed), mean_log_score; one row per row of docs."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LOWEST)).alias("key"), F.col(f"`{text_col}`").alias("text"))
-    counts = arrow_map(rows.select("text"), _unigrams(ranks, pattern), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most 65,536 rows
-    table = np.zeros(1 << 16)
-    for r in counts:
-        table[r["token"]] = r["n"]
-    start = len(load_ranks(ranks))
-    tokens = int(table.sum() - table[start])
-    sent = spark.sparkContext.broadcast((np.log(np.maximum(table, 1)), math.log(max(tokens, 1))))
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // PARTITION_BIGRAMS)
-    dealt = arrow_map(rows, _bigrams(ranks, pattern, partitions), "p int, size int, data binary").repartition(partitions, "p").sortWithinPartitions("p")
-    shares = arrow_map(dealt, _shares(sent, backoff, min_count, partitions), "q int, size int, data binary")
-    summed = arrow_map(shares.repartition(partitions, "q").sortWithinPartitions("q"), _added, "key long, score double, n long, backed long")
-    out = rows.select("key").distinct().join(materialise(summed, "scores"), "key", "left")
-    n, total = F.coalesce("n", F.lit(0)), F.coalesce("score", F.lit(0.0))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), utf8(F.col(f"`{text_col}`")).alias("text"))
+    blocks = arrow_map(rows, _blocks(block_words), "keys array<long>, sizes array<long>, vocabulary binary, numbers binary")
+    blocks = materialise(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    corpus = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), order * corpus // PARTITION_GRAMS)
+    grams = arrow_map(blocks.select("block", "sizes", "vocabulary", "numbers"), _grams(order, partitions), "p int, block long, grams binary, times binary")
+    totals = arrow_map(grams.repartition(partitions, "p").sortWithinPartitions("p"), _totals, "block long, p int, totals binary")
+    # a block comes before its totals, which follow in the order of its n-grams
+    both = blocks.withColumns({"p": F.lit(-1), "totals": F.lit(None).cast("binary")}).unionByName(totals, allowMissingColumns=True)
+    both = both.select("block", "p", "keys", "sizes", "vocabulary", "numbers", "totals")
+    met = both.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block").sortWithinPartitions("block", "p")
+    out = arrow_map(met, _scores(order, backoff, corpus), "key long, n long, backed long, score double")
     return out.select(
-        F.when(F.col("key") != LOWEST, F.col("key")).alias(id_col),
-        n.alias("n_tokens"),
-        F.coalesce("backed", F.lit(0)).alias("n_backed_off"),
-        F.round(total, 4).alias("log_score"),
-        F.round(F.when(n > 0, total / n).otherwise(0.0), 6).alias("mean_log_score"),
+        F.col("key").alias(id_col),
+        F.col("n").alias("n_tokens"),
+        F.col("backed").alias("n_backed_off"),
+        F.round("score", 4).alias("log_score"),
+        F.round(F.when(F.col("n") > 0, F.col("score") / F.col("n")).otherwise(0.0), 6).alias("mean_log_score"),
     )

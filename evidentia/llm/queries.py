@@ -66,12 +66,9 @@ def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from .lm_score import score
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 #: The rules of the contract, (action, host, path).
