@@ -1,6 +1,7 @@
 """The operators against brute force, on odd rows: nulls, empty and long texts, ties, repeats, clashing names."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evidentia.llm import bpe, exact_dedup, packing, pii, quality, sharding, url_filter, warc
+from evidentia.llm.common import new_path
 from evidentia.llm.pretokens import splitter
 from evidentia.llm.queries import URL_RULES, oracle_sql
 
@@ -320,14 +322,40 @@ def test_archives(spark, sf_dir):
     assert Counter(tuple(r) for r in warc.archive(pages).collect()) == want
 
 
-def test_foreign_archives():
-    head, body = b"HTTP/1.0 200 OK\r\n\r\n", b"\xff\xfe not utf-8 \n\n http://x.com/ 1.2.3.4 20010101000000 text/html 5\n"
-    block = warc.arc_version_block(2, "old.arc")
-    line = b"http://x.com/a b 1.2.3.4 20010101000000 text/html 200 - - 0 old.arc %d\n" % len(head + body)
-    [(fields, content)] = warc.read_arc(block + b"\n" + line + head + body + b"\n")
-    assert fields["URL"] == "http://x.com/a b" and fields["Result-code"] == "200" and bytes(content) == head + body
+def test_foreign_archives(spark, tmp_path):
+    """Hand-made ARC 1 and ARC 2 files, by no means of this library's making."""
+    plain, wide = b"HTTP/1.0 200 OK\r\n\r\n", b"HTTP/1.1 200 OK\r\nX-Long: " + b"a" * 100_000 + b"\r\n\r\n"
+    body = b"\xff\xfe not utf-8 \n\n http://x.com/ 1.2.3.4 20010101000000 text/html 5\n"
+    version = b"1 0 Crawler\nURL IP-address Archive-date Content-type Archive-length\n"
+    one = b"filedesc://one.arc 0.0.0.0 19960923142103 text/plain %d\n%s\n\n" % (len(version), version)
+    two = warc.arc_version_block(2, "two.arc")
     with pytest.raises(ValueError, match="shorter"):
-        list(warc.read_arc(block + line + head))
+        list(warc.read_arc(two + b"http://x.com/ 1.2.3.4 20010101000000 text/html 200 - - 0 two.arc 9\nHTTP"))
+    first = [(b"http://x.com/a b 1.2.3.4 20010101000000 text/html %d\n", plain + body), (b"dns:x.com 1.2.3.4 200101 text/dns %d\n", b"x.com A 1.2.3.4"), (b"http://bare.com/ 1.2.3.4 never text/html %d\n", body)]
+    second = [(b"http://y.com/ 1.2.3.4 20010102030405 text/html 200 - - 0 two.arc %d\n", wide + body), (b"http://z.com/ 1.2.3.4 20010102030405 text/html 200 - - 0 two.arc %d\n", b"HTTP/1.0 200 OK\nA: b\n\nother")]
+    (tmp_path / "one.arc").write_bytes(one + b"\n".join(h % len(c) + c for h, c in first) + b"\n")
+    (tmp_path / "two.arc.gz").write_bytes(b"".join(gzip.compress(x + b"\n") for x in [two, *(h % len(c) + c for h, c in second)]))
+    assert [fields["URL"] for _, fields, _ in warc.read_arc((tmp_path / "one.arc").read_bytes())] == ["http://x.com/a b", "dns:x.com", "http://bare.com/"]
+    warc.convert(spark, str(tmp_path), str(tmp_path / "out"), names="*.arc*")
+    found = {r.url: r for r in warc.read_back(spark, str(tmp_path / "out")).collect()}
+    assert {u: r.record_type for u, r in found.items()} == {"http://x.com/a b": "revisit", "dns:x.com": "resource", "http://bare.com/": "resource", "http://y.com/": "response", "http://z.com/": "response"}
+    assert found["http://x.com/a b"].refers_to_id == found["http://y.com/"].record_id
+    assert all(r.key is None and r.refers_to is None for r in found.values())
+    assert {u: r.payload_bytes for u, r in found.items()} == {"http://x.com/a b": len(body), "dns:x.com": 15, "http://bare.com/": len(body), "http://y.com/": len(body), "http://z.com/": 5}
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "out").glob("part-*"))
+    assert re.findall(rb"WARC-Target-URI: dns:.*?WARC-Date|WARC-Date: (.*)\r\nWARC-Target-URI: dns", text) == [b"2001-01-01T00:00:00Z"]
+    assert b"WARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: http://bare.com/" in text
+
+
+def test_archives_are_bounded(spark):
+    """A task rolls on to new archives, each with its own version block."""
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("http://a.org/").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), F.lit(20_000)).alias("html")).coalesce(1)
+    path = new_path(spark, "arcs")
+    warc.write_arc(pages, path)
+    sizes = [len(gzip.decompress(bytes(r.content))) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    assert len(sizes) > 1 and max(sizes) <= (warc.CHUNK + 1_300_000) * warc.ARCHIVE_CHUNKS
+    found = warc.archive(pages)
+    assert found.count() == 60 and found.filter("record_type = 'response'").count() == 60
 
 
 @pytest.mark.parametrize("name", ["dedup", "shard", "bpe", "pack", "pii", "redact", "quality", "good", "urls", "warc"])
