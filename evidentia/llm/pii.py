@@ -10,8 +10,12 @@ maximisation estimates each labeler's reliability without labels, and a logistic
 is fitted to the posteriors.  Candidates that the classifier is sure of are added where they touch
 no base span.
 
-Offsets are code points.  Null text is empty: no spans.  Repeated rows and ids are each judged by
-themselves; an empty table gives an empty result and a model that adds nothing.
+Offsets are code points.  Null text is empty: no spans; redaction leaves it null.  Of added candidates
+in one place, or that overlap, the one that starts first stays, then the longer, then the kind listed
+first.  Repeated rows and ids are each judged by themselves; other columns pass redaction as they
+are, whatever their names; an empty table gives an empty result and a model that adds nothing.
+Texts are read whole at any length, in time that grows with the text and its matches: running sums
+over matches go by blocks, and cuts are taken from pieces of the text.
 """
 
 from __future__ import annotations
@@ -50,7 +54,10 @@ EXTRA = {
 LABELERS = ["pattern", "gazetteer", "context", "shape", "touch"]
 #: Characters before a candidate that the context labeler reads.
 CONTEXT = 32
+#: Elements of a running fold, and characters of a text, that are handled together.
+BLOCK, PIECE = 128, 4096
 SURE = 0.9
+NEVER = (1 << 31) - 1
 
 #: Gazetteers and cues.
 DOMAINS = "com org net edu gov io info de fr es it uk eu ch at nl be pl us ca au br mx jp"
@@ -80,10 +87,27 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.split(marked, "\u0001", -1)
 
 
+def running(values: Column, fold: Callable[[Column, Column], Column], start: int) -> Column:
+    """The fold of an array of ints up to and with each element.  An array grows by copying itself, so
+    it is folded in blocks, and then over the blocks."""
+    empty = F.array().cast("array<int>")
+    step = lambda acc, x: F.struct(fold(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(fold(acc["at"], x))).alias("all"))
+    scan = lambda a: F.aggregate(a, F.struct(F.lit(start).alias("at"), empty.alias("all")), step)["all"]
+
+    def placed(inner: Column) -> Column:
+        before = F.concat(F.array(F.lit(start)), scan(F.transform(inner, lambda x: F.element_at(x, -1))))
+        return let(before, lambda b: F.flatten(F.transform(inner, lambda x, i: F.transform(x, lambda y: fold(F.get(b, i), y)))))
+
+    def blocks(v: Column) -> Column:
+        many = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        return F.when(F.size(v) > 0, let(F.transform(many, lambda k: scan(F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))), placed)).otherwise(empty)
+
+    return let(values, blocks)
+
+
 def _ends(parts: Column) -> Column:
     """Code points up to the end of each part."""
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["all"], F.array(acc["at"] + F.length(x))).alias("all"))
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step)["all"]
+    return running(F.transform(parts, F.length), lambda a, b: a + b, 0)
 
 
 def _valid(kind: str, v: Column) -> Column:
@@ -219,13 +243,25 @@ def decide(found: Column, model: dict) -> Column:
         # what fails a base pattern's own check teaches the model, but is never added
         return (c["pattern"] >= 0) & (z > math.log(SURE / (1 - SURE)))
 
-    def both(split: Column) -> Column:
-        free = lambda c: ~F.exists(split["base"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        lone = lambda c: ~F.exists(split["rest"], lambda b: (b["start"] < c["start"]) & (c["start"] < b["end"]) | (b["start"] == c["start"]) & (b["end"] > c["end"]))
-        return F.concat(split["base"], F.filter(split["rest"], lambda c: free(c) & lone(c) & sure(c)))
+    def ordered(found: Column) -> Column:
+        place = lambda c: F.array_position(F.array(*map(F.lit, KINDS)), c["kind"])
+        return F.array_sort(F.transform(found, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("longest"), place(c).alias("place"), c.alias("c"))))
 
-    split = F.struct(F.filter(found, lambda c: c["base"]).alias("base"), F.filter(found, lambda c: ~c["base"]).alias("rest"))
-    return F.when(F.size(found) > 0, let(split, both)).otherwise(found)
+    def both(rows: Column) -> Column:
+        """Of spans in order, those before one reach over it if the furthest of them does, those after it if the next one does."""
+        ends = lambda base: F.transform(rows, lambda x: F.when(x["c"]["base"] == base, x["c"]["end"]).otherwise(F.lit(-1)))
+        starts = F.transform(rows, lambda x: F.when(x["c"]["base"], x["start"]).otherwise(F.lit(NEVER)))
+        nearest = F.reverse(running(F.reverse(starts), F.least, NEVER))
+        far = F.struct(running(ends(True), F.greatest, -1).alias("base"), running(ends(False), F.greatest, -1).alias("rest"), nearest.alias("next"))
+
+        def stands(x: Column, i: Column, far: Column) -> Column:
+            free = (F.get(far["base"], i) <= x["start"]) & (F.get(far["next"], i) >= x["c"]["end"])
+            lone = F.coalesce(F.get(far["rest"], i - 1), F.lit(-1)) <= x["start"]
+            return x["c"]["base"] | (free & lone & sure(x["c"]))
+
+        return let(far, lambda f: F.transform(F.filter(rows, lambda x, i: stands(x, i, f)), lambda x: x["c"]))
+
+    return F.when(F.exists(found, lambda c: ~c["base"]), let(ordered(found), both)).otherwise(found)
 
 
 def listed(spans: Column) -> Column:
@@ -246,20 +282,37 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return found.select(F.col("key").alias(id_col), *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(decide(F.col("found"), model)).alias("spans"))
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by its kind; of spans that overlap, the later gives what the earlier left."""
+    ordered = F.array_sort(F.transform(spans, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        some = F.slice(pieces, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1)
+        return F.when(a < b, F.substring(F.array_join(some, ""), a - first * PIECE + 1, b - a)).otherwise(F.lit(""))
+
+    def rebuilt(x: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(x["reach"], i - 1), F.lit(0))
+        parts = F.transform(x["spans"], lambda c, i: F.concat(cut(x["pieces"], at(i), F.greatest(c["start"], at(i))), F.lit("["), F.upper(c["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), cut(x["pieces"], F.element_at(x["reach"], -1), x["size"]))
+
+    def read(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda c: c["end"]), F.greatest, 0)
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+        return let(F.struct(spans.alias("spans"), reach.alias("reach"), pieces.alias("pieces"), F.length(text).alias("size")), rebuilt)
+
+    return let(ordered, read)
+
+
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with each span replaced by its kind in brackets; length_col, if given, is set anew."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    model = learn(docs.select(candidates(text).alias("found")))
-
-    def rebuilt(spans: Column) -> Column:
-        ordered = F.array_sort(F.transform(spans, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
-        # of base spans that overlap, the later is shortened to what the earlier left
-        step = lambda acc, c: F.struct(
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(c["start"] - acc["at"], F.lit(0))), F.lit("["), F.upper(c["kind"]), F.lit("]")).alias("out"),
-            F.greatest(acc["at"], c["end"]).alias("at"),
-        )
-        return F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-
-    clean = let(decide(candidates(text), model), lambda spans: F.when(F.size(spans) > 0, rebuilt(spans)).otherwise(F.col(f"`{text_col}`")))
-    out = docs.withColumn(text_col, clean)
+    name = "found"
+    while name in docs.columns:
+        name += "_"
+    # written once with its candidates, from which the model is learnt and the text is made
+    rows = materialise(docs.withColumn(name, candidates(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))), "candidates")
+    model = learn(rows.select(F.col(name).alias("found")))
+    text = F.col(f"`{text_col}`")
+    clean = let(decide(F.col(name), model), lambda spans: F.when(F.size(spans) > 0, _without(text, spans)).otherwise(text))
+    out = rows.withColumn(text_col, F.when(F.size(name) > 0, clean).otherwise(text)).drop(name)
     return out.withColumn(length_col, F.length(F.col(f"`{text_col}`")).cast(dict(docs.dtypes)[length_col])) if length_col else out

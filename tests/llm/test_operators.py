@@ -3,8 +3,10 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -14,6 +16,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -201,6 +204,83 @@ def test_pii(spark, docs, rows):
             assert set(listed(base_spans(dict(ODD)[10])).split(",")) <= set(x.spans.split(","))
 
 
+def candidates_of(text):
+    """Every candidate with its votes, by plain search."""
+    low, search = str.lower, regex.search
+    vote = lambda yes, no: -1 if no else 1 if yes else 0
+    found = []
+    for base, patterns in ((True, {k: p for k, (p, _) in PLAIN.items()}), (False, pii.EXTRA)):
+        for kind, pattern in patterns.items():
+            matches = [m for m in re.finditer(pattern, text) if not (base and kind == "card") or 16 <= sum(map(str.isdigit, m[0])) <= 19]
+            for k, m in enumerate(matches):
+                v, digits = m[0], re.sub("[^0-9]", "", m[0])
+                before = text[matches[k - 1].end() if k else 0 : m.start()][-pii.CONTEXT :]
+                after = text[m.end() : matches[k + 1].start() if k + 1 < len(matches) else len(text)][:2]
+                ok = base and PLAIN[kind][1](v)
+                words = lambda w: "|".join(w.split())
+                gazetteer = {
+                    "email": lambda: vote(search(rf"[.)\] ]({words(pii.DOMAINS)})$", low(v)), False), "ip": lambda: vote(False, search(r"^(0|10|127|169\.254|192\.168|255)\.", v)),
+                    "card": lambda: vote(search("^(4|5[1-5]|2[2-7]|3[47]|35|6011|65)", digits), search("^[01789]", digits)),
+                    "phone": lambda: vote(search(rf"^\+({words(pii.COUNTRIES)})(?![0-9])|^\+1|555", v) if base else search(r"555[.-]", v), search("^0{3}", digits)),
+                    "secret": lambda: vote(search(r"[0-9a-f]{32,}$", v), search("[xX*]{8}", v)), "id": lambda: vote(not search("^(000|666|9)", v), search("^(000|666|9)|-00-|-0000$", v)),
+                    "name": lambda: vote(search(rf"\b({words(pii.NAMES)})\b", low(v)), False),
+                }[kind]()
+                shape = {
+                    "email": lambda: vote(len(v) <= 254, search(r"\.\.|^\.|@-", v)), "ip": lambda: vote(not search(r"(^|\.)0[0-9]", v), search(r"(^|\.)0[0-9]", v)),
+                    "card": lambda: vote(search(r"^([0-9]{4}[\x20-]?){3}[0-9]{4,7}$|^3[47]", v), search(r"^([0-9])\1+$", digits)),
+                    "phone": lambda: vote(search(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-]?[0-9]{4}$", v), search(r"[().\x20-]{4}", v) or search(r"([0-9])\1{7}", digits)),
+                    "secret": lambda: vote(search("[0-9]", v) and search("[a-z]", v), not search("[0-9]", v)), "id": lambda: vote(True, search(r"^([0-9])\1+$", digits)), "name": lambda: vote(True, False),
+                }[kind]()
+                context = vote(search(pii.CUES[kind], low(before)), kind != "secret" and search(pii.AGAINST, low(before)))
+                touch = vote(not search(r"[\p{L}0-9]$", before) and not search(r"^[\p{L}0-9]", after), search(r"[0-9]$", before) or search(r"^[0-9]", after))
+                found.append({"kind": kind, "base": ok, "start": m.start(), "end": m.end(), "pattern": (1 if ok else -1) if base else 0, "gazetteer": gazetteer, "context": context, "shape": shape, "touch": touch})
+    return found
+
+
+def decided(found, model):
+    order, odds = lambda c: (c["start"], -c["end"], pii.KINDS.index(c["kind"])), math.log(pii.SURE / (1 - pii.SURE))
+    rest = [c for c in found if not c["base"]]
+    score = lambda c: model["bias"][c["kind"]] + sum(w for (n, v), w in model["weight"].items() if c[n] == v)
+    free = lambda c: not any(b["base"] and b["start"] < c["end"] and c["start"] < b["end"] for b in found)
+    lone = lambda c: not any(order(b) < order(c) and b["end"] > c["start"] for b in rest)
+    return [c for c in found if c["base"] or c["pattern"] >= 0 and score(c) > odds and free(c) and lone(c)]
+
+
+def test_pii_adds_what_the_model_is_sure_of(spark):
+    """All spans, base and added, against plain search, plain votes and plain comparison of every two spans."""
+    r = random.Random(11)
+    bits = ["mail ", "call 212 555-0187", "(305) 555.0123 ", "card 378282246310005", "4111 1111 1111 1111", "4111111111111112 ", "ssn 123-45-6789", "666-12-1234", "token=abcdef0123456789abcdef", "api_key: 'ABCDEFGHIJKLMNOPQR'",
+            "Dr. Marie Curie", "Mr Unknown Person ", "ann (at) mail (dot) org", "bob[at]b.co", "a.b@c.de", "8.8.8.8", "10.300.1.1", "+44 20 7946 0958", "+1 212 555 0187", " version 1.2.3.4", ", ", " x ", "9", "é "]
+    rows = [(k, "".join(r.choice(bits) for _ in range(r.randint(1, 25)))) for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.learn(table.select(pii.candidates(F.col("text")).alias("found")))
+    found = {x.doc_id: x.spans for x in pii.report(table).collect()}
+    spans = {k: sorted(decided(candidates_of(t), model), key=lambda c: (pii.KINDS.index(c["kind"]), c["start"])) for k, t in rows}
+    assert found == {k: ",".join(f"{c['kind']}:{c['start']}:{c['end']}" for c in s) for k, s in spans.items()}
+    assert sum(not c["base"] for s in spans.values() for c in s) > 50
+
+    def without(text, spans):
+        out, at = "", 0
+        for c in sorted(spans, key=lambda c: (c["start"], c["end"], c["kind"])):
+            out, at = out + text[at : max(c["start"], at)] + f"[{c['kind'].upper()}]", max(at, c["end"])
+        return out + text[at:]
+
+    assert {x.doc_id: x.text for x in pii.redact(table).collect()} == {k: without(t, spans[k]) for k, t in rows}
+
+
+def test_pii_is_linear_in_a_texts_matches(spark):
+    """A hundred thousand matches in one text, some of them added ones, with signs outside the basic plane."""
+    n = 50_000
+    text = "😀 a.b@c.de 212 555-0187\n" * n
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    [row] = pii.report(table).collect()
+    [clean] = pii.redact(table).collect()
+    assert row.n_email == n and row.spans.startswith("email:2:10,email:26:34")
+    assert clean.text.count("[EMAIL]") == n and "@" not in clean.text and clean.text.count("😀") == n
+    assert time.monotonic() - began < 60
+
+
 def test_pii_learns_what_the_labelers_agree_on():
     votes = lambda p, g, c, s, t, n: {"kind": "phone", "pattern": p, "gazetteer": g, "context": c, "shape": s, "touch": t, "n": n}
     model = pii.fit([votes(1, 1, 1, 1, 1, 500), votes(-1, -1, -1, -1, -1, 500), votes(1, 1, 0, 1, 1, 300), votes(0, -1, 0, -1, 1, 300), votes(0, 1, 1, 1, 1, 5)])
