@@ -319,12 +319,79 @@ def test_language_model_is_a_distribution():
     """Kneser-Ney probabilities after any seen context add up to one, and likely text is likelier."""
     keys = np.concatenate([quality.trigrams(t) for t in ["the cat sat on the mat", "the hat that the cat had", "a man at the mill"] * 3])
     grams, counts = np.unique(keys, return_counts=True)
-    table = quality.log_table(quality.fit(grams, counts))
+    scorer = quality.Scorer(quality.fit(grams, counts))
+    table = scorer(np.arange(1 << 3 * quality.BITS, dtype=np.uint32))
     sums = np.exp(table.reshape(-1, 1 << quality.BITS).astype(float)).sum(1)
     assert np.allclose(sums, 1, atol=1e-4)
     assert table[quality.trigrams("the cat")].mean() > table[quality.trigrams("xq zv")].mean()
 
 
+class KneserNey:
+    """Interpolated modified Kneser-Ney over symbol trigrams, by dictionaries."""
+
+    def __init__(self, trigrams):
+        three = Counter(trigrams)
+        two = Counter(t[1:] for t in three)
+        self.levels = [three, two, Counter(t[1:] for t in two)]
+        self.cuts = []
+        for level in self.levels:
+            n = [0, *(sum(c == k for c in level.values()) for k in (1, 2, 3, 4))]
+            if min(n[1:]) == 0:
+                self.cuts.append([0, 0.75, 0.75, 0.75])
+                continue
+            y = n[1] / (n[1] + 2 * n[2])
+            raw = [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
+            self.cuts.append([min(max(d, low), high) for d, low, high in zip(raw, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.85], strict=True)])
+        self.after = []
+        for level in self.levels:
+            after = defaultdict(list)
+            for g, c in level.items():
+                after[g[:-1]].append(c)
+            self.after.append(after)
+
+    def probability(self, gram, k=0):
+        if k == 3:
+            return 1 / 256
+        lower, after = self.probability(gram[1:], k + 1), self.after[k].get(gram[:-1])
+        if not after:
+            return lower
+        cut, c = self.cuts[k], self.levels[k].get(gram, 0)
+        return (c - cut[min(c, 3)]) / sum(after) + sum(cut[min(x, 3)] for x in after) / sum(after) * lower
+
+
+def test_quality_equals_brute_force(spark, docs, rows):
+    """kept and perplexity, from models, medians and deviations made by plain loops."""
+    listing = [(r.doc_id, r.text or "", r.lang if r.lang is not None else "\0null") for r in docs.collect()]
+    grams = lambda t: [(int(k) >> 16, int(k) >> 8 & 255, int(k) & 255) for k in quality.trigrams(t)]
+    number = Counter(lang for _, _, lang in listing)
+    own = lambda lang: lang if number[lang] >= 0.01 * len(listing) else "rest"
+    corpus = defaultdict(list)
+    for _, text, lang in listing:
+        corpus[own(lang)] += grams(text)
+    models = {lang: KneserNey(g) for lang, g in corpus.items()}
+    memo = {lang: {g: math.log(m.probability(g)) for g in set(corpus[lang])} for lang, m in models.items()}
+    logs = [-sum(memo[own(lang)][g] for g in grams(text)) / max(len(grams(text)), 1) for _, text, lang in listing]
+    base = {}
+    for x in quality.judge(docs, ["doc_id"]).collect():
+        base.setdefault((x.doc_id, x.n_words, round(x.perplexity, 4)), []).append(x)
+    failed = [quality.base_metrics(t)[0] < 20 or 100 * quality.base_metrics(t)[4] > 30 * quality.base_metrics(t)[0] for _, t, _ in listing]
+    middle = lambda values: sorted(values)[-(-len(values) // 2) - 1] if values else 0
+    mid, dev = {}, {}
+    for lang in models:
+        inside = [(v, len(grams(t))) for v, (_, t, k), f in zip(logs, listing, failed, strict=True) if own(k) == lang and not f]
+        mid[lang] = middle([v for v, _ in inside])
+        dev[lang] = middle([abs(v - mid[lang]) * math.sqrt(n) for v, n in inside]) if inside else math.inf
+    want = Counter()
+    for (key, text, lang), v, f in zip(listing, logs, failed, strict=True):
+        k = own(lang)
+        want[key, quality.base_metrics(text)[0], round(math.exp(v), 4), not f and abs(v - mid[k]) <= quality.WIDTH * max(dev[k] / math.sqrt(max(len(grams(text)), 1)), quality.LEAST_DEVIATION)] += 1
+    found = Counter((x.doc_id, x.n_words, round(x.perplexity, 4), x.kept) for g in base.values() for x in g)
+    order = lambda c: sorted(c.elements(), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+    for f, w in zip(order(found), order(want), strict=True):
+        assert f[:2] == w[:2] and f[3] == w[3] and f[2] == pytest.approx(w[2], rel=1e-4)
+    assert any(f[3] for f in found) and any(not f[3] for f in found)
+
+
 def test_quality_rejects_other_languages_and_noise(spark):
     r = random.Random(1)
     vocabulary = ["".join(r.choice("aeiostrn") for _ in range(r.randint(2, 7))) for _ in range(40)]
