@@ -11,15 +11,20 @@ set-relation skipping, and the components that the links make.
    list.  Short lists give all pairs that remain.  Answer-level skipping: in a long list, sets
    are first compared with the list's leader only; those found similar to it take over its
    answers, namely its component.  What the leaders leave apart is compared component by
-   component and finally pair by pair, so no link is lost, but members of one component are
-   never compared.
-4. Candidates are verified on whole sets, recomputed from the texts.
+   component.  Sets that are in different components even then meet block by block, of sets of
+   consecutive sizes: blocks whose sizes, positions or components rule out a link are skipped,
+   and so no link is lost, but members of one component are never compared.
+4. Candidates are verified on whole sets, recomputed from the texts.  A leader's members come one
+   after the other, and as they are much alike, a member's overlap with the leader is derived
+   from that of the member before it by the n-grams in which the two differ.
 
-No list is expanded into all its pairs, and lists of very common n-grams are dealt in parts.
+No list is expanded into all its pairs.  Lists of very common n-grams are dealt in parts, and
+everything that is done with a long list is dealt by its blocks, so no task gets a whole one.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing.  With
-fewer than n words the whole sequence is one n-gram.  Null ids count as the smallest id.
-Repeated rows have equal sets, so they share a component.  An empty table gives an empty result.
+fewer than n words the whole sequence is one n-gram.  Ids are whole numbers; null ids count as the
+smallest id.  Repeated rows have equal sets, so they share a component.  Texts are read whole at
+any length; other columns, whatever their names, aren't read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,6 +55,8 @@ SKETCH_RUN = 4_000_000
 PARTITION_POSTINGS, LIST_POSTINGS = 1_000_000, 100_000
 #: Lists up to this length give all their pairs at once.
 SHORT = 8
+#: Sets of a long list that are dealt together, in order of size.
+BLOCK = 256
 #: Candidates that share a leader go to tasks in parts of this many.
 LEADER_PART = 256
 #: Rows up to which the verifier's assignments are sent to the texts instead of texts to them.
@@ -134,7 +141,7 @@ def _need(n: np.ndarray | int, m: np.ndarray | int, similar: int):
     return -(-(similar * (n + m)) // (100 + similar))
 
 
-def _index(words: int, seed: int, sent, floor: int, partitions: int, similar: int):
+def _index(words: int, seed: int, sent, floor: int, partitions: int, similar: int, together: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = sent.value, set()
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -146,7 +153,7 @@ def _index(words: int, seed: int, sent, floor: int, partitions: int, similar: in
             # an n-gram that is common by the sketch is dealt in parts, by set
             level = (token >> np.uint64(56)).astype(np.int64)
             bound = np.exp2(np.where(level > 0, (level + floor) / 4, 0))
-            parts = np.maximum(1, np.ceil(bound / LIST_POSTINGS)).astype(np.uint64)
+            parts = np.maximum(1, np.ceil(bound / together)).astype(np.uint64)
             mixed = (token ^ (token >> np.uint64(31))) * MIX
             part = sid.view(np.uint64) % parts
             p = (((mixed + part * MIX) >> np.uint64(20)) % np.uint64(partitions)).astype(np.int64)
@@ -184,10 +191,10 @@ def _index(words: int, seed: int, sent, floor: int, partitions: int, similar: in
     return run
 
 
-def _pairs(similar: int):
+def _pairs(similar: int, shortest: int, block_sets: int):
     """Index lists to candidate pairs; members of long lists also as (list, set, size)."""
 
-    def lists(blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def lists(p: int, blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
         unpack = zstandard.ZstdDecompressor().decompress
         for size, blob in blobs:
@@ -214,14 +221,14 @@ def _pairs(similar: int):
             found_a.append(sid[i[ok]])
             found_b.append(sid[j[ok]])
 
-        for gap in range(1, SHORT):  # all pairs of short lists: each posting with the gap-th after it
-            of = starts[(sizes > gap) & (sizes <= SHORT)]
-            many = sizes[(sizes > gap) & (sizes <= SHORT)] - gap
+        for gap in range(1, shortest):  # all pairs of short lists: each posting with the gap-th after it
+            of = starts[(sizes > gap) & (sizes <= shortest)]
+            many = sizes[(sizes > gap) & (sizes <= shortest)] - gap
             if len(of):
                 i = np.repeat(of, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 keep(i, i + gap)
-        long = np.repeat(sizes > SHORT, sizes) | split  # parts of one list meet again later
-        for s, k in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
+        long = np.repeat(sizes > shortest, sizes) | split  # parts of one list meet again later
+        for s, k in zip(starts[sizes > shortest].tolist(), sizes[sizes > shortest].tolist(), strict=True):
             span = np.arange(s, s + k)
             lead = span[np.lexsort((sid[span], -central[span].astype(np.int64)))[0]]
             # sizes are in order: the blocks that can't reach the leader's size are skipped
@@ -235,31 +242,40 @@ def _pairs(similar: int):
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             for lo in range(0, len(pairs), 100_000):
                 part = pairs[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), *(pa.nulls(len(part), pa.int64()) for _ in range(4))], ["a", "b", "list", "n", "pos", "central"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), *(pa.nulls(len(part), pa.int64()) for _ in range(5))], ["a", "b", "list", "block", "n", "pos", "central"])
         if long.any():
             # lists keep their n-gram's name, under which their parts meet again
-            columns = (x[long].astype(np.int64) for x in (token, n, pos, central))
+            block = p << 32 | (np.arange(len(token)) - np.repeat(starts, sizes)) // block_sets
+            columns = (x[long].astype(np.int64) for x in (token, block, n, pos, central))
             member = pa.array(sid[long])
-            yield pa.RecordBatch.from_arrays([member, pa.nulls(len(member), pa.int64()), *map(pa.array, columns)], ["a", "b", "list", "n", "pos", "central"])
+            yield pa.RecordBatch.from_arrays([member, pa.nulls(len(member), pa.int64()), *map(pa.array, columns)], ["a", "b", "list", "block", "n", "pos", "central"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, blobs = None, []
         for batch in batches:
             for p, size, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if p != at and blobs:
-                    yield from lists(blobs)
+                    yield from lists(at, blobs)
                     blobs = []
                 at = p
                 blobs.append((size, blob))
         if blobs:
-            yield from lists(blobs)
+            yield from lists(at, blobs)
 
     return run
 
 
+def _gain(leader: np.ndarray, before: np.ndarray, s: np.ndarray) -> int:
+    """By how much s shares more with the leader than the set before did: only where the two differ counts."""
+    other = np.setxor1d(before, s, assume_unique=True)
+    shared = other[leader[np.minimum(np.searchsorted(leader, other), len(leader) - 1)] == other]
+    new = (s[np.minimum(np.searchsorted(s, shared), len(s) - 1)] == shared).sum()
+    return int(2 * new - len(shared))
+
+
 def _verify(words: int, seed: int, similar: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leader = None, None
+        at, leader, before, both = None, None, None, 0
         for batch in batches:
             a, b = [], []
             sets = window_sets((t.lower() for t in batch.column(3).to_pylist()), words)
@@ -267,9 +283,10 @@ def _verify(words: int, seed: int, similar: int):
                 if _set_id(s, seed) != (lead if member is None else member):
                     continue  # another text under the same document id
                 if member is None:
-                    at, leader = (lead, part), s
+                    at, leader, before, both = (lead, part), s, s, len(s)
                 elif at == (lead, part):
-                    both = len(np.intersect1d(leader, s, assume_unique=True))
+                    both += _gain(leader, before, s)
+                    before = s
                     if 100 * both >= similar * (len(leader) + len(s) - both):
                         a.append(lead)
                         b.append(member)
@@ -307,11 +324,11 @@ class _Join:
 
     def candidates(self) -> None:
         partitions = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.total * (100 - self.similar) // 100 // PARTITION_POSTINGS)
-        postings = arrow_map(self.rows.select("text"), _index(self.words, self.seed, self.levels, self.floor, partitions, self.similar), "p int, size int, postings binary")
+        postings = arrow_map(self.rows.select("text"), _index(self.words, self.seed, self.levels, self.floor, partitions, self.similar, LIST_POSTINGS), "p int, size int, postings binary")
         dealt = postings.repartition(partitions, "p").sortWithinPartitions("p")
-        found = materialise(arrow_map(dealt, _pairs(self.similar), "a long, b long, list long, n long, pos long, central long"), "candidates")
+        found = materialise(arrow_map(dealt, _pairs(self.similar, SHORT, BLOCK), "a long, b long, list long, block long, n long, pos long, central long"), "candidates")
         self.pairs = found.filter(F.col("list").isNull()).select("a", "b").distinct()
-        self.lists = found.filter(F.col("list").isNotNull()).select("list", F.col("a").alias("sid"), "n", "pos", "central")
+        self.lists = found.filter(F.col("list").isNotNull()).select("list", "block", F.col("a").alias("sid"), "n", "pos", "central")
 
     def verify(self, pairs: DataFrame, n: int, few: bool) -> DataFrame:
         """Of n pairs, those that are links.  The first of a pair leads; a leader with many is repeated by parts.
@@ -331,6 +348,29 @@ class _Join:
         dealt = texts.repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("member").asc_nulls_first())
         return materialise(arrow_map(dealt, _verify(self.words, self.seed, self.similar), "a long, b long").distinct(), "links", rows=n)
 
+    def _leads(self, placed: DataFrame) -> DataFrame:
+        """In each list, the most central set of every component with that of the list's leading component.
+
+        The leader goes to the blocks that others stand in, so that a list with many components is no hot key."""
+        parts = placed.groupBy("list", "root").agg(F.max(F.struct("central", "sid", "n", "pos", "block")).alias("first"))
+        head = lambda c, k: [F.col(f"{c}.{x}").alias(f"{x}{k}") for x in ("sid", "n", "pos")]
+        lead = parts.groupBy("list").agg(F.max(F.struct("first", "root")).alias("f")).select("list", F.col("f.root").alias("root1"), *head("f.first", 1))
+        sent = parts.select("list", F.col("first.block").alias("block")).distinct().join(lead, "list")
+        return parts.select("list", F.col("first.block").alias("block"), F.col("root").alias("root2"), *head("first", 2)).join(sent, ["list", "block"]).filter("root1 <> root2")
+
+    def _across(self, placed: DataFrame) -> DataFrame:
+        """Pairs from two components of a list, by the pairs of its blocks that sizes, positions and components leave."""
+        t = self.similar
+        blocks = placed.groupBy("list", "block").agg(
+            F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("ahead"), F.min("root").alias("low"), F.max("root").alias("high"),
+            F.min(F.expr(f"pos - n + ceil({t} * 2 * n / {100 + t})")).alias("lead"),
+        )
+        side = lambda df, k: df.select("list", *(F.col(c).alias(f"{c}{k}") for c in df.columns if c != "list"))
+        reach = f"100 * most1 >= {t} * least2 and 100 * most2 >= {t} * least1 and least(ahead1, ahead2) >= ceil({t} * (least1 + least2) / {100 + t}) and least(lead1, lead2) <= 0"
+        meet = side(blocks, 1).join(side(blocks, 2), "list").filter(f"block1 <= block2 and least(low1, low2) < greatest(high1, high2) and {reach}").select("list", "block1", "block2")
+        member = lambda k: side(placed.drop("central"), k).join(meet, ["list", f"block{k}"])
+        return member(1).join(member(2), ["list", "block1", "block2"]).filter("if(block1 < block2, root1 <> root2, root1 < root2)")
+
     def links(self) -> DataFrame:
         tried = materialise(self.pairs, "pairs")
         links = self.verify(tried, tried.count(), few=False)
@@ -339,20 +379,8 @@ class _Join:
             self.labels = components(links)
             if self.lists.isEmpty():
                 return links
-            placed = self.lists.join(self.labels.withColumnRenamed("v", "sid"), "sid", "left").select("list", "sid", "n", "pos", "central", F.coalesce("root", "sid").alias("root"))
-            parts = placed.groupBy("list", "root").agg(F.max(F.struct("central", "sid", "n", "pos")).alias("first"))
-            if final:
-                # lists that are still apart: every pair from two components
-                apart = parts.groupBy("list").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("list")
-                left = placed.join(apart, "list")
-                side = lambda k: left.select("list", *(F.col(c).alias(f"{c}{k}") for c in ("sid", "n", "pos", "root")))
-                x, y = side(1), side(2)
-                more = x.join(y, "list").filter("root1 < root2")
-            else:
-                # the most central member of each component with that of the list
-                head = lambda c, k: [F.col(f"{c}.{x}").alias(f"{x}{k}") for x in ("sid", "n", "pos")]
-                lead = parts.groupBy("list").agg(F.max(F.struct("first", "root")).alias("f")).select("list", F.col("f.root").alias("root1"), *head("f.first", 1))
-                more = parts.select("list", F.col("root").alias("root2"), *head("first", 2)).join(lead, "list").filter("root1 <> root2")
+            placed = self.lists.join(self.labels.withColumnRenamed("v", "sid"), "sid", "left").select("list", "block", "sid", "n", "pos", "central", F.coalesce("root", "sid").alias("root"))
+            more = self._across(placed) if final else self._leads(placed)
             # the bounds of size and position, as in the lists themselves
             t = self.similar
             need = f"ceil({t} * (n1 + n2) / {100 + t})"

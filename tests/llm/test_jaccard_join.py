@@ -59,11 +59,14 @@ def varied(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "short", "parts"), [(1, 8, 100_000), (2, 2, 100_000), (3, 2, 5)])
-def test_equals_brute_force(spark, monkeypatch, seed, short, parts):
-    monkeypatch.setattr(jaccard_join, "SHORT", short)
-    monkeypatch.setattr(jaccard_join, "LIST_POSTINGS", parts)
+@pytest.mark.parametrize(("seed", "short", "parts", "block"), [(1, 8, 100_000, 256), (2, 2, 100_000, 4), (3, 2, 5, 3)])
+def test_equals_brute_force(spark, monkeypatch, seed, short, parts, block):
+    """The tunables are read on the driver and sent to the workers: small ones need every round."""
+    for name, value in (("SHORT", short), ("LIST_POSTINGS", parts), ("BLOCK", block), ("LEADER_PART", 5)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = varied(seed)
+    rows.append((len(rows), " ".join(f"w{k * k % 9973}" for k in range(60_000))))  # a very long text and its near copy
+    rows.append((len(rows), rows[-1][1] + " and more"))
     found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows)
 
