@@ -26,5 +26,3 @@ class EngineConfig:
     future_minutes: int = 90
     earliest: str = "1993-11-12"
     feed_max: int = 60
-    #: Blocking keys shared by more items than this don't propose pairs; other keys of theirs do.
-    block_limit: int = 500

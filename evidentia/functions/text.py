@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..lexicons import OUTLET_SUFFIXES, STOPWORDS
+from ..lexicons import PUBLISHERS, STOPWORDS
 
 
 def _accents() -> tuple[str, str]:
@@ -53,7 +53,8 @@ def normalize(c: Column) -> Column:
 
 def clean_title(c: Column) -> Column:
     """STR-5: without markup and without trailing publisher names, however many."""
-    return F.trim(F.regexp_replace(strip_html(c), rf"(?i)(?:\s*[|–—-]\s*(?:{'|'.join(OUTLET_SUFFIXES)})\s*)+$", ""))
+    names = "|".join(name.replace(" ", r"\s?") for name in PUBLISHERS)
+    return F.trim(F.regexp_replace(strip_html(c), rf"(?i)(?:\s*[|–—-]\s*(?:{names})(?:\.com)?\s*)+$", ""))
 
 
 def normalize_title(c: Column) -> Column:
@@ -141,6 +142,11 @@ def clean_claim(c: Column) -> Column:
     return F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 30))
 
 
+def words_pattern(terms: Iterable[str]) -> str:
+    """A pattern of any of the terms as whole words, in any case, with any white space between their words."""
+    return rf"(?i)\b(?:{'|'.join(t.replace(' ', chr(92) + 's+') for t in terms)})\b"
+
+
 def any_of(text: Column, terms: Iterable[str]) -> Column:
     """Whether a normalised text contains any of the terms."""
     return reduce(lambda a, b: a | b, (text.contains(t) for t in terms), F.lit(False))

@@ -59,10 +59,44 @@ def countdown(start: Column, as_of: Column) -> Column:
     return F.when(start > as_of, parts)
 
 
+#: Abbreviations of time zones as broadcasters print them.
+ZONES = {
+    "America/New_York": ["ET", "EDT", "EST"], "America/Chicago": ["CT", "CDT", "CST"], "America/Denver": ["MT", "MDT", "MST"], "America/Los_Angeles": ["PT", "PDT", "PST"],
+    "Europe/London": ["BST", "GMT"], "Europe/Paris": ["CET", "CEST"], "Australia/Sydney": ["AEST", "AEDT"], "Asia/Dubai": ["GST"], "Asia/Riyadh": ["AST"],
+    "Asia/Singapore": ["SGT"], "Asia/Tokyo": ["JST"], "America/Sao_Paulo": ["BRT"],
+}
+
+
+def zone_of(text: Column) -> Column:
+    """DT-9: the zone of the first abbreviation that a text holds; null for none."""
+    short = {s: zone for zone, names in ZONES.items() for s in names}
+    found = F.regexp_extract(text, rf"\b({'|'.join(sorted(short, key=len, reverse=True))})\b", 1)
+    return F.coalesce(*(F.when(found.isin(names), F.lit(zone)) for zone, names in ZONES.items()))
+
+
+def printed_date(text: Column) -> Column:
+    """DT-9: the first date that a text shows, as "October 31, 2026" or "2026-10-31"; null for none."""
+    worded = F.regexp_extract(text, r"([A-Z][a-z]{2,8}\s+\d{1,2},\s+\d{4})", 1)
+    plain = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1)
+    one = F.regexp_replace(worded, r"\s+", " ")
+    return F.to_date(F.coalesce(F.try_to_timestamp(one, F.lit("MMMM d, yyyy")), F.try_to_timestamp(one, F.lit("MMM d, yyyy")), F.try_to_timestamp(plain, F.lit("yyyy-MM-dd"))))
+
+
+def city_of(location: Column) -> Column:
+    """DT-10: a location without its venue, the part before the first comma; a lone part stays."""
+    parts = F.filter(F.transform(F.split(location, ","), lambda p: F.trim(p)), lambda p: p != "")
+    return F.nullif(F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, F.size(parts)), ", ")).otherwise(F.get(parts, F.lit(0))), F.lit(""))
+
+
 def schedule(early: Column, prelims: Column, main: Column, printed: Column, hours: int = EngineConfig.event_hours) -> Column:
-    """DT-10: start, end and date of an event from up to three epochs of its segments."""
+    """DT-10: start, end, date and zone of an event from up to three epochs of its segments and its printed date."""
     start = F.timestamp_seconds(F.array_min(F.array(early, prelims, main)))
-    return F.struct(start.alias("start"), (start + F.expr(f"INTERVAL {hours} HOURS")).alias("end"), F.coalesce(F.to_date(start), printed).alias("date"))
+    return F.struct(start.alias("start"), (start + F.expr(f"INTERVAL {hours} HOURS")).alias("end"), F.coalesce(F.to_date(start), printed_date(printed)).alias("date"), zone_of(printed).alias("zone"))
+
+
+def decode(c: Column, schema: str, default: Column) -> Column:
+    """JS-1: a JSON column in its shape; bad data gives the default."""
+    return F.coalesce(F.from_json(c, schema), default)
 
 
 def to_zone(c: Column, zone: Column, known: list[str]) -> Column:

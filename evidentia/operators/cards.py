@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, collapse, normalize, sentences
-from .classify import _hit, may_establish_result
+from ..functions.timefn import to_iso
+from .classify import NAME_WORD, _hit, may_establish_result
 from .entities import WEIGHT_CLASSES, find_matchups, weight_classes
 
 #: Wording of reasons, segments, withdrawals and evidence; labels of divisions and systems.
@@ -19,12 +20,14 @@ REASONS = {
     "visa issue": ["visa"],
     "undisclosed reason": ["undisclosed"],
 }
+#: The co-main event stands first: its name holds that of the main event.
 SEGMENTS = {
     "co_main": ["co-main", "co main event"],
     "main_event": ["main event", "headliner", "headline the card", "will headline"],
     "prelims": ["prelim", "preliminary card"],
     "main_card": ["main card"],
 }
+STEPPING_IN = ["replaces", "replace", "steps in for", "takes the place of"]
 WITHDRAWAL = ["out of", "withdraws", "withdrawn", "withdrawal", "pulled out", "forced out", "off the card", "will not compete"]
 CANCEL = ["cancelled", "canceled", "called off", "scrapped", "axed", "off the card"]
 POSTPONE = ["postponed", "pushed back", "rescheduled", "moved to", "delayed"]
@@ -50,30 +53,61 @@ def first_group(text: Column, groups: dict[str, list[str]]) -> Column:
     return F.coalesce(*tests)
 
 
+CHANGE = "array<struct<change_type:string,before_text:string,after_text:string,reason:string>>"
+
+
+def stand_ins(raw: Column) -> Column:
+    """Who steps in, and for whom, by the verbs of a replacement; null where none is named."""
+    name = rf"{NAME_WORD}(?:\s+{NAME_WORD}){{0,2}}"
+    verbs = "|".join(v.replace(" ", r"\s+") for v in STEPPING_IN)
+    said = rf"({name})\s+(?:will\s+)?(?:{verbs})\s+({name})"
+    side = lambda k: F.nullif(F.rtrim(F.regexp_extract(raw, said, k), F.lit(".")), F.lit(""))
+    both = F.struct(side(1).alias("comes"), side(2).alias("goes"))
+    return F.when(both["comes"].isNotNull() & (normalize(both["comes"]) != normalize(both["goes"])), both)
+
+
 def detect_changes(articles: DataFrame) -> DataFrame:
-    """RES-10: one row per card change that an article (id, title, body, category, entities) reports."""
-    raw = collapse(F.concat_ws(". ", "title", "body"))
-    rows = articles.withColumn("raw", raw).withColumn("norm", normalize(F.col("raw")))
-    name = r"[A-Z][\w'.-]+(?:\s+[A-Z][\w'.-]+){0,2}"
-    verb = r"(?:(?:will\s+)?replaces?|steps\s+in\s+for|takes\s+the\s+place\s+of)"
-    pattern = rf"({name})\s+{verb}\s+({name})"
-    incoming, outgoing = (F.nullif(F.regexp_replace(F.regexp_extract("raw", pattern, k), r"\.$", ""), F.lit("")) for k in (1, 2))
-    pairs = find_matchups(F.col("raw"))
-    bout, who = F.get(pairs, F.lit(0)), F.get("entities", F.lit(0))
-    none = F.lit(None).cast("string")
-    change = lambda kind, before, after: F.struct(F.lit(kind).alias("change_type"), before.alias("before_text"), after.alias("after_text"))
-    announced = F.when(F.col("category") == "fight_announcement", F.transform(F.slice(pairs, 1, 2), lambda p: change("new_fight", none, p))).otherwise(F.array().cast("array<struct<change_type:string,before_text:string,after_text:string>>"))
-    out = F.when((F.col("category") == "injury") & any_of(F.col("norm"), WITHDRAWAL), change("cancellation", F.coalesce(bout, who), F.concat(F.coalesce(who, F.lit("Fighter")), F.lit(" reported out"))))
-    single = F.array_compact(F.array(F.when(incoming.isNotNull(), change("replacement", outgoing, incoming)), F.when(F.col("category") == "cancellation", change("cancellation", F.coalesce(bout, who), F.lit("Bout reported off the card"))), out))
-    found = rows.withColumns({"change": F.explode(F.concat(single, announced)), "reason": first_group(F.col("norm"), REASONS), "segment": first_group(F.col("norm"), SEGMENTS), "weight_class": F.get(weight_classes(F.col("norm")), F.lit(0)), "title_fight": any_of(F.col("norm"), TITLE_BOUT)})
-    reason = F.when(F.col("change.change_type") == "new_fight", none).when((F.col("category") == "injury") & F.col("reason").isNull(), F.lit("injury")).otherwise(F.col("reason"))
-    return found.select("id", "change.*", reason.alias("reason"), "segment", "weight_class", "title_fight")
+    """RES-10: one row per card change that an article (id, title, body, category, entities) reports.
+
+    A replacement is read from the text itself, whatever the category; the category says what else is
+    looked for: bouts that are off, bouts that are new (two at most), fighters who are out."""
+    rows = articles.withColumn("raw", collapse(F.concat_ws(". ", "title", "body"))).withColumn("norm", normalize(F.col("raw")))
+    rows = rows.withColumns({"bouts": find_matchups(F.col("raw")), "swap": stand_ins(F.col("raw")), "why": first_group(F.col("norm"), REASONS)})
+    who, none = F.get("entities", F.lit(0)), F.lit(None).cast("string")
+    whose = F.coalesce(F.get("bouts", F.lit(0)), who)
+    row = lambda kind, before, after, why: F.array(F.struct(F.lit(kind).alias("change_type"), before.alias("before_text"), after.alias("after_text"), why.alias("reason"))).cast(CHANGE)
+    by_category = {
+        "cancellation": row("cancellation", whose, F.lit("Bout reported off the card"), F.col("why")),
+        "fight_announcement": F.flatten(F.transform(F.slice("bouts", 1, 2), lambda b: row("new_fight", none, b, none))),
+        "injury": F.when(any_of(F.col("norm"), WITHDRAWAL), row("cancellation", whose, F.concat(F.coalesce(who, F.lit("Fighter")), F.lit(" reported out")), F.coalesce("why", F.lit("injury")))),
+    }
+    swap = F.when(F.col("swap").isNotNull(), row("replacement", F.col("swap.goes"), F.col("swap.comes"), F.col("why")))
+    listed = F.coalesce(*(F.when(F.col("category") == c, found) for c, found in by_category.items()))
+    empty = F.array().cast(CHANGE)
+    found = rows.withColumn("change", F.explode(F.concat(F.coalesce(swap, empty), F.coalesce(listed, empty))))
+    n = F.col("norm")
+    return found.select("id", "change.*", first_group(n, SEGMENTS).alias("segment"), F.get(weight_classes(n), F.lit(0)).alias("weight_class"), any_of(n, TITLE_BOUT).alias("title_fight"))
+
+
+def apply_changes(bouts: DataFrame, log: DataFrame) -> DataFrame:
+    """RES-11: bouts (event, pair_key, status) after the logged changes: a cancellation takes its bout off, a
+    replacement marks the bout of who leaves and adds that of who comes in."""
+    rows = bouts.withColumn("sides", F.split("pair_key", r"\|"))
+    by_name = rows.select("event", "pair_key", "status", F.explode("sides").alias("name"), "sides")
+    out = log.filter("change_type = 'replacement'").select("event", normalize(F.col("before_text")).alias("name"), normalize(F.col("after_text")).alias("comes"))
+    hit = by_name.join(out, ["event", "name"]).groupBy("event", "pair_key", "sides").agg(F.min(F.struct("name", "comes")).alias("x"))
+    changed = hit.select("event", "pair_key", F.lit("changed").alias("new_status"))
+    added = hit.select("event", F.array_join(F.array_sort(F.array_append(F.array_remove("sides", F.col("x.name")), F.col("x.comes"))), "|").alias("pair_key"), F.lit("reported").alias("status"))
+    off = log.filter("change_type = 'cancellation'").select("event", F.array_join(F.array_sort(F.transform(F.split(F.regexp_replace("before_text", r"(?i)\s+vs\.?\s+", "|"), r"\|"), normalize)), "|").alias("pair_key"), F.lit("cancelled").alias("new_status")).distinct()
+    marks = changed.unionByName(off).groupBy("event", "pair_key").agg(F.min("new_status").alias("new_status"))  # off goes before changed
+    kept = bouts.join(marks, ["event", "pair_key"], "left").select("event", "pair_key", F.coalesce("new_status", "status").alias("status"))
+    return kept.unionByName(added.distinct().join(bouts, ["event", "pair_key"], "left_anti"))
 
 
 def change_log(changes: DataFrame) -> DataFrame:
     """RES-11, JOIN-16: the first report of each (event, type, after), upgraded by official or confirmed repeats."""
     strong = F.col("official") | (F.col("status") == "CONFIRMED")
-    first = F.min_by(F.struct("source_name", "before_text", "reason"), F.struct("detected_at", "source_name"))
+    first = F.min_by(F.struct("source_name", "before_text", "reason"), F.struct("detected_at", "source_name", "before_text", "reason"))
     best = F.min_by("source_name", F.when(strong, F.struct("detected_at", "source_name")))
     rows = changes.groupBy("event", "change_type", "after_text").agg(first.alias("f"), best.alias("by"), F.count_if(strong).alias("n"), F.min("detected_at").alias("detected_at"))
     return rows.select("event", "change_type", "after_text", "f.before_text", "f.reason", F.coalesce("by", "f.source_name").alias("source_name"), F.when(F.col("n") > 0, F.lit("CONFIRMED")).otherwise("REPORTED").alias("status"), "detected_at")
@@ -95,9 +129,29 @@ def event_evidence(articles: DataFrame, events: DataFrame) -> DataFrame:
     return rows.withColumn("kind", F.explode(F.array_compact(F.array(off, done)))).select("event", "id", "kind", "at", "source_type", F.col("is_official").alias("official")).distinct()
 
 
-def schedule_state(status: Column, start: Column, date: Column) -> Column:
+def known_change(changes: DataFrame, log: DataFrame) -> DataFrame:
+    """JOIN-16: changes that the log doesn't hold yet; an unknown event equals an unknown one."""
+    same = changes["event"].eqNullSafe(log["event"]) & changes["change_type"].eqNullSafe(log["change_type"]) & changes["after_text"].eqNullSafe(log["after_text"])
+    return changes.join(log, same, "left_anti")
+
+
+def schedule_state(start: Column, date: Column) -> Column:
     """RES-7"""
-    return F.when(status.isin("CANCELLED", "POSTPONED"), F.lower(status)).when(start.isNotNull(), "scheduled").when(date.isNotNull(), "date only").otherwise("no date")
+    return F.when(start.isNotNull(), F.lit("start known")).when(date.isNotNull(), "date known").otherwise("nothing known")
+
+
+def status_explanation(status: Column, start: Column, date: Column) -> Column:
+    """RES-7: a sentence about an event's status that is true of what is known of its schedule."""
+    at, day, exact, dated = to_iso(start), date.cast("string"), start.isNotNull(), date.isNotNull()
+    by_status = {
+        "CANCELLED": F.lit("Cancelled, by the collected sources."),
+        "POSTPONED": F.when(exact, F.concat(F.lit("Postponed, by the collected sources; the schedule still says "), at, F.lit("."))).otherwise(F.lit("Postponed, by the collected sources; no new date is known.")),
+        "COMPLETED": F.lit("Over, by reliable evidence."),
+        "LIVE": F.concat(F.lit("Started at "), at, F.lit(" and within its expected length.")),
+        "UPCOMING": F.when(exact, F.concat(F.lit("Starts at "), at, F.lit("."))).when(dated, F.concat(F.lit("On "), day, F.lit("; no start is known."))).otherwise(F.lit("Announced without a date.")),
+    }
+    unknown = F.when(exact, F.concat(F.lit("Should have started at "), at, F.lit("; nothing confirms that it took place."))).when(dated, F.concat(F.lit("On "), day, F.lit("; without a start nobody can tell whether it is over."))).otherwise(F.lit("No schedule is known."))
+    return F.coalesce(*(F.when(status == s, text) for s, text in by_status.items()), unknown)
 
 
 def clean_name(c: Column) -> Column:
@@ -146,11 +200,12 @@ def has_placeholder(c: Column) -> Column:
     return any_of(raw, MARKERS) | any_of(F.concat(F.lit(" "), normalize(raw), F.lit(" ")), [f" {p} " for p in PLACEHOLDERS])
 
 
-def post_caveats(text: Column, entities: Column, account: Column) -> Column:
-    """CLS-15"""
+def post_caveats(text: Column, entities: Column, account: Column, related: Column | None = None) -> Column:
+    """CLS-15: what to keep in mind of a post; related: titles of stories that it belongs to, three at most."""
     short = (F.length(text) < 80) & (F.size(sentences(text)) == 1)
     by = F.when(account == "OFFICIAL", F.lit("official account: confirms only what it states")).when(account.isin("FIGHTER", "COACH_TEAM", "PROMOTER"), "first-person claim, not confirmation").when(account.isin("UNKNOWN", "FAN_ACCOUNT"), "unverified account")
-    return F.array_compact(F.array(F.when(short, F.lit("short post, little context")), F.when(F.size(entities) == 0, F.lit("names nobody")), by))
+    told = F.array_compact(F.array(F.when(short, F.lit("short post, little context")), F.when(F.size(entities) == 0, F.lit("names nobody")), by))
+    return told if related is None else F.concat(told, F.transform(F.slice(F.coalesce(related, F.array().cast("array<string>")), 1, 3), lambda t: F.concat(F.lit("see: "), t)))
 
 
 def radar_groups(posts: DataFrame, most: int = 6) -> DataFrame:
@@ -161,10 +216,12 @@ def radar_groups(posts: DataFrame, most: int = 6) -> DataFrame:
 
 
 def knowledge(items: DataFrame) -> DataFrame:
-    """AGG-24: what is confirmed, claimed and disputed in a story, each by its numbered sources."""
-    order = Window.partitionBy("story").orderBy("at", "name")
+    """AGG-24: what is confirmed, claimed and disputed in a story, each by its numbered sources.
+
+    Sources are numbered by time; of one time by name, family, type and what they say, so that only rows
+    alike in all of these could change places."""
+    order = Window.partitionBy("story").orderBy("at", "name", "family", "source_type", "derivative", "denial", "speculation")
     rows = items.withColumn("number", F.row_number().over(order))
     numbers = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("number"))))
     official = (F.col("source_type") == "OFFICIAL") & ~F.col("derivative")
     return rows.groupBy("story").agg(numbers(official).alias("confirmed_by"), numbers(~official & ~F.col("denial") & (F.col("speculation") < 0.34)).alias("reported_by"), numbers(~official & (F.col("speculation") >= 0.34)).alias("claimed_by"), numbers(F.col("denial")).alias("disputed_by"))
-

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.timefn import age_hours, is_future, is_plausible
 from ..functions.url import is_malformed
+from .matching import same_headlines
 
 
 def finding(rows: DataFrame, level: str, check: str, key: Column, detail: Column) -> DataFrame:
@@ -48,6 +49,56 @@ def breaking_too_old(stories: DataFrame, as_of: Column, hours: int = 48) -> Data
     return failing(stories, F.col("is_breaking") & (age_hours(F.col("last_seen"), as_of) > hours), "WARN", "stale_breaking", F.col("story"), F.col("last_seen"))
 
 
+def event_status(events: DataFrame, as_of: Column) -> DataFrame:
+    """DQ-3: over before the start (ERROR); still upcoming two days after it, or under way without one (WARN)."""
+    start, key, status = F.coalesce("start", F.col("event_date").cast("timestamp")), F.col("event"), F.col("status")
+    early = failing(events, (status == "COMPLETED") & (start > as_of), "ERROR", "completed_before_start", key, start)
+    late = failing(events, (status == "UPCOMING") & (age_hours(F.col("start"), as_of) >= 72), "WARN", "stale_upcoming", key, F.col("start"))
+    bare = failing(events, status.isin("LIVE", "COMPLETED") & F.col("start").isNull(), "WARN", "status_without_schedule", key, status)
+    return run_all([early, late, bare])
+
+
+def results_from_predictions(articles: DataFrame) -> DataFrame:
+    """DQ-4"""
+    return failing(articles, F.col("intent").isin("PREVIEW", "PREDICTION") & (F.col("category") == "result"), "ERROR", "prediction_as_result", F.col("id"), F.col("intent"))
+
+
+def near_headlines(stories: DataFrame, prefix: int = 90) -> DataFrame:
+    """DQ-6"""
+    groups = same_headlines(stories, prefix)
+    return finding(groups, "WARN", "same_headline", F.col("key"), F.col("stories"))
+
+
+def rankings(current: DataFrame) -> DataFrame:
+    """DQ-9: of current rows (division, name, position, is_champion): two champions, two in one place."""
+    crowns = current.filter("is_champion").groupBy("division").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    places = current.filter("position > 0").groupBy("division", "position").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return run_all([finding(crowns, "ERROR", "multiple_champions", F.col("division"), F.col("n")), finding(places, "ERROR", "duplicate_position", F.concat_ws("|", "division", "position"), F.col("n"))])
+
+
+def conflicts(events: DataFrame) -> DataFrame:
+    """DQ-10: every note (event, conflicts) of reporting that disagrees with the official schedule."""
+    return finding(events.select("event", F.explode("conflicts").alias("note")), "WARN", "official_conflict", F.col("event"), F.col("note"))
+
+
+def source_counts(stories: DataFrame) -> DataFrame:
+    """DQ-11: more independent sources than sources (ERROR), articles without a source (WARN)."""
+    over = failing(stories, F.col("independent_count") > F.col("source_count"), "ERROR", "independent_over_total", F.col("story"), F.col("independent_count"))
+    none = failing(stories, (F.col("articles") > 0) & (F.col("source_count") == 0), "WARN", "articles_without_sources", F.col("story"), F.col("articles"))
+    return run_all([over, none])
+
+
+def bout_contradictions(bouts: DataFrame) -> DataFrame:
+    """DQ-12: official exactly if the evidence is the official card."""
+    bad = (F.col("official_status") == "official") != (F.col("evidence_level") == "official_card")
+    return failing(bouts, bad, "ERROR", "bout_contradiction", F.concat_ws("|", "event", "pair_key"), F.concat_ws(" / ", "official_status", "evidence_level"))
+
+
+def unclassified(articles: DataFrame) -> DataFrame:
+    """DQ-13"""
+    return failing(articles, F.col("intent").isNull() | (F.col("intent") == ""), "WARN", "unclassified_intent", F.col("id"), F.lit("no intent"))
+
+
 def schema_drift(df: DataFrame, declared: StructType, name: str) -> DataFrame:
     """DQ-15: declared columns that are missing or of another type, and columns not declared."""
     have, want = dict(df.dtypes), {f.name: f.dataType.simpleString() for f in declared}

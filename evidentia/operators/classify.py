@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, let, normalize
-from ..lexicons import CATEGORIES, DECISIVE, DENIAL, FUTURE, INTENT_ORDER, INTENTS, OFFICIAL, OUTLETS, PRIORITY, RELIABLE, RESULT_VERB, SPECULATION
+from ..functions.text import any_of, let, normalize, words_pattern
+from ..lexicons import CATEGORIES, CREDITS, DECISIVE, DENIAL, FUTURE_TERMS, INTENT_ORDER, INTENTS, OFFICIAL, OUTLETS, PRIORITY, RELIABLE, RESULT_VERBS, SPECULATION
 
 Lexicon = dict[str, list[str]]
 
@@ -60,18 +60,28 @@ def has_any(text: Column, terms: list[str]) -> Column:
     return any_of(text, [plain(t) for t in terms])
 
 
+#: One word of a name, as it is written.
+NAME_WORD = r"[A-Z][\w.'-]*"
+
+
 def attributions(raw: Column, own: Column, outlets: list[str] = OUTLETS, most: int = 4) -> Column:
-    """CLS-5: outlets credited by "according to X" and the like, in order, without the article's own."""
-    said = F.regexp_extract_all(raw, F.lit(r"(?:according to|per|first reported by|reported by|via|as reported by|told)\s+([A-Z][\w.'\-]*(?:\s+[A-Z][\w.'\-]*){0,3})"), 1)
-    known = lambda s: F.coalesce(*(F.when(F.lower(s).contains(o.lower()), F.lit(o)) for o in outlets))
-    found = F.array_distinct(F.array_compact(F.transform(said, known)))
-    return F.slice(F.filter(found, lambda o: F.lower(o) != F.lower(F.coalesce(own, F.lit("")))), 1, most)
+    """CLS-5: outlets credited by "according to X" and the like, in order, but for the article's own."""
+    credit = F.lit(rf"\b(?:{'|'.join(CREDITS)})\s+({NAME_WORD}(?: {NAME_WORD}){{0,3}})".replace(" ", r"\s+"))
+    self_name = normalize(F.coalesce(own, F.lit("")))
+    known = lambda s: F.coalesce(*(F.when(s.contains(plain(o)) & ~self_name.contains(plain(o)), F.lit(o)) for o in outlets))
+    return F.slice(F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(raw, credit, 1), lambda s: known(normalize(s))))), 1, most)
+
+
+def is_promotional(category: Column) -> Column:
+    """CLS-6: previews, odds and the like, and interviews, bring little news."""
+    return category.isin("promo", "interview")
 
 
 def intent(raw_title: Column, title: Column, body: Column, raw_body: Column, prefix: str, lexicon: Lexicon = INTENTS) -> Column:
     """CLS-7: what an article is doing; a headline outranks a body, and nothing to come is a result."""
     in_title = lambda g: reduce(lambda a, b: a | b, (_hit(title, t) for t in lexicon[g]))
-    results, verb, ahead = F.col(f"{prefix}RESULT") > 0, raw_title.rlike(RESULT_VERB), raw_title.rlike(FUTURE)
+    done, coming = words_pattern(RESULT_VERBS), words_pattern(FUTURE_TERMS)
+    results, verb, ahead = F.col(f"{prefix}RESULT") > 0, raw_title.rlike(done), raw_title.rlike(coming)
     best = F.greatest(*(F.col(f"{prefix}{g}") for g in INTENT_ORDER))
     leader = reduce(lambda c, g: c.when(F.col(f"{prefix}{g}") == best, g), INTENT_ORDER, F.when(best == 0, F.lit("UNKNOWN")))
     return (
@@ -79,7 +89,7 @@ def intent(raw_title: Column, title: Column, body: Column, raw_body: Column, pre
         .when(raw_title.rlike(r"\?\s*$") & results, "PREVIEW")
         .when(ahead & (verb | results | in_title("PREVIEW")), "PREVIEW")
         .when(in_title("PREVIEW") & ~verb, "PREVIEW")
-        .otherwise(let(leader, lambda x: F.when((x == "RESULT") & ~verb & ~raw_body.rlike(RESULT_VERB), F.lit("PREVIEW")).otherwise(x)))
+        .otherwise(let(leader, lambda x: F.when((x == "RESULT") & ~verb & ~raw_body.rlike(done), F.lit("PREVIEW")).otherwise(x)))
     )
 
 
@@ -129,13 +139,32 @@ def enrich(articles: DataFrame, categories: Lexicon = CATEGORIES, priority: list
         {
             "category": F.when(weak, F.lit("general")).otherwise(F.col("category_raw")),  # CLS-9
             "is_derivative": F.size("attribution_outlets") > 0,
-            "is_official": F.col("source_type") == "OFFICIAL",
+            "is_official": (source_type(F.col("source_type")) == "OFFICIAL") & (F.size("attribution_outlets") == 0),
             "may_establish_result": may_establish_result(F.col("intent"), F.col("source_type")),
         }
     )
     return rows.drop("category_raw", "title_n", "body_n", "text_n", *(f"c_{g}" for g in categories), *(f"i_{g}" for g in INTENTS))
 
 
+def enrich_posts(posts: DataFrame, categories: Lexicon = CATEGORIES, priority: list[str] = PRIORITY, decisive: list[str] = DECISIVE) -> DataFrame:
+    """CLS-11: posts (text, username, account_type) with what they are about, how hedged, and who says it.
+
+    account_type is that of JOIN-3; a post has a text and no headline, so its text counts as one."""
+    rows = posts.withColumns({"text_n": normalize(F.col("text")), "none_n": F.lit("")})
+    rows = with_scores(rows, "text_n", "none_n", categories, "c_")
+    t = F.col("text_n")
+    rows = rows.withColumns(
+        {
+            "account_type": source_type(F.col("account_type")),
+            "category": pick("c_", priority, t, categories, decisive),
+            "speculation_score": speculation(t),
+            "has_denial": has_any(t, DENIAL),
+            "attribution_outlets": attributions(F.col("text"), F.col("username")),
+        }
+    )
+    return rows.withColumn("reliability_weight", reliability(F.col("account_type"))).drop("text_n", "none_n", *(f"c_{g}" for g in categories))
+
+
 def missing_details(category: Column, events: Column, text: Column) -> Column:
     """CLS-14: what a report of this category leaves open, five at most."""
     bout = category.isin("fight_announcement", "cancellation", "replacement")

@@ -7,12 +7,12 @@ lists of names."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.timefn import age_hours
-from ..lexicons import CATEGORY_POINTS
+from ..lexicons import BREAKING_CATEGORIES, CATEGORY_POINTS
 from .classify import CREDIBLE, FIRST_PERSON, LOW
 
 CONFIG = EngineConfig()
@@ -203,4 +203,49 @@ def rebuild_stories(items: DataFrame, as_of: Column, config: EngineConfig = CONF
     total = sum(parts.values(), F.lit(0.0))
     rows = rows.withColumn("relevance", F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)))
     fresh = (age_hours(F.col("first_seen"), as_of) <= config.breaking_hours) & (F.col("relevance") >= config.breaking_relevance)
-    return rows.withColumns({"band": relevance_band(F.col("relevance")), "is_breaking": fresh & F.col("status").isin("CONFIRMED", "REPORTED", "DEVELOPING")})
+    return rows.withColumns({"band": relevance_band(F.col("relevance")), "is_breaking": fresh & F.col("category").isin(BREAKING_CATEGORIES) & F.col("status").isin("CONFIRMED", "REPORTED", "DEVELOPING")})
+
+
+def source_names(evidence: DataFrame, most: int = 5) -> DataFrame:
+    """(story, group, names): the first names of each group of a story's sources.  Ranks stop at `most`
+    before they are shuffled, so a story with many sources costs no more."""
+    credible, news = F.col("source_type").isin(CREDIBLE), F.col("kind") == "news"
+    groups = F.array(
+        F.when((F.col("source_type") == "OFFICIAL") & ~F.col("derivative"), F.lit("official")),
+        F.when(~news & (F.col("source_type") == "OFFICIAL"), F.lit("official_accounts")),
+        F.when(news & credible & ~F.col("derivative"), F.lit("credible")),
+        F.when(F.col("source_type").isin(LOW), F.lit("low")),
+        F.when(F.col("source_type").isin(FIRST_PERSON), F.lit("first_person")),
+    )
+    rows = evidence.select("story", F.explode(F.array_compact(groups)).alias("group"), "name").distinct()
+    place = F.row_number().over(Window.partitionBy("story", "group").orderBy("name"))
+    first = rows.withColumn("place", place).filter(F.col("place") <= most)
+    return first.groupBy("story", "group").agg(F.array_sort(F.collect_list("name")).alias("names"))  # at most `most`
+
+
+def status_reasons(stories: DataFrame, evidence: DataFrame) -> DataFrame:
+    """AGG-8: (story, reasons, is_rumor): why a story has its status, in a fixed order."""
+    names = source_names(evidence).groupBy("story").pivot("group", ["official", "official_accounts", "credible", "low", "first_person"]).agg(F.first("names"))
+    rows = stories.join(names, "story", "left")
+    said = lambda c, most: F.array_join(F.slice(c, 1, most), ", ")
+    whole = lambda c: F.col(c).cast("string")
+    reasons = F.array(
+        F.when(F.col("official_confirmed"), F.concat(F.lit("official: "), said("official", 3))),
+        F.when(F.col("official_accounts").isNotNull(), F.concat(F.lit("official accounts: "), said("official_accounts", 3))),
+        F.when(F.col("independent_count") > 0, F.concat(whole("independent_count"), F.lit(" independent of "), whole("source_count"), F.lit(" sources: "), said("credible", 5))),
+        F.when(F.col("social_count") > 0, F.concat(whole("social_count"), F.lit(" posts, which count as no source"))),
+        F.when(F.col("copied_families") > 0, F.concat(whole("copied_families"), F.lit(" copies of other outlets"))),
+        F.when(F.col("low").isNotNull() & (F.col("independent_count") == 0), F.concat(F.lit("only low reliability: "), said("low", 4))),
+        F.when(F.col("first_person").isNotNull(), F.concat(F.lit("first-person claim: "), said("first_person", 3))),
+        F.when(F.col("speculation") >= 0.34, F.lit("hedged wording")),
+        F.when(F.col("has_conflict"), F.lit("sources disagree")),
+    )
+    return rows.select("story", F.array_compact(reasons).alias("reasons"), F.col("status").isin("RUMOR", "UNVERIFIED", "FIGHTER_CLAIM").alias("is_rumor"))
+
+
+def developing(timeline: DataFrame, conflicts: DataFrame, as_of: Column, hours: int = CONFIG.developing_hours) -> DataFrame:
+    """AGG-22: stories (story, has_conflict) with three recent entries of their timeline (story, kind, at), or two and a conflict."""
+    counts = F.col("kind").isin("article", "social", "card_change", "status_change") & (age_hours(F.col("at"), as_of) <= hours)
+    recent = timeline.groupBy("story").agg(F.count_if(counts).alias("recent"))
+    rows = conflicts.join(recent, "story", "left").withColumn("recent", F.coalesce("recent", F.lit(0)))
+    return rows.withColumn("is_developing", (F.col("recent") >= 3) | (F.col("has_conflict") & (F.col("recent") >= 2)))

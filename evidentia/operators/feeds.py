@@ -6,9 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..config import EngineConfig
+from ..functions.text import any_of, normalize
 from ..functions.timefn import age_hours
+from ..lexicons import TITLE_TERMS
 
 CONFIG = EngineConfig()
 
@@ -40,7 +43,7 @@ SORTS: dict[str, list[str]] = {
 
 def feed(stories: DataFrame, name: str = "ALL", sort: str = "Newest", since: Column | None = None, search: str | None = None, entity: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """FLT-1, 2, 4, WIN-4: conjunction of the optional predicates, top rows in a total order."""
-    tests = [F.expr(NAMED[name])]
+    tests = [shows(stories, name)]
     if since is not None:
         tests.append(F.col("last_seen") >= since)
     if search:
@@ -52,6 +55,40 @@ def feed(stories: DataFrame, name: str = "ALL", sort: str = "Newest", since: Col
     return rows.limit(limit) if limit is not None else rows
 
 
+def is_title_story(stories: DataFrame) -> Column:
+    """FLT-3: a story of the category, or one that names a title in headline, summary or keywords."""
+    texts = [F.col(c) for c in ("headline", "summary") if c in stories.columns] + [F.array_join(c, " ") for c in ("keywords",) if c in stories.columns]
+    return (F.col("category") == "title") | any_of(normalize(F.concat_ws(" ", *texts)), TITLE_TERMS) if texts else F.col("category") == "title"
+
+
+def shows(stories: DataFrame, name: str) -> Column:
+    """FLT-2: whether a named feed shows a story."""
+    return F.coalesce(is_title_story(stories) if name == "TITLE" else F.expr(NAMED[name]), F.lit(False))
+
+
+def list_events(events: DataFrame, statuses: list[str] | None = None, upcoming: bool = False, limit: int | None = None) -> DataFrame:
+    """FLT-6: events (event, status, start, event_date, merged_into) by lifecycle status, never by the calendar;
+    merged ones are not listed, undated ones come last."""
+    rows = events.filter("merged_into is null")
+    wanted = statuses or (["UPCOMING", "LIVE", "POSTPONED", "UNKNOWN"] if upcoming else None)
+    rows = rows.filter(F.col("status").isin(wanted)) if wanted else rows
+    when = F.coalesce("start", F.col("event_date").cast("timestamp"))
+    rows = rows.orderBy(when.asc_nulls_last() if wanted else when.desc_nulls_last(), "event")
+    return rows.limit(limit) if limit is not None else rows
+
+
+def lookup(rows: DataFrame, by: str, value, order: list[Column] = ()) -> DataFrame:
+    """FLT-7: rows whose column is the value, or whose list holds it (exactly, not as a part of a name)."""
+    listed = isinstance(rows.schema[by].dataType, ArrayType)
+    found = rows.filter(F.array_contains(by, value) if listed else F.col(by) == value)
+    return found.orderBy(*order) if order else found
+
+
+def candidate_urls(last_good: Column, primary: Column, fallbacks: Column) -> Column:
+    """FLT-8: addresses of a feed to try, each once: what worked last, the usual one, the others."""
+    return F.array_distinct(F.filter(F.concat(F.array(last_good, primary), F.coalesce(fallbacks, F.array().cast("array<string>"))), lambda u: u.isNotNull() & (u != "")))
+
+
 def sections(stories: DataFrame, cap: int) -> DataFrame:
     """WIN-6: each story once, in the first section that takes it, ranked there; the cap comes last."""
     section = (
@@ -94,12 +131,20 @@ def append_snapshot(store: DataFrame, new: DataFrame, key: list[str]) -> DataFra
 
 
 def merge_dimension(old: DataFrame, new: DataFrame, key: str, protected: list[str], overwrite: bool = False) -> DataFrame:
-    """SNK-5: new values replace old ones but for protected columns; SNK-6 is protected = all columns."""
+    """SNK-5: new values replace old ones but for protected columns."""
     o, n = old.alias("o"), new.alias("n")
     value = lambda c: F.coalesce(f"o.{c}", f"n.{c}") if c in protected and not overwrite else F.coalesce(f"n.{c}", f"o.{c}")
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *(value(c).alias(c) for c in old.columns if c != key))
 
 
+def upsert_entities(old: DataFrame, new: DataFrame, key: str = "entity", lists: list[str] = ("aliases",)) -> DataFrame:
+    """SNK-6: gaps are filled and nothing is replaced; lists are sorted unions."""
+    o, n = old.alias("o"), new.alias("n")
+    none = F.array().cast("array<string>")
+    value = lambda c: F.array_sort(F.array_union(F.coalesce(f"o.{c}", none), F.coalesce(f"n.{c}", none))) if c in lists else F.coalesce(f"o.{c}", f"n.{c}")
+    return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *(value(c).alias(c) for c in old.columns if c != key))
+
+
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     """SNK-7: replaces the partitions that df has rows for, and no others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
@@ -142,6 +187,54 @@ def source_health(attempts: DataFrame, as_of: Column, config: EngineConfig = CON
     return last.join(failures, "source").withColumn("state", state)
 
 
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """AGG-20: (name, rows) of every table."""
+    return reduce(lambda a, b: a.unionByName(b), (df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in tables.items()))
+
+
+def poll_state(attempts: DataFrame, account: str = "account", post_id: str = "post_id") -> DataFrame:
+    """AGG-26: when an account was checked last, its newest post and its last error (attempts: at, error)."""
+    newest = F.max(F.when(F.col(post_id).isNotNull(), F.struct(F.length(post_id), F.col(post_id).alias("id"))))["id"]
+    return attempts.groupBy(account).agg(F.max("at").alias("last_checked"), newest.alias("last_post_id"), F.max_by("error", F.when(F.col("error").isNotNull(), F.struct("at", "error"))).alias("last_error"))
+
+
+def engagement(items: DataFrame) -> DataFrame:
+    """AGG-16: what a story's posts add up to; unmeasured ones count as nothing."""
+    return items.filter("kind = 'social'").groupBy("story").agg(F.coalesce(F.sum("engagement"), F.lit(0)).alias("engagement"), F.count(F.lit(1)).alias("posts"))
+
+
+def top_posts(posts: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """WIN-7: the most engaged posts; unmeasured ones don't count.  The cap is the report's."""
+    return posts.filter(F.col(by).isNotNull()).orderBy(F.col(by).desc(), key).limit(most)
+
+
+def latest(rows: DataFrame, at: Column, since: Column, key: str, most: int) -> DataFrame:
+    """FLT-4: the newest rows since a time.  The cap is the feed's."""
+    return rows.filter(at >= since).orderBy(at.desc(), key).limit(most)
+
+
+def unseen(rows: DataFrame, shown: DataFrame, key: str) -> DataFrame:
+    """SET-3, JOIN-5: keys of rows that aren't shown yet."""
+    return rows.select(key).distinct().join(shown.select(key), key, "left_anti")
+
+
+def ranking_systems(snapshots: DataFrame, system: str, at: str) -> DataFrame:
+    """AGG-13"""
+    return snapshots.groupBy(system).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first_date"), F.max(at).alias("last_date"))
+
+
+def bursts(items: DataFrame, key: str, at: str, family: str, hours: int = CONFIG.verify_window_hours, least: int = CONFIG.verify_min_updates) -> DataFrame:
+    """STRM-4 in batch: windows of time in which a key has so many items."""
+    rows = items.groupBy(F.window(at, f"{hours} hours").alias("w"), key).agg(F.count(F.lit(1)).alias("items"), F.count_distinct(family).alias("families"))
+    return rows.filter(F.col("items") >= least)
+
+
+def outcomes(runs: DataFrame, run: Column, ok: Column) -> DataFrame:
+    """AGG-19: (run, ok, failed, outcome) from an attempt log."""
+    counts = runs.groupBy(run.alias("run")).agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"))
+    return counts.withColumn("outcome", run_outcome(F.col("ok"), F.col("failed")))
+
+
 def run_outcome(ok: Column, failed: Column) -> Column:
     """AGG-19: derived from the counts."""
     return F.when(ok + failed == 0, F.lit("NOT_RUN")).when(failed == 0, "SUCCESS").when(ok == 0, "TOTAL_FAILURE").otherwise("PARTIAL")

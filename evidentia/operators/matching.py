@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.text import normalize, overlap, set_similarity, title_similarity, tokens
+from ..functions.text import normalize, normalize_title, overlap, set_similarity, title_similarity, token_set, tokens
 from ..functions.url import url_hash
 
 CONFIG = EngineConfig()
@@ -43,12 +43,52 @@ def tfidf(docs: DataFrame, stop: bool = True) -> DataFrame:
     return weighted.join(norm, "id").select("id", "gram", (F.col("raw") / F.col("norm")).alias("w"), "df")
 
 
-def blocked_pairs(keys: DataFrame, limit: int = CONFIG.block_limit) -> DataFrame:
-    """(a, b), a < b, of ids that share a key.  A key of more than limit ids proposes none: whatever
-    it holds together has other keys in common, or is too common to tell."""
-    fit = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, limit)).select("key")
-    kept = keys.join(fit, "key")
-    return kept.select("key", F.col("id").alias("a")).join(kept.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+def blocked_pairs(keys: DataFrame, hours: int | None = None) -> DataFrame:
+    """(a, b), a < b, of ids that share a key; with hours, only of those (id, key, at) that are no further apart.
+
+    A key that many hold is no quadratic block: items meet by key and by stretches of that many hours,
+    each with its own and the two beside it, so what a key costs follows from how much happens at a time."""
+    if hours is None:
+        return keys.select("key", F.col("id").alias("a")).join(keys.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    band = F.floor(F.unix_seconds("at") / (hours * 3600))
+    left = keys.select("key", band.alias("band"), F.col("id").alias("a"), F.col("at").alias("ta"))
+    right = keys.select("key", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("id").alias("b"), F.col("at").alias("tb"))
+    near = (F.col("a") < F.col("b")) & (F.abs(F.unix_micros("ta") - F.unix_micros("tb")) <= hours * 3_600_000_000)
+    return left.join(right, ["key", "band"]).filter(near).select("a", "b").distinct()
+
+
+def prefix_keys(weights: DataFrame, least: float) -> DataFrame:
+    """(id, key): the rarest grams of each document, up to where the rest is too light for a cosine of `least`.
+
+    Unit vectors with such a cosine share one of these, so common grams drop out and no pair does.
+    Grams are in one order, by how many documents have them; the window is over one document."""
+    order = Window.partitionBy("id").orderBy("df", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rest = weights.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order))
+    return rest.filter(F.col("rest") >= least * least - 1e-9).select("id", F.col("gram").alias("key"))
+
+
+def rare_tokens(rows: DataFrame, share: float) -> DataFrame:
+    """(id, key, n): of rows (id, tokens), the rarest n - ceil(share n) + 1 of n tokens; sets that share that
+    part of one of them share one of its keys."""
+    each = rows.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("key"))
+    df = each.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))
+    return each.join(df, "key").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(share * F.col("n")) + 1).select("id", "key", "n")
+
+
+def candidate_pairs(articles: DataFrame, weights: DataFrame, hours: int = CONFIG.match_hours, text: float = CONFIG.reply_text_similarity) -> DataFrame:
+    """JOIN-6: (a, b) of articles (id, at, title) near in time that may be alike enough in content or headline."""
+    at = articles.select("id", "at")
+    content = blocked_pairs(prefix_keys(weights, text).join(at, "id"), hours)
+    titles = articles.select("id", token_set(normalize_title(F.col("title"))).alias("tokens")).filter(F.size("tokens") > 0)
+    # an overlap is a share of the smaller set: its rare tokens meet all tokens of the larger
+    few = rare_tokens(titles, text).join(at, "id").select("key", F.floor(F.unix_seconds("at") / (hours * 3600)).alias("band"), F.col("id").alias("x"), F.col("at").alias("tx"), F.col("n").alias("nx"))
+    band = F.floor(F.unix_seconds("at") / (hours * 3600))
+    every = titles.join(at, "id").select(F.explode("tokens").alias("key"), F.array(band - 1, band, band + 1).alias("bands"), F.col("id").alias("y"), F.col("at").alias("ty"), F.size("tokens").alias("ny"))
+    every = every.select("key", F.explode("bands").alias("band"), "y", "ty", "ny")
+    near = (F.col("nx") <= F.col("ny")) & (F.col("x") != F.col("y")) & (F.abs(F.unix_micros("tx") - F.unix_micros("ty")) <= hours * 3_600_000_000)
+    headline = few.join(every, ["key", "band"]).filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return content.unionByName(headline).distinct()
 
 
 def cosine(pairs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -114,24 +154,62 @@ def fold_stories(articles: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def attach_new(new: DataFrame, stored: DataFrame, members: DataFrame, scored: DataFrame, checkpoint=None) -> DataFrame:
+    """CLU-3: (id, story, role, similarity) of new articles: they join stored stories (members: id, story) or
+    each other's.  stored: the articles of recent stories; what is stored is never moved."""
+    fresh = new.select("id").withColumn("fresh", F.lit(True))
+    side = lambda k: fresh.withColumnsRenamed({"id": k, "fresh": f"fresh_{k}"})
+    pairs = scored.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("fresh_a or fresh_b").drop("fresh_a", "fresh_b")
+    columns = ["id", "at"]
+    both = new.select(*columns).unionByName(stored.select(*columns))
+    # an older new article can't found what a stored one belongs to: stored ones stand first
+    ahead = both.join(fresh, "id", "left").select("id", F.when(F.col("fresh"), F.col("at")).otherwise(F.lit("1970-01-01").cast("timestamp")).alias("at"))
+    found = cluster(ahead, pairs, checkpoint).join(fresh.select("id"), "id", "left_semi")
+    known = members.select(F.col("id").alias("root"), F.col("story").alias("known"))
+    rooted = found.withColumnRenamed("story", "root").join(known, "root", "left")
+    return rooted.select("id", F.coalesce("known", "root").alias("story"), "role", "similarity")
+
+
+def duplicate_report(articles: DataFrame, weights: DataFrame, least: float = 0.8) -> DataFrame:
+    """DUP-3: (a, b, reason, headline, content) of articles (id, url, title) with the same canonical URL, or
+    headlines or texts that are nearly identical."""
+    base = articles.select("id", url_hash(F.col("url")).alias("url_hash"), token_set(normalize_title(F.col("title"))).alias("tokens"))
+    titles = base.filter(F.size("tokens") > 0).select("id", "tokens")
+    few, every = rare_tokens(titles, least), titles.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("key"))
+    side = lambda df, k: df.select("key", F.col("id").alias(k), F.col("n").alias(f"n{k}"))
+    headline = side(few, "x").join(side(every, "y"), "key").filter("nx <= ny and x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = blocked_pairs(base.select("id", F.col("url_hash").alias("key")).filter("key is not null"))
+    pairs = same.unionByName(headline).unionByName(blocked_pairs(prefix_keys(weights, least))).distinct()
+    scored = cosine(pairs, weights)
+    half = lambda k: base.select(F.col("id").alias(k), F.col("url_hash").alias(f"u{k}"), F.col("tokens").alias(f"t{k}"))
+    rows = scored.join(half("a"), "a").join(half("b"), "b").withColumns({"headline": overlap(F.col("ta"), F.col("tb")), "same": F.coalesce(F.col("ua") == F.col("ub"), F.lit(False))})
+    rows = rows.filter(F.col("same") | (F.col("headline") >= least) | (F.col("content") >= least))
+    return rows.select("a", "b", F.when(F.col("same"), F.lit("same URL")).otherwise("near-identical text").alias("reason"), "headline", "content")
+
+
 def link_posts(posts: DataFrame, stories: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:
-    """JOIN-7: (post, story, score) - each post's best story; posts and stories meet on entities, events and tokens."""
+    """JOIN-7: (post, story, score) - each post's best story.
+
+    Where either side has names, only names in common lift the score far enough, so these meet by names;
+    without any, texts must share a part of their tokens, so their rare tokens meet."""
     names = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    p = posts.select("post", names("entities").alias("pe"), names("events").alias("pv"), tokens(normalize(F.col("text"))).alias("pt"))
+    p = posts.select("post", names("entities").alias("pe"), names("events").alias("pv"), token_set(normalize(F.col("text"))).alias("pt"))
     words = F.concat_ws(" ", F.col("headline"), names("entities"))
-    s = stories.select("story", names("entities").alias("se"), names("events").alias("sv"), tokens(normalize(words)).alias("st"))
-    keys = lambda df, i, *c: df.select(i, F.explode(F.array_distinct(F.concat(*(F.transform(x, normalize) for x in c[:-1]), F.col(c[-1])))).alias("key"))
-    sk = keys(s, "story", "se", "sv", "st")
-    fit = sk.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= config.block_limit).select("key")
-    pairs = keys(p, "post", "pe", "pv", "pt").join(sk.join(fit, "key"), "key").select("post", "story").distinct()
-    rows = pairs.join(p, "post").join(s, "story")
+    s = stories.select("story", names("entities").alias("se"), names("events").alias("sv"), token_set(normalize(words)).alias("st"))
+    called = lambda df, i, a, b: df.select(i, F.explode(F.array_distinct(F.concat(F.transform(a, lambda x: F.concat(F.lit("e:"), normalize(x))), F.transform(b, lambda x: F.concat(F.lit("v:"), normalize(x)))))).alias("key"))
+    by_name = called(p, "post", "pe", "pv").join(called(s, "story", "se", "sv"), "key").select("post", "story")
+    bare_p, bare_s = p.filter("size(pe) + size(pv) = 0 and size(pt) > 0"), s.filter("size(se) + size(sv) = 0 and size(st) > 0")
+    both = bare_p.select(F.struct(F.lit(0).alias("side"), F.col("post").alias("i")).alias("id"), F.col("pt").alias("tokens")).unionByName(bare_s.select(F.struct(F.lit(1).alias("side"), F.col("story").alias("i")).alias("id"), F.col("st").alias("tokens")))
+    keys = rare_tokens(both, config.post_score / 0.85)
+    by_token = keys.filter("id.side = 0").select("key", F.col("id.i").alias("post")).join(keys.filter("id.side = 1").select("key", F.col("id.i").alias("story")), "key").select("post", "story")
+    rows = by_name.unionByName(by_token).distinct().join(p, "post").join(s, "story")
     people, event = set_similarity(F.col("pe"), F.col("se")), set_similarity(F.col("pv"), F.col("sv"))
     shared = F.size(F.array_intersect("pt", "st"))
     text = shared / F.greatest(F.size(F.array_union("pt", "st")), F.lit(1))
-    both = (F.size("pe") > 0) & (F.size("se") > 0)
+    both_named = (F.size("pe") > 0) & (F.size("se") > 0)
     named = (F.size("pe") + F.size("pv") + F.size("se") + F.size("sv")) > 0
     score = F.when(named, 0.45 * people + 0.25 * event + 0.30 * text).otherwise(0.85 * text)
-    rows = rows.withColumn("score", score).filter(~(both & (people == 0)) & ~((people == 0) & (event == 0) & (shared < 3)) & (F.col("score") >= config.post_score))
+    rows = rows.withColumn("score", score).filter(~(both_named & (people == 0)) & ~((people == 0) & (event == 0) & (shared < 3)) & (F.col("score") >= config.post_score))
     return rows.groupBy("post").agg(F.max(F.struct("score", (-F.col("story")).alias("s"))).alias("m")).select("post", (-F.col("m.s")).alias("story"), F.col("m.score").alias("score"))
 
 

@@ -26,38 +26,8 @@ def agg_source_health(spark, sf_dir):
     return feeds.source_health(attempts(spark, sf_dir), F.lit(EVENTS_AS_OF).cast("timestamp")).select("source", "items", "failures", "state")
 
 
-@query(
-    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS failed,
- CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN 'SUCCESS' WHEN count(*) FILTER (event_type <> 'error') = 0 THEN 'TOTAL_FAILURE' ELSE 'PARTIAL' END AS outcome FROM events GROUP BY 1"""
-)
-def agg_run_outcomes(spark, sf_dir):
-    days = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count_if(F.col("event_type") != "error").alias("ok"), F.count_if(F.col("event_type") == "error").alias("failed"))
-    return days.withColumn("outcome", feeds.run_outcome(F.col("ok"), F.col("failed")))
-
-
-@query("SELECT user_id, event_type, first(event_id ORDER BY ts, event_id) AS first_event, last(value ORDER BY ts, event_id) AS last_value, count(*) AS n FROM events GROUP BY ALL")
-def snk_post_upsert(spark, sf_dir):
-    """SNK-2: a post's first row and its latest metric."""
-    e = table(spark, sf_dir, "events")
-    order = F.struct("ts", "event_id")
-    return e.groupBy("user_id", "event_type").agg(F.min_by("event_id", order).alias("first_event"), F.max_by("value", order).alias("last_value"), F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def js_props(spark, sf_dir):
-    """JS-1"""
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query(
-    """WITH w AS (SELECT user_id, epoch(time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01'))::BIGINT AS bucket, count(*) AS items, count(DISTINCT event_type) AS families FROM events GROUP BY ALL)
-SELECT user_id, bucket, items, families FROM w WHERE items >= 3"""
-)
-def agg_bursts(spark, sf_dir):
-    """STRM-4 in batch: tumbling windows with three items or more."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    w = e.groupBy(F.window("ts", "12 hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("event_type").alias("families"))
-    return w.filter("items >= 3").select("user_id", F.unix_seconds("w.start").alias("bucket"), "items", "families")
 
 
 def snapshots(spark, sf_dir):
@@ -96,12 +66,6 @@ def res_latest_rank(spark, sf_dir):
     return resolve.latest_rank(snapshots(spark, sf_dir)).select("name", "as_of", F.col("position").cast("int").alias("position"))
 
 
-@query("SELECT c_mktsegment AS system, count(*) AS n, min(year(o_orderdate))::INTEGER AS first_date, max(year(o_orderdate))::INTEGER AS last_date FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
-def agg_ranking_systems(spark, sf_dir):
-    """AGG-13"""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.groupBy(F.col("c_mktsegment").alias("system")).agg(F.count(F.lit(1)).alias("n"), F.min(F.year("o_orderdate")).alias("first_date"), F.max(F.year("o_orderdate")).alias("last_date"))
-
 
 @query(
     """SELECT p_name || '|' || p_brand AS k, first(p_partkey ORDER BY p_retailprice DESC, p_partkey) AS keeper, sum(p_size)::BIGINT AS p_size, max(p_retailprice) AS p_retailprice, count(*) AS merged FROM part GROUP BY 1"""
@@ -204,18 +168,6 @@ def ent_mentions(spark, sf_dir):
     return mention_counts(rows).select("entity", "mentions", F.date_format("last_mentioned", "yyyy-MM-dd").alias("last_day"))
 
 
-@query("SELECT user_id, max(event_id) AS last_id, last(event_id ORDER BY ts, event_id) FILTER (event_type = 'error') AS last_error FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') > 0")
-def agg_poll_state(spark, sf_dir):
-    """AGG-26, SRC-8"""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.max("event_id").alias("last_id"), F.max_by("event_id", F.when(F.col("event_type") == "error", F.struct("ts", "event_id"))).alias("last_error")).filter("last_error is not null")
-
-
-@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' ORDER BY ts DESC, event_id LIMIT 50")
-def flt_latest(spark, sf_dir):
-    """FLT-4: the 50 latest; the cap is the feed's."""
-    e = table(spark, sf_dir, "events").filter(F.col("ts") >= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
-    return e.orderBy(F.col("ts").desc(), "event_id").limit(50).select("event_id", "user_id")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lexicons import PRIORITY
+from ..lexicons import BREAKING_CATEGORIES, PRIORITY
 from ..operators.classify import WEIGHTS, reliability
 from .registry import table
 
@@ -43,6 +43,14 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+def breaking_sql(hours: int = 8, relevance: int = 70) -> str:
+    listed = ", ".join(repr(c) for c in BREAKING_CATEGORIES)
+    return f"date_diff('second', first_seen, TIMESTAMP '{AS_OF}') / 3600.0 <= {hours} AND relevance >= {relevance} AND status IN ('CONFIRMED','REPORTED','DEVELOPING') AND category IN ({listed})"
+
+
+BREAKING_SQL = breaking_sql()
 _list = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 WEIGHT_SQL = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in WEIGHTS.items()) + " END"
 ITEMS_SQL = f"""

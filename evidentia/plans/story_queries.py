@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cards, checks, evidence, feeds
 from ..operators.matching import first_by
 from .registry import query, table
-from .shapes import AS_OF, ITEMS_SQL, as_of, items
+from .shapes import BREAKING_SQL, ITEMS_SQL, as_of, items
 
 STATUS = "story, status, source_count, independent_count, social_count, speculation, category"
 
@@ -37,13 +37,6 @@ def agg_conflicts(spark, sf_dir):
     return evidence.with_conflicts(evidence.item_facts(items(spark, sf_dir), as_of())).select("story", "has_conflict", "credible_disagreement", "is_moving", "origin_type")
 
 
-@query(
-    f"""WITH {ITEMS_SQL} SELECT count(*) AS stories, count(*) FILTER (relevance >= 55) AS important, count(*) FILTER (status = 'CONFIRMED') AS confirmed, count(*) FILTER (status = 'CONTESTED') AS contested,
- count(*) FILTER (status IN ('RUMOR','UNVERIFIED','FIGHTER_CLAIM')) AS rumors, count(*) FILTER (is_moving) AS developing, count(*) FILTER (is_trending) AS trending FROM stories"""
-)
-def agg_dashboard_counters(spark, sf_dir):
-    return feeds.counters(evidence.rebuild_stories(items(spark, sf_dir), as_of()), as_of()).drop("breaking", "updated_today")
-
 
 @query(f"WITH {ITEMS_SQL} SELECT story, status, relevance FROM stories WHERE relevance >= 55 ORDER BY relevance DESC, last_seen DESC, story LIMIT 60")
 def flagship_feed(spark, sf_dir):
@@ -53,7 +46,7 @@ def flagship_feed(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ITEMS_SQL}, s AS (SELECT story, relevance, last_seen, CASE WHEN date_diff('second', first_seen, TIMESTAMP '{AS_OF}') / 3600.0 <= 8 AND relevance >= 70 AND status IN ('CONFIRMED','REPORTED','DEVELOPING') THEN '1 breaking'
+    f"""WITH {ITEMS_SQL}, s AS (SELECT story, relevance, last_seen, CASE WHEN {BREAKING_SQL} THEN '1 breaking'
  WHEN relevance >= 55 THEN '2 important' WHEN status IN ('RUMOR','UNVERIFIED','FIGHTER_CLAIM') THEN '3 rumors' WHEN is_moving THEN '4 developing' WHEN is_trending THEN '5 trending' ELSE '6 latest' END AS section FROM stories),
 r AS (SELECT section, story, row_number() OVER (PARTITION BY section ORDER BY relevance DESC, last_seen DESC, story) AS place FROM s) SELECT section, story, place::INTEGER AS place FROM r WHERE place <= 10"""
 )
@@ -61,29 +54,6 @@ def win_dashboard_sections(spark, sf_dir):
     return feeds.sections(evidence.rebuild_stories(items(spark, sf_dir), as_of()), 10).select("section", "story", "place")
 
 
-@query(f"WITH {ITEMS_SQL} SELECT story, coalesce(sum(engagement), 0)::BIGINT AS engagement, count(*) AS posts FROM items WHERE kind = 'social' GROUP BY story")
-def agg_engagement(spark, sf_dir):
-    return items(spark, sf_dir).filter("kind = 'social'").groupBy("story").agg(F.coalesce(F.sum("engagement"), F.lit(0)).alias("engagement"), F.count(F.lit(1)).alias("posts"))
-
-
-@query(
-    f"""WITH {ITEMS_SQL} SELECT 'WARN' AS level, 'copies_only' AS "check", CAST(story AS VARCHAR) AS row_key, CAST(source_count AS VARCHAR) AS detail FROM stories WHERE source_count > 0 AND independent_count = 0
- UNION ALL SELECT 'ERROR', 'independent_over_total', CAST(story AS VARCHAR), CAST(independent_count AS VARCHAR) FROM stories WHERE independent_count > source_count
- UNION ALL SELECT 'ERROR', 'story_without_sources', CAST(o_orderkey AS VARCHAR), 'no parent' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
- UNION ALL SELECT 'ERROR', 'duplicate_part', p_name || '|' || p_brand, CAST(count(*) AS VARCHAR) FROM part GROUP BY p_name, p_brand HAVING count(*) > 1"""
-)
-def dq_findings(spark, sf_dir):
-    stories = evidence.rebuild_stories(items(spark, sf_dir), as_of())
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("story"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("story"))
-    return checks.run_all(
-        [
-            checks.failing(stories, (F.col("source_count") > 0) & (F.col("independent_count") == 0), "WARN", "copies_only", F.col("story"), F.col("source_count")),
-            checks.failing(stories, F.col("independent_count") > F.col("source_count"), "ERROR", "independent_over_total", F.col("story"), F.col("independent_count")),
-            checks.orphans(orders, lines, "story", "ERROR", "story_without_sources"),
-            checks.duplicates(table(spark, sf_dir, "part"), F.concat_ws("|", "p_name", "p_brand"), "ERROR", "duplicate_part"),
-        ]
-    )
 
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
@@ -100,9 +70,9 @@ def win_best_family(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY at, name) AS number FROM items)
+    f"""WITH {ITEMS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY t0, name, family, source_type, derivative, denial, speculation) AS number FROM items)
 SELECT story, coalesce(sum(number) FILTER (source_type = 'OFFICIAL' AND NOT derivative), 0)::BIGINT AS confirmed, coalesce(sum(number) FILTER (denial), 0)::BIGINT AS disputed,
- count(*) FILTER (NOT (source_type = 'OFFICIAL' AND NOT derivative) AND speculation >= 0.34) AS claims FROM n GROUP BY story""".replace("ORDER BY at, name) AS number", "ORDER BY t0, name) AS number")
+ count(*) FILTER (NOT (source_type = 'OFFICIAL' AND NOT derivative) AND speculation >= 0.34) AS claims FROM n GROUP BY story"""
 )
 def agg_knowledge(spark, sf_dir):
     """AGG-24, as sums of the sources' numbers."""
@@ -110,42 +80,3 @@ def agg_knowledge(spark, sf_dir):
     return cards.knowledge(items(spark, sf_dir)).select("story", total("confirmed_by").alias("confirmed"), total("disputed_by").alias("disputed"), F.size("claimed_by").cast("long").alias("claims"))
 
 
-@query(
-    f"""WITH {ITEMS_SQL}, g AS (SELECT story, name, t0, engagement, CASE WHEN source_type = 'OFFICIAL' THEN 'official' WHEN source_type IN ('ESTABLISHED_JOURNALIST','TRUSTED_REPORTER','MAJOR_NEWS') THEN 'journalist'
- WHEN source_type IN ('FIGHTER','COACH_TEAM') THEN 'fighter' WHEN speculation > 0 THEN 'rumour' ELSE 'other' END AS grp, story || '|' || name || '|' || strftime(t0, '%Y-%m-%d') AS post FROM items WHERE kind = 'social'),
-u AS (SELECT grp, post, max(engagement) AS engagement FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY engagement DESC NULLS LAST, post) AS place FROM u)
-SELECT grp, post, place::INTEGER AS place FROM r WHERE place <= 6"""
-)
-def flt_radar_groups(spark, sf_dir):
-    """FLT-9, WIN-7: the six most engaged posts of each kind of account."""
-    posts = items(spark, sf_dir).filter("kind = 'social'")
-    post = F.concat_ws("|", "story", "name", F.date_format("at", "yyyy-MM-dd"))
-    unique = posts.groupBy(post.alias("post"), F.col("source_type").alias("account_type"), (F.col("speculation") > 0).cast("double").alias("speculation_score")).agg(F.max("engagement").alias("engagement"))
-    merged = cards.radar_groups(unique, most=1 << 30).groupBy("grp", "post").agg(F.max("engagement").alias("engagement"))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.col("engagement").desc_nulls_last(), "post"))
-    return merged.withColumn("place", place).filter("place <= 6").select("grp", "post", "place")
-
-
-@query(
-    f"""WITH {ITEMS_SQL} SELECT 'IMPORTANT' AS feed, count(*) AS n FROM stories WHERE relevance >= 55 UNION ALL SELECT 'RUMORS', count(*) FROM stories WHERE status IN ('RUMOR','UNVERIFIED','FIGHTER_CLAIM')
- UNION ALL SELECT 'DEVELOPING', count(*) FROM stories WHERE is_moving UNION ALL SELECT 'TRENDING', count(*) FROM stories WHERE is_trending UNION ALL SELECT 'INJURIES', count(*) FROM stories WHERE category = 'injury'
- UNION ALL SELECT 'RANKINGS', count(*) FROM stories WHERE category = 'ranking' UNION ALL SELECT 'TITLE', count(*) FROM stories WHERE category = 'title' UNION ALL SELECT 'RESULTS', count(*) FROM stories WHERE category = 'result'"""
-)
-def flt_named_feeds(spark, sf_dir):
-    """FLT-2: how many stories each named feed shows, in one pass."""
-    names = ["IMPORTANT", "RUMORS", "DEVELOPING", "TRENDING", "INJURIES", "RANKINGS", "TITLE", "RESULTS"]
-    stories = evidence.rebuild_stories(items(spark, sf_dir), as_of())
-    counts = stories.agg(*(F.count_if(F.expr(feeds.NAMED[n])).alias(n) for n in names))
-    return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("feed"), F.col(n).alias("n")) for n in names))).alias("x")).select("x.*")
-
-
-@query(
-    f"""WITH {ITEMS_SQL}
-SELECT story, count(*) AS items, count(DISTINCT family) AS families, max(t0) = min(t0) AS one_day FROM items WHERE kind = 'news' GROUP BY story HAVING count(DISTINCT family) >= 3"""
-)
-def agg_trending_families(spark, sf_dir):
-    """STRM-3 in batch: stories that three families report."""
-    news = items(spark, sf_dir).filter("kind = 'news'")
-    return news.groupBy("story").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("family").alias("families"), (F.max("at") == F.min("at")).alias("one_day")).filter("families >= 3")

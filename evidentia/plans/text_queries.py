@@ -137,7 +137,7 @@ SELECT doc_id, count(DISTINCT entity) AS n_entities, min(entity) AS first_entity
 def ent_dictionary_match(spark, sf_dir):
     """ENT-1, 2: names are the first three words of the benchmark's passages."""
     names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entity"), F.array_join(F.slice(F.split(text.normalize(F.col("text")), " "), 1, 3), " ").alias("name"), F.array().cast("array<string>").alias("aliases"))
-    found = entities.find_entities(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), entities.build_dictionary(names).filter("not is_surname"), most=1 << 30)
+    found = entities.find_entities(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), entities.build_dictionary(names).filter("not is_surname"), most=None)
     return found.select(F.col("id").alias("doc_id"), F.size("entities").cast("long").alias("n_entities"), F.array_min("entities").alias("first_entity"))
 
 
@@ -150,19 +150,10 @@ SELECT a.id AS a, b.id AS b, round(sum(a.r / sa.norm * b.r / sb.norm), 6) AS cos
 def dup_tfidf_cosine(spark, sf_dir):
     """DUP-2 over the benchmark's passages."""
     w = keep(matching.tfidf(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")))
-    pairs = matching.blocked_pairs(w.select("id", F.col("gram").alias("key")), limit=1 << 30)
+    pairs = matching.blocked_pairs(matching.prefix_keys(w, 0.05))
     return matching.cosine(pairs, w).filter("content >= 0.05").select("a", "b", F.round("content", 6).alias("cosine"))
 
 
-@query(
-    """WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<(?:script|style|nav|header|footer|aside|form)\\b.*?</(?:script|style|nav|header|footer|aside|form)>', ' ', 'g') AS h FROM pages),
-p AS (SELECT page_id, regexp_extract_all(h, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1) AS ps FROM b)
-SELECT page_id, len(ps)::BIGINT AS n_paragraphs FROM p"""
-)
-def src_paragraphs(spark, sf_dir):
-    """SRC-6, up to the paragraphs."""
-    return table(spark, sf_dir, "pages").select("page_id", F.size(landing.paragraphs(F.col("html"))).cast("long").alias("n_paragraphs"))
-
 
 @query(
     """SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE text ILIKE '%thation%' UNION ALL SELECT 'page', CAST(page_id AS VARCHAR) FROM pages WHERE url ILIKE '%thation%'
@@ -186,7 +177,8 @@ def join_related(spark, sf_dir):
     return found.select("id", F.size("related").cast("long").alias("n"), F.aggregate("related", F.lit(0).cast("long"), lambda a, x: a + x).alias("others"))
 
 
-TERMS = ["thation", "eau de", "the of", "schung"]
+#: A short one, single words, and one of five words that a document holds.
+TERMS = ["thation", "eau de", "the of", "schung", "the", "a"]
 
 
 @query(f"WITH n AS (SELECT doc_id, ' ' || {norm('text')} || ' ' AS t FROM documents), w AS (SELECT unnest({TERMS}) AS term) SELECT doc_id AS id, count(*) AS hits FROM n JOIN w ON contains(t, ' ' || term || ' ') GROUP BY doc_id")
@@ -196,24 +188,7 @@ def join_watchlist(spark, sf_dir):
     return entities.watched(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), terms).select("id", F.col("hits").cast("long").alias("hits"))
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 50)")
-def set_difference(spark, sf_dir):
-    """SET-3, JOIN-5"""
-    e = table(spark, sf_dir, "events")
-    return e.filter("event_type = 'view'").select("user_id").distinct().join(e.filter("event_type = 'error' and value > 50").select("user_id"), "user_id", "left_anti")
-
-
-@query("SELECT conv_id, count(*) AS entries, count(DISTINCT sha1(role || '|' || text)) AS distinct_entries FROM conversations GROUP BY conv_id")
-def snk_timeline(spark, sf_dir):
-    """SNK-3, RES-14: entries of a timeline, each once."""
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("story"), F.sha1(F.concat_ws("|", "role", "text")).alias("dedup_key"))
-    return rows.groupBy(F.col("story").alias("conv_id")).agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("dedup_key").alias("distinct_entries"))
-
 
-@query("SELECT url_hash, count(*) AS n FROM (SELECT sha1(regexp_extract(url, '^[^?#]*')) AS url_hash FROM pages) GROUP BY url_hash")
-def dup_url_groups(spark, sf_dir):
-    """DUP-1 by the bare address."""
-    return table(spark, sf_dir, "pages").groupBy(F.sha1(F.regexp_extract("url", "^[^?#]*", 0)).alias("url_hash")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT 'ERROR' AS level, 'malformed_url' AS \"check\", CAST(page_id AS VARCHAR) AS row_key FROM pages WHERE NOT regexp_matches(url, '(?i)^https?://[^/?#]+')")
@@ -224,19 +199,6 @@ def dq_malformed_urls(spark, sf_dir):
     return bad_urls(table(spark, sf_dir, "pages"), "url", "page_id").drop("detail")
 
 
-def clu_stories(spark, sf_dir):
-    """JOIN-6, CLU-1: benchmark passages as articles an hour apart, clustered by content."""
-    base = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    w = keep(matching.tfidf(base))
-    pairs = matching.cosine(matching.blocked_pairs(w.select("id", F.col("gram").alias("key"))), w)
-    none = F.array().cast("array<string>")
-    articles = base.select("id", F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 3600).alias("at"), F.col("text").alias("title"), none.alias("entities"), none.alias("events"), F.lit("general").alias("category"), F.lit(False).alias("has_denial"))
-    return matching.cluster(articles, matching.score_pairs(pairs, articles), keep).select("id", "story", "role")
-
-
-query()(clu_stories)
-
-
 @query(r"""SELECT doc_id, (len(regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '[.!?]\s+[A-Z0-9"''“]')) + 1)::BIGINT AS n_sentences FROM documents""")
 def str_sentences(spark, sf_dir):
     """STR-10"""
@@ -255,11 +217,6 @@ def join_author_class(spark, sf_dir):
     return entities.upgrade_by_author(rows, authors).select("doc_id", "source_type", "reliability_weight")
 
 
-@query("SELECT event_id, value FROM events WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 25")
-def win_top_posts(spark, sf_dir):
-    """WIN-7: the 25 most engaged; the cap is the report's."""
-    return table(spark, sf_dir, "events").filter("value is not null").orderBy(F.col("value").desc(), "event_id").limit(25).select("event_id", "value")
-
 
 @query(
     """WITH o AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_partkey, p_type AS p_brand, p_size + 100 AS p_size FROM part WHERE p_partkey % 2 = 0)
