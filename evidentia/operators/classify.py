@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, let, normalize, words_pattern
+from ..functions.text import let, normalize, words_pattern
 from ..lexicons import CATEGORIES, CREDITS, DECISIVE, DENIAL, FUTURE_TERMS, INTENT_ORDER, INTENTS, OFFICIAL, OUTLETS, PRIORITY, RELIABLE, RESULT_VERBS, SPECULATION
 
 Lexicon = dict[str, list[str]]
@@ -26,14 +26,32 @@ def _hit(text: Column, term: str) -> Column:
     return F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {t} ") if len(t) <= 4 else text.contains(t)
 
 
+def _sought(terms: list[str]) -> Column:
+    """Terms as they are looked for in a text between two spaces.  An array and a lambda instead of a branch
+    for every term: generated code has a limit that a lexicon would exceed."""
+    return F.array(*(F.lit(f" {plain(t)} " if len(plain(t)) <= 4 else plain(t)) for t in terms))
+
+
+def _padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), text, F.lit(" "))
+
+
+def has_term(text: Column, terms: list[str]) -> Column:
+    """Whether a normalised text has any of the terms."""
+    return let(_padded(text), lambda t: F.exists(_sought(terms), lambda x: t.contains(x)))
+
+
 def score(title: Column, body: Column, terms: list[str]) -> Column:
     """CLS-1: 3 for a term in the title, else 1 for one in the body."""
-    return reduce(lambda a, b: a + b, (F.when(_hit(title, t), F.lit(3)).when(_hit(body, t), F.lit(1)).otherwise(F.lit(0)) for t in terms), F.lit(0))
+    each = lambda both: F.aggregate(_sought(terms), F.lit(0), lambda n, x: n + F.when(both["t"].contains(x), 3).when(both["b"].contains(x), 1).otherwise(0))
+    return let(F.struct(_padded(title).alias("t"), _padded(body).alias("b")), each)
 
 
 def matched(title: Column, body: Column, terms: list[str], most: int = 12) -> Column:
-    found = F.array_compact(F.array(*(F.when(_hit(title, t) | _hit(body, t), F.lit(t)) for t in terms)))
-    return F.slice(F.array_sort(F.array_distinct(found)), 1, most)
+    listed = F.arrays_zip(F.array(*map(F.lit, terms)).alias("term"), _sought(terms).alias("x"))
+    found = lambda both: F.filter(listed, lambda k: both["t"].contains(k["x"]) | both["b"].contains(k["x"]))
+    hits = let(F.struct(_padded(title).alias("t"), _padded(body).alias("b")), found)
+    return F.slice(F.array_sort(F.array_distinct(F.transform(hits, lambda k: k["term"]))), 1, most)
 
 
 def with_scores(rows: DataFrame, title: str, body: str, lexicon: Lexicon, prefix: str) -> DataFrame:
@@ -45,19 +63,19 @@ def pick(prefix: str, priority: list[str], title: Column, lexicon: Lexicon, deci
     """CLS-2: decisive groups in the title first, then the best score, ties by priority."""
     best = F.greatest(*(F.col(f"{prefix}{g}") for g in priority), F.lit(0))
     by_score = reduce(lambda c, g: c.when(F.col(f"{prefix}{g}") == best, g), priority, F.when(best == 0, F.lit(none)))
-    firm = [F.when(reduce(lambda a, b: a | b, (_hit(title, t) for t in lexicon[g])), F.lit(g)) for g in decisive]
+    firm = [F.when(has_term(title, lexicon[g]), F.lit(g)) for g in decisive]
     return F.coalesce(*firm, by_score)
 
 
 def speculation(text: Column, terms: list[str] = SPECULATION) -> Column:
     """CLS-3"""
-    hits = reduce(lambda a, b: a + b, (F.when(_hit(text, t), 1).otherwise(0) for t in terms), F.lit(0))
+    hits = let(_padded(text), lambda t: F.size(F.filter(_sought(terms), lambda x: t.contains(x))))
     return F.round(F.least(F.lit(1.0), hits / 3), 3)
 
 
 def has_any(text: Column, terms: list[str]) -> Column:
     """CLS-4"""
-    return any_of(text, [plain(t) for t in terms])
+    return F.exists(F.array(*(F.lit(plain(t)) for t in terms)), lambda x: text.contains(x))
 
 
 #: One word of a name, as it is written.
@@ -79,7 +97,7 @@ def is_promotional(category: Column) -> Column:
 
 def intent(raw_title: Column, title: Column, body: Column, raw_body: Column, prefix: str, lexicon: Lexicon = INTENTS) -> Column:
     """CLS-7: what an article is doing; a headline outranks a body, and nothing to come is a result."""
-    in_title = lambda g: reduce(lambda a, b: a | b, (_hit(title, t) for t in lexicon[g]))
+    in_title = lambda g: has_term(title, lexicon[g])
     done, coming = words_pattern(RESULT_VERBS), words_pattern(FUTURE_TERMS)
     results, verb, ahead = F.col(f"{prefix}RESULT") > 0, raw_title.rlike(done), raw_title.rlike(coming)
     best = F.greatest(*(F.col(f"{prefix}{g}") for g in INTENT_ORDER))

@@ -99,7 +99,7 @@ def cosine(pairs: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def score_pairs(pairs: DataFrame, articles: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:
-    """JOIN-6: (a, b, content) with gates and score; a is the earlier article."""
+    """JOIN-6: (a, b, content) with gates and score; a denial answers what came before it."""
     cols = ["at", "title", "entities", "events", "category", "has_denial"]
     side = lambda k: articles.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -107,7 +107,8 @@ def score_pairs(pairs: DataFrame, articles: DataFrame, config: EngineConfig = CO
     rows = rows.withColumns({"gap": gap, "people": overlap(F.col("entities_a"), F.col("entities_b")), "event": overlap(F.col("events_a"), F.col("events_b")), "headline": title_similarity(F.col("title_a"), F.col("title_b"))})
     both = (F.size("entities_a") > 0) & (F.size("entities_b") > 0)
     named = (F.size("entities_a") + F.size("entities_b") + F.size("events_a") + F.size("events_b")) > 0
-    reply = F.col("has_denial_b") & (F.col("gap") <= 24) & ((F.col("people") > 0) | (F.col("event") > 0))
+    denies = F.when(F.col("at_b") >= F.col("at_a"), F.col("has_denial_b")).otherwise(F.col("has_denial_a"))
+    reply = denies & (F.col("gap") <= 24) & ((F.col("people") > 0) | (F.col("event") > 0))
     apart = (F.col("category_a") != F.col("category_b")) & F.col("category_a").isin(DISTINCT) & F.col("category_b").isin(DISTINCT) & ~reply
     entity, text = F.greatest("people", "event"), F.greatest("content", "headline")
     recency = F.greatest(F.lit(0.0), 1 - F.col("gap") / config.match_hours)

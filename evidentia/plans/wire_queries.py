@@ -294,3 +294,153 @@ def res_applied_changes(spark, sf_dir):
     pair = F.array_join(F.array_sort(F.array(text.normalize(person(F.floor(k / 3))), text.normalize(person(k + 1)))), "|")
     card = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("event"), pair.alias("pair_key"), F.lit("scheduled").alias("status")).distinct()
     return cards.apply_changes(card, cards.change_log(reports(spark, sf_dir)))
+
+
+OFFICIAL_TYPES = "source_type IN ('OFFICIAL','MAJOR_NEWS','ESTABLISHED_JOURNALIST','TRUSTED_REPORTER')"
+NAMED_EVENTS = [(312, "UFC 312", "312"), (299, "UFC 299: Finale", "UFC 299"), (88, "UFC Vegas 88", ""), (1, "UFC Fight Night", "Fight Night")]
+MENTIONED = "CASE id % 14 WHEN 0 THEN ['UFC 312'] WHEN 1 THEN ['ufc fight night', 'UFC 312'] WHEN 2 THEN ['UFC 299'] WHEN 4 THEN ['UFC Vegas 88', 'ufc vegas 88'] ELSE ['Elsewhere'] END"
+
+
+@query(
+    f"""WITH {ENRICHED}, m AS (SELECT id, {MENTIONED} AS evs, {norm("title || ' ' || body")} AS w, category, intent, typed AS source_type, typed = 'OFFICIAL' AND len(outlets) = 0 AS official FROM enriched WHERE NOT has_denial),
+x AS (SELECT DISTINCT id, w, category, intent, source_type, official, unnest(list_transform(evs, lambda e: {norm('e')})) AS n FROM m), ek AS (SELECT *, CASE n WHEN 'ufc 312' THEN 312 WHEN 'ufc 299' THEN 299 WHEN 'ufc vegas 88' THEN 88 WHEN 'ufc fight night' THEN 1 END AS event FROM x),
+k AS (SELECT *, unnest(list_filter([CASE WHEN {any_in('w', cards.CANCEL)} AND category IN ('cancellation', 'event_change', 'general') THEN 'cancelled' WHEN {any_in('w', cards.POSTPONE)} THEN 'postponed' END,
+ CASE WHEN intent IN ('RESULT', 'POST_FIGHT') AND {OFFICIAL_TYPES} THEN 'completed' WHEN {any_in('w', cards.LIVE)} THEN 'live' END], lambda t: t IS NOT NULL)) AS kind FROM ek WHERE event IS NOT NULL)
+SELECT DISTINCT event, id, kind, source_type, official FROM k"""
+)
+def res_event_evidence(spark, sf_dir):
+    """RES-4, JOIN-15: what articles say of the events that they name."""
+    r = F.col("id") % 14
+    names = F.when(r == 0, F.array(F.lit("UFC 312"))).when(r == 1, F.array(F.lit("ufc fight night"), F.lit("UFC 312"))).when(r == 2, F.array(F.lit("UFC 299"))).when(r == 4, F.array(F.lit("UFC Vegas 88"), F.lit("ufc vegas 88"))).otherwise(F.array(F.lit("Elsewhere")))
+    known = spark.createDataFrame(NAMED_EVENTS, "event int, name string, short_name string")
+    return cards.event_evidence(enriched(spark, sf_dir).withColumn("events", names), known).select("event", "id", "kind", "source_type", "official")
+
+
+@query(
+    """WITH e AS (SELECT o_orderkey AS event, ['UPCOMING','LIVE','COMPLETED','UNKNOWN','CANCELLED','POSTPONED'][o_orderkey % 6 + 1] AS status, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS start, CASE WHEN o_orderkey % 7 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders)
+SELECT event, CASE WHEN start IS NOT NULL THEN 'start known' WHEN day IS NOT NULL THEN 'date known' ELSE 'nothing known' END AS schedule, CASE status WHEN 'CANCELLED' THEN 'Cancelled, by the collected sources.'
+ WHEN 'POSTPONED' THEN CASE WHEN start IS NOT NULL THEN 'Postponed, by the collected sources; the schedule still says ' || start || '.' ELSE 'Postponed, by the collected sources; no new date is known.' END WHEN 'COMPLETED' THEN 'Over, by reliable evidence.'
+ WHEN 'LIVE' THEN coalesce('Started at ' || start || ' and within its expected length.', CASE WHEN day IS NOT NULL THEN 'On ' || day || '; without a start nobody can tell whether it is over.' ELSE 'No schedule is known.' END)
+ WHEN 'UPCOMING' THEN CASE WHEN start IS NOT NULL THEN 'Starts at ' || start || '.' WHEN day IS NOT NULL THEN 'On ' || day || '; no start is known.' ELSE 'Announced without a date.' END
+ ELSE CASE WHEN start IS NOT NULL THEN 'Should have started at ' || start || '; nothing confirms that it took place.' WHEN day IS NOT NULL THEN 'On ' || day || '; without a start nobody can tell whether it is over.' ELSE 'No schedule is known.' END END AS explanation FROM e"""
+)
+def res_schedule(spark, sf_dir):
+    """RES-7"""
+    k = F.col("o_orderkey")
+    start, day = F.when(k % 5 > 0, F.col("o_orderdate").cast("timestamp")), F.when(k % 7 > 0, F.to_date("o_orderdate"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("event"), pick(k, ["UPCOMING", "LIVE", "COMPLETED", "UNKNOWN", "CANCELLED", "POSTPONED"]).alias("status"), start.alias("start"), day.alias("day"))
+    return rows.select("event", cards.schedule_state(F.col("start"), F.col("day")).alias("schedule"), cards.status_explanation(F.col("status"), F.col("start"), F.col("day")).alias("explanation"))
+
+
+ORIGINS = ["detected", "official", "user", "detected"]
+
+
+@query(
+    f"""WITH r AS (SELECT l_suppkey AS event, {chosen('l_orderkey', ORIGINS)} <> 'detected' AS firm, epoch(l_shipdate)::BIGINT + l_orderkey AS t, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS name, CASE WHEN l_linenumber % 3 = 0 THEN l_linestatus || l_linenumber END AS venue FROM lineitem)
+SELECT event, last(name ORDER BY firm, CASE WHEN firm THEN t ELSE -t END, name) FILTER (name IS NOT NULL) AS name, last(venue ORDER BY firm, CASE WHEN firm THEN t ELSE -t END, venue) FILTER (venue IS NOT NULL) AS venue FROM r GROUP BY event"""
+)
+def res_precedence(spark, sf_dir):
+    """RES-3: official and user rows overwrite by time, detected ones fill gaps."""
+    n = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("event"), pick(F.col("l_orderkey"), ORIGINS).alias("data_origin"), (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(secs=F.col("l_orderkey"))).alias("at"),
+        F.when(n % 2 == 0, F.col("l_returnflag")).alias("name"), F.when(n % 3 == 0, F.concat("l_linestatus", n)).alias("venue"),
+    )
+    return resolve.merge_by_authority(rows, "event", ["name", "venue"])
+
+
+RECORDS = [" (12-3-0)", " 12-3", "", " – "]
+HEADINGS = ["Light Heavyweight Title Bout", "Women's Strawweight Bout", "Lightweight bout", "Championship", ""]
+
+
+@query(
+    f"""WITH o AS (SELECT o_custkey AS event, o_orderkey AS pos, {person_sql('o_custkey + o_orderkey % 3')} AS a, CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE {person_sql('o_orderkey')} END AS b, {chosen('o_orderkey', HEADINGS)} AS heading, {chosen('o_orderkey', ['main_card', 'prelims', 'main_card'])} AS seg FROM orders),
+p AS (SELECT *, array_to_string(list_sort([{norm('a')}, {norm('b')}]), '|') AS pair_key FROM o WHERE a <> '' AND b <> ''), f AS (SELECT *, row_number() OVER (PARTITION BY event, pair_key ORDER BY pos) AS r FROM p),
+d AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY pos) AS bout_order FROM f WHERE r = 1)
+SELECT event, pair_key, a AS fighter_a, bout_order::INTEGER AS bout_order, CASE WHEN bout_order = 1 THEN 'main_event' WHEN bout_order = 2 AND seg = 'main_card' THEN 'co_main' ELSE seg END AS segment,
+ CASE WHEN heading LIKE 'Light H%' THEN 'Light Heavyweight' WHEN heading LIKE '%Straw%' THEN 'Strawweight' WHEN heading LIKE 'Lightw%' THEN 'Lightweight' END AS weight_class, heading LIKE '%Title%' OR heading LIKE 'Champ%' AS is_title_fight FROM d"""
+)
+def res_official_card(spark, sf_dir):
+    """RES-17: names without records, each pair once, by the order of the list."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    a = F.concat(F.lit("– "), person(c + k % 3), pick(k, RECORDS))
+    b = F.when(k % 17 == 0, F.lit(" (1-0) ")).otherwise(F.concat(person(k), pick(F.floor(k / 2), RECORDS)))
+    rows = table(spark, sf_dir, "orders").select(c.alias("event"), k.alias("pos"), a.alias("fighter_a"), b.alias("fighter_b"), pick(k, HEADINGS).alias("heading"), pick(k, ["main_card", "prelims", "main_card"]).alias("segment"))
+    return cards.official_card(rows).select("event", "pair_key", "fighter_a", "bout_order", "segment", "weight_class", "is_title_fight")
+
+
+PRINTED = ["men's pound for pound", "LIGHT-HEAVYWEIGHT", "Flyweight ", "Open  Class"]
+CLEANED = ["Men's Pound-for-Pound", "Light Heavyweight", "Flyweight", "Open Class"]
+PAGES = ["The Meta UFC Rankings of today", "official  ufc ranking", "UFC rankings presented by Acme Corp. and", "no label"]
+LABELS = ["Meta UFC Rankings", "Official UFC Rankings", "UFC Rankings (presented by)", "unlabelled"]
+PHRASES = ["Meta UFC Rankings", "official ufc ranking", "UFC rankings presented by Acme Corp", "unlabelled"]
+
+
+@query(
+    f"""WITH r AS (SELECT c_custkey AS pos, {chosen('c_custkey', CLEANED)} AS division, {person_sql('c_custkey // 4')} AS name, {chosen('c_custkey', LABELS)} AS system, {chosen('c_custkey', PHRASES)} AS version FROM customer), f AS (SELECT *, row_number() OVER (PARTITION BY division, {norm('name')} ORDER BY pos) AS r FROM r)
+SELECT division, name, pos, system, version FROM f WHERE r = 1"""
+)
+def res_rank_cleanup(spark, sf_dir):
+    """RES-16: one row per division and name, with the published labels."""
+    k = F.col("c_custkey")
+    label = cards.ranking_system(pick(k, PAGES))
+    rows = table(spark, sf_dir, "customer").select(k.alias("pos"), pick(k, PRINTED).alias("division"), person(F.floor(k / 4)).alias("name"), label["system_name"].alias("system"), label["system_version"].alias("version"))
+    return cards.clean_rankings(rows).select("division", "name", "pos", "system", "version")
+
+
+@query(f"WITH {ENRICHED} SELECT id, CASE WHEN id % 2 = 0 THEN 'STORED' ELSE intent END AS intent, CASE WHEN id % 3 = 0 THEN -1 ELSE speculation_score END::DOUBLE AS speculation_score FROM enriched")
+def res_backfill(spark, sf_dir):
+    """RES-18: rows stored before a rule take what it gives; others keep what they have."""
+    k = F.col("id")
+    rows = enriched(spark, sf_dir).select("id", F.when(k % 2 == 0, F.lit("STORED")).alias("intent"), F.when(k % 3 == 0, F.lit(-1.0)).alias("speculation_score"), F.col("intent").alias("new_intent"), F.col("speculation_score").alias("new_score"))
+    return cards.backfill(rows, {"intent": F.col("new_intent"), "speculation_score": F.col("new_score")}).select("id", "intent", "speculation_score")
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT * FROM (SELECT c_custkey AS story, o_orderdate AS t0, 'article' AS kind, o_orderpriority AS headline FROM customer JOIN orders ON o_custkey = c_custkey UNION ALL SELECT user_id, date_trunc('day', ts), 'social', event_type FROM events UNION ALL SELECT user_id, date_trunc('day', ts), 'status_change', event_type FROM events WHERE event_type = 'error'))
+SELECT story, strftime(t0, '%Y-%m-%d') AS day, kind, headline, (row_number() OVER (PARTITION BY story ORDER BY t0, kind, headline))::INTEGER AS place FROM t"""
+)
+def res_timeline(spark, sf_dir):
+    """RES-14, SET-1: entries of three kinds, each once, oldest first."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("story"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("headline"))
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("story"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderpriority").alias("headline"))
+    rows = resolve.story_timeline({"article": o, "social": e, "status_change": e.filter("headline = 'error'")})
+    place = F.row_number().over(Window.partitionBy("story").orderBy("at", "kind", "headline"))
+    return rows.select("story", F.date_format("at", "yyyy-MM-dd").alias("day"), "kind", "headline", place.alias("place"))
+
+
+GENERATED = ['Bout ends 12-3 in "the two sides agreed" style', "He earned $5,000 and 40% more", 'They said "we will be ready for this one" and "nobody ever said these words here"', "{subject} wins", "nothing to check in this story"]
+
+
+@query(
+    f"""WITH {ARTICLES}, g AS (SELECT id, {chosen('id', GENERATED)} AS made, title || ' ' || body || CASE WHEN id % 4 = 0 THEN ' 12-3 $5,000' ELSE '' END AS src FROM art), n AS (SELECT *, {norm('src')} AS w FROM g),
+f AS (SELECT *, list_distinct(regexp_extract_all(made, '(\\d+-\\d+(?:-\\d+)?|[$€£]\\d[\\d,.]*|\\d+(?:\\.\\d+)?%)', 1)) AS figures, regexp_extract_all(made, '["“]([^"“”]{{10,400}})["”]', 1) AS quotes FROM n)
+SELECT id, array_to_string(list_sort(list_filter(figures, lambda x: NOT contains(' ' || w || ' ', ' ' || {norm('x')} || ' '))), '|') AS figures, len(list_filter(quotes, lambda q: NOT (contains(w, {norm('q')}) OR (len(string_split({norm('q')}, ' ')) >= 8 AND
+ len(list_filter(range(1, greatest(len(string_split({norm('q')}, ' ')) - 5, 1) + 1), lambda i: contains(w, array_to_string(string_split({norm('q')}, ' ')[i:i + 5], ' ')))) > 0))))::BIGINT AS quotes,
+ made LIKE '{{subject}}%' OR made LIKE '%this story' AS placeholder FROM f"""
+)
+def cls_generated(spark, sf_dir):
+    """CLS-13, 16: figures and quotes of generated texts that their sources don't hold, and forgotten placeholders."""
+    k = F.col("id")
+    made, source = pick(k, GENERATED), F.concat_ws(" ", "title", "body", F.when(k % 4 == 0, F.lit("12-3 $5,000")))
+    rows = newsroom.articles(spark, sf_dir).select("id", made.alias("made"), classify.grounded(made, source).alias("g"))
+    return rows.select("id", F.array_join(F.array_sort("g.figures"), "|").alias("figures"), F.size("g.quotes").cast("long").alias("quotes"), cards.has_placeholder(F.col("made")).alias("placeholder"))
+
+
+@query(
+    f"""WITH {ENRICHED}, d AS (SELECT *, category IN ('fight_announcement', 'cancellation', 'replacement') AS bout, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS n_events FROM enriched)
+SELECT id, array_to_string(list_filter([CASE WHEN bout AND n_events = 0 THEN 'event not named' END, CASE WHEN bout AND NOT regexp_matches(x, '\\b(january|february|march|april|may|june|july|august|september|october|november|december)\\b') THEN 'no date given' END,
+ CASE WHEN category = 'fight_announcement' AND NOT contains(x, 'weight') THEN 'weight class not stated' END, CASE WHEN category = 'injury' AND NOT regexp_matches(x, '\\b(weeks?|months?|surgery)\\b') THEN 'no recovery timeline' END,
+ CASE WHEN category = 'cancellation' AND NOT contains(x, 'replac') THEN 'no replacement named' END, CASE WHEN category IN ('controversy', 'suspension') AND NOT regexp_matches(x, '\\bstatement\\b') THEN 'no official statement' END], lambda t: t IS NOT NULL)[1:5], '; ') AS missing,
+ array_to_string(list_concat(list_filter([CASE WHEN length(body) < 80 AND len(regexp_extract_all(body, '[.!?]\\s+[A-Z0-9"''“]')) = 0 THEN 'short post, little context' END, CASE WHEN id % 3 = 0 THEN 'names nobody' END,
+ CASE typed WHEN 'OFFICIAL' THEN 'official account: confirms only what it states' WHEN 'UNKNOWN' THEN 'unverified account' WHEN 'FAN_ACCOUNT' THEN 'unverified account' END], lambda t: t IS NOT NULL), ['see: ' || a, 'see: ' || b]), '; ') AS caveats FROM d"""
+)
+def cls_caveats(spark, sf_dir):
+    """CLS-14, 15: what reports leave open, and what to keep in mind of posts."""
+    rows, k, none = enriched(spark, sf_dir), F.col("id"), F.array().cast("array<string>")
+    words = text.normalize(F.concat_ws(" ", "title", "body"))
+    missing = classify.missing_details(F.col("category"), F.when(k % 2 == 0, F.array(F.lit("UFC 1"))).otherwise(none), words)
+    caveats = cards.post_caveats(F.col("body"), F.when(k % 3 == 0, none).otherwise(F.array("a")), F.col("source_type"), F.array("a", "b"))
+    return rows.select("id", F.array_join(missing, "; ").alias("missing"), F.array_join(caveats, "; ").alias("caveats"))
