@@ -14,7 +14,10 @@ set-relation skipping, and the components that the links make.
    component.  Sets that are in different components even then meet block by block, of sets of
    consecutive sizes: blocks whose sizes, positions or components rule out a link are skipped,
    and so no link is lost, but members of one component are never compared.
-4. Candidates are verified on whole sets, recomputed from the texts.  A leader's members come one
+4. Candidates whose bitmaps differ too much are dropped before any text is moved: a bitmap holds,
+   for as many bits as the set has n-grams, how many n-grams fall on each bit, odd or even, and two
+   sets differ in at least as many n-grams as their bitmaps do in bits, so no link is lost.
+5. What is left is verified on whole sets, recomputed from the texts.  A leader's members come one
    after the other, and as they are much alike, a member's overlap with the leader is derived
    from that of the member before it by the n-grams in which the two differ.
 
@@ -36,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialise, utf8
@@ -75,10 +78,18 @@ def _set_id(s: np.ndarray, seed: int) -> int:
     return _signed(xxhash.xxh3_64_intdigest(s.tobytes(), seed=seed))
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of n-grams falls on each of at least as many bits as there are n-grams: a power
+    of two, so that a longer bitmap folds to a shorter one."""
+    size = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _profile(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "n", "sid", "check", "chunk", "sketch"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["key", "n", "sid", "check", "bits", "chunk", "sketch"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         seen: set[int] = set()
         new: list[np.ndarray] = []
 
@@ -91,22 +102,23 @@ def _profile(words: int, seed: int):
             for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if hi > lo:
                     blob = pack(np.diff(cells[lo:hi], prepend=np.uint32(k * CELLS)).tobytes() + counts[lo:hi].astype(np.uint32).tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, k, blob), kinds, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, None, None, k, blob), kinds, strict=True)], names)
 
         for batch in batches:
-            ns, sids, checks = [], [], []
+            ns, sids, checks, bits = [], [], [], []
             for s in window_sets((t.lower() for t in batch.column(1).to_pylist()), words):
                 sid = _set_id(s, seed)
                 ns.append(len(s))
                 sids.append(sid if len(s) else None)
                 checks.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                bits.append(_bitmap(s) if len(s) else None)
                 if sid not in seen and len(s):
                     seen.add(sid)
                     new.append(s)
             if len(seen) > 1_000_000:
                 seen.clear()
             nothing = [pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((ns, sids, checks), kinds[1:4], strict=True)), *nothing], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((ns, sids, checks, bits), kinds[1:5], strict=True)), *nothing], names)
             if sum(map(len, new)) > SKETCH_RUN:
                 yield from counted()
         if new:
@@ -305,9 +317,9 @@ class _Join:
     def profile(self) -> None:
         """sets: one row per distinct set; should two sets ever share an id, all ids are drawn anew."""
         while True:
-            table = materialise(arrow_map(self.rows, _profile(self.words, self.seed), "key long, n int, sid long, check binary, chunk int, sketch binary"), "profile")
+            table = materialise(arrow_map(self.rows, _profile(self.words, self.seed), "key long, n int, sid long, check binary, bits array<long>, chunk int, sketch binary"), "profile")
             self.documents = table.filter(F.col("chunk").isNull()).select("key", "n", "sid", "check")
-            by_set = self.documents.filter(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), (F.min("check") != F.max("check")).alias("clash"))
+            by_set = table.filter(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), (F.min("check") != F.max("check")).alias("clash"), F.first("bits").alias("bits"))
             self.sets = materialise(by_set, "sets")
             total = self.sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max(F.col("clash")), F.lit(False)).alias("clash")).first()
             if not total["clash"]:
@@ -330,6 +342,22 @@ class _Join:
         self.pairs = found.filter(F.col("list").isNull()).select("a", "b").distinct()
         self.lists = found.filter(F.col("list").isNotNull()).select("list", "block", F.col("a").alias("sid"), "n", "pos", "central")
 
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose bitmaps leave room for a link."""
+        side = lambda k: self.sets.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+        rows = pairs.join(side("a"), "a").join(side("b"), "b")
+        xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+        def folded(c: str, other: str) -> Column:
+            half = F.floor(F.size(c) / 2).cast("int")
+            return F.when(F.size(c) == 2 * F.size(other), xor(F.slice(c, 1, half), F.slice(c, half + 1, half))).otherwise(F.col(c))
+
+        x, y = folded("bitsa", "bitsb"), folded("bitsb", "bitsa")
+        apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+        total = F.col("na") + F.col("nb")
+        # linked sets are less than twice as large as each other, so one fold makes their bitmaps alike
+        return rows.filter((F.size(x) != F.size(y)) | (F.floor((total - apart) / 2) >= F.ceil(self.similar * total / (100 + self.similar)))).select("a", "b")
+
     def verify(self, pairs: DataFrame, n: int, few: bool) -> DataFrame:
         """Of n pairs, those that are links.  The first of a pair leads; a leader with many is repeated by parts.
 
@@ -372,7 +400,7 @@ class _Join:
         return member(1).join(member(2), ["list", "block1", "block2"]).filter("if(block1 < block2, root1 <> root2, root1 < root2)")
 
     def links(self) -> DataFrame:
-        tried = materialise(self.pairs, "pairs")
+        tried = materialise(self.likely(self.pairs), "pairs")
         links = self.verify(tried, tried.count(), few=False)
         final = False
         while True:
@@ -387,7 +415,7 @@ class _Join:
             small = "if(n1 < n2 or n1 = n2 and pos1 < pos2, struct(n1 as n, pos1 as pos), struct(n2 as n, pos2 as pos))"
             close = F.expr(f"100 * least(n1, n2) >= {t} * greatest(n1, n2) and least(n1 - pos1, n2 - pos2) >= {need} and {small}.pos <= {small}.n - ceil({t} * 2 * {small}.n / {100 + t})")
             more = more.filter(close).select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")).distinct()
-            more = materialise(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+            more = materialise(self.likely(more.join(tried, ["a", "b"], "left_anti")), "pairs")
             n = more.count()
             if not n:
                 if final:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from evidentia.llm import jaccard_join
@@ -96,3 +97,21 @@ def test_one_row_of_each_component_stays(spark):
     groups = {w[0]: name for name, w in zip("abcdef", (a, b, c, d, e, f), strict=True)}
     assert all(x in rows for x in kept)
     assert sorted((groups.get((t or "").split(" ")[0], ""), str(i)) for i, t in kept) == [("", "8"), ("", "8"), ("a", "1"), ("b", "4"), ("c", "5"), ("d", "7"), ("e", "None"), ("f", "None")]
+
+
+def test_bitmaps_never_hide_a_link():
+    """The bound on the overlap of two sets holds, and tells most sets apart that share little."""
+    r, told = np.random.default_rng(3), 0
+    for _ in range(400):
+        n, shared = int(r.integers(1, 400)), r.random()
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        kept = int(shared * len(a))
+        b = np.unique(np.concatenate([a[:kept], r.integers(0, 1 << 63, max(1, int((len(a) - kept) * r.uniform(0.8, 1.2))), dtype=np.uint64)]))
+        if not 0.75 <= len(a) / len(b) <= 4 / 3:
+            continue
+        x, y = sorted((jaccard_join._bitmap(a), jaccard_join._bitmap(b)), key=len)
+        y = y if len(x) == len(y) else y[: len(x)] ^ y[len(x) :]
+        bound = (len(a) + len(b) - int(np.bitwise_count(x ^ y).sum())) // 2
+        assert bound >= len(np.intersect1d(a, b))
+        told += 100 * bound < 75 * (len(a) + len(b) - bound)
+    assert told > 100
