@@ -191,13 +191,6 @@ def join_watchlist(spark, sf_dir):
 
 
 
-@query("SELECT 'ERROR' AS level, 'malformed_url' AS \"check\", CAST(page_id AS VARCHAR) AS row_key FROM pages WHERE NOT regexp_matches(url, '(?i)^https?://[^/?#]+')")
-def dq_malformed_urls(spark, sf_dir):
-    """DQ-14"""
-    from ..operators.checks import bad_urls
-
-    return bad_urls(table(spark, sf_dir, "pages"), "url", "page_id").drop("detail")
-
 
 @query(r"""SELECT doc_id, (len(regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '[.!?]\s+[A-Z0-9"''“]')) + 1)::BIGINT AS n_sentences FROM documents""")
 def str_sentences(spark, sf_dir):

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..config import EngineConfig
 from ..functions.timefn import sanitise
 from ..functions.url import url_hash
+from ..sources.scratch import new_folder
 
 
 def ingest(stream: DataFrame, at: str = "published_at", delay: str = "72 hours") -> DataFrame:
@@ -54,6 +58,53 @@ def touched(batch: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return store.join(batch.select(key).distinct(), key, "left_semi")
 
 
+STATE, STATUS = "start timestamp, status string", "event long, at timestamp, status string"
+
+
+def _moved(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, hours: int) -> Iterator[pd.DataFrame]:
+    """An event's state over its announcements (event, start, at), and what time makes of it with no new data."""
+    end = pd.Timedelta(hours=hours)
+
+    def status(start: pd.Timestamp, at: pd.Timestamp) -> str:
+        return "UPCOMING" if at < start else "LIVE" if at <= start + end else "UNKNOWN"
+
+    start, last = state.get if state.exists else (None, None)
+    rows = []
+    if state.hasTimedOut:
+        at = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        if status(start, at) != last:
+            rows.append((key[0], at, status(start, at)))
+    else:
+        told = pd.concat(list(batches)).sort_values("at", kind="stable")
+        for row in told.itertuples():
+            start = row.start
+            if status(start, row.at) != (rows[-1][2] if rows else last):
+                rows.append((key[0], row.at, status(start, row.at)))
+        at = told["at"].max()
+    last = rows[-1][2] if rows else last
+    state.update((start, last))
+    # the next time at which the status changes by itself
+    later = {"UPCOMING": start, "LIVE": start + end + pd.Timedelta(milliseconds=1)}.get(last)
+    if later is not None:
+        state.setTimeoutTimestamp(max(int(later.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(rows, columns=["event", "at", "status"])
+
+
+def lifecycle(announcements: DataFrame, hours: int = EngineConfig.event_hours) -> DataFrame:
+    """STRM-7, 8: status changes (event, at, status) of announced events (event, start, at with a watermark):
+    keyed state, and a timer for what comes due when nothing more is said."""
+    return announcements.groupBy("event").applyInPandasWithState(lambda k, b, s: _moved(k, b, s, hours), STATUS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Everything that a stream gives of what is there now, by way of the shared folder; the checkpoint lies
+    beside it.  A batch that is repeated replaces itself.  Modes but append are for streams of one batch."""
+    spark, path = stream.sparkSession, new_folder(stream.sparkSession)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(lambda rows, number: rows.write.parquet(f"{path}/batch__={number}", mode="overwrite")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path).select(*(F.col(f"`{c}`") for c in stream.columns))
+
+
 def timed_status(stream: DataFrame, start: Column, end: Column) -> DataFrame:
     """STRM-8: what an event's schedule says at the time of each tick."""
     return stream.withColumn("status", F.when(F.col("tick") < start, F.lit("UPCOMING")).when(F.col("tick") <= end, "LIVE").otherwise("UNKNOWN"))

@@ -146,7 +146,8 @@ def test_pair_rules_against_the_reference_formula(spark):
     pairs = spark.createDataFrame([(a, b, round(r.random(), 3)) for a in range(60) for b in range(a + 1, 60)], "a long, b long, content double")
     by_id, outcomes = {x[0]: x for x in rows}, set()
     for x in matching.score_pairs(pairs, articles).collect():
-        (_, at_a, _, ent_a, ev_a, cat_a, _), (_, at_b, _, ent_b, ev_b, cat_b, denies) = by_id[x.a], by_id[x.b]
+        (_, at_a, _, ent_a, ev_a, cat_a, deny_a), (_, at_b, _, ent_b, ev_b, cat_b, deny_b) = by_id[x.a], by_id[x.b]
+        denies = deny_b if at_b >= at_a else deny_a  # the later one answers
         gap, people, event = abs((at_b - at_a).total_seconds()) / 3600, share(ent_a, ent_b), share(ev_a, ev_b)
         reply, entity, text = denies and gap <= 24 and (people > 0 or event > 0), max(people, event), max(x.content, x.headline)
         named, recency = bool(ent_a or ent_b or ev_a or ev_b), max(0, 1 - gap / 72)
@@ -182,11 +183,60 @@ def test_posts_link_to_the_reference_formulas_best_story(spark):
     assert {k: v[1] for k, v in rows.items()} == {k: v[1] for k, v in want.items()} and only_event
 
 
-def test_redirects_survive_cycles(spark):
-    links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (10, 11), (11, 10), (12, 10)], "id long, target long")
-    found = {r.id: r.target for r in resolve.follow_redirects(links, keep).collect()}
-    assert (found[5], found[4], found[3]) == (2, 2, 2)
-    assert found[10] == found[11] == 10
+def walked(links):
+    """Where each id's chain ends, or the smallest id of the cycle that it runs into, by walking."""
+    nxt = {}
+    for a, b in links:
+        if a != b:
+            nxt[a] = min(b, nxt.get(a, b))
+    out = {}
+    for start in nxt:
+        seen, x = [], start
+        while x in nxt and x not in seen:
+            seen.append(x)
+            x = nxt[x]
+        out[start] = min(seen[seen.index(x) :]) if x in nxt else x
+    return out
+
+
+@pytest.mark.parametrize(
+    "links",
+    [
+        [(5, 4), (4, 3), (3, 2), (10, 11), (11, 10), (12, 10)],
+        [(1, 5), (5, 6), (6, 5)],  # a tail into a cycle, smaller than any of it
+        [(1, 2), (2, 3), (3, 1), (9, 3), (8, 9), (4, 4)],  # an odd cycle with a tail, and a link to itself
+        [(k, k - 1) for k in range(1, 60)] + [(100 + k, 100 + (k + 1) % 7) for k in range(7)] + [(200, 103), (201, 200), (7, 300)],
+        [],
+    ],
+)
+def test_redirects_end_where_a_walk_ends(spark, links):
+    table = spark.createDataFrame(links, "id long, target long")
+    assert {r.id: r.target for r in resolve.follow_redirects(table, keep).collect()} == walked(links)
+
+
+def test_hubs_and_long_phrases_are_found(spark):
+    """No key is too common to propose pairs, and no phrase too long or too short to be found."""
+    hub = spark.range(600).select("id", F.lit("hub").alias("key"), F.timestamp_seconds(F.col("id") * 60).alias("at"))
+    assert matching.blocked_pairs(hub.drop("at")).count() == 600 * 599 // 2
+    assert matching.blocked_pairs(hub, hours=1).count() == sum(min(60, 599 - i) for i in range(600))
+    terms = spark.createDataFrame([("UFC",), ("one two three four five six seven",), ("two",)], "term string")
+    texts = spark.createDataFrame([(1, "a ufc of one two three four five six seven"), (2, "one two three four five six")], "id long, text string")
+    assert {r.id: sorted(r.entities) for r in entities.watched(texts, terms).collect()} == {1: ["UFC", "one two three four five six seven", "two"], 2: ["two"]}
+
+
+def test_candidates_lose_no_acceptable_pair(spark):
+    """All pairs that the rules accept, of articles with common words and names, are among the candidates."""
+    r = random.Random(9)
+    vocabulary = ["the", "champion", *(f"w{k}" for k in range(40))]
+    rows = [(i, dt.datetime(2024, 5, 1) + dt.timedelta(hours=r.randint(0, 120)), " ".join(r.choice(vocabulary[: r.choice([5, 42])]) for _ in range(r.randint(1, 9)))) for i in range(120)]
+    articles = spark.createDataFrame(rows, "id long, at timestamp, title string")
+    none = F.array().cast("array<string>")
+    articles = articles.withColumns({"entities": none, "events": none, "category": F.lit("general"), "has_denial": F.lit(False)})
+    weights = keep(matching.tfidf(articles.select("id", F.concat("title", F.lit(" w1 w2 x")).alias("text"))))
+    every = spark.range(120).select(F.col("id").alias("a")).join(spark.range(120).select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+    accepted = lambda pairs: {(x.a, x.b) for x in matching.score_pairs(matching.cosine(pairs, weights), articles).filter("accepted").collect()}
+    found, want = accepted(matching.candidate_pairs(articles, weights)), accepted(every)
+    assert found == want and want
 
 
 def test_rankings(spark):
