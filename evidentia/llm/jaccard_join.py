@@ -62,6 +62,8 @@ SHORT = 8
 BLOCK = 256
 #: Candidates that share a leader go to tasks in parts of this many.
 LEADER_PART = 256
+#: Parts in which a component's sets are dealt.
+ROOT_PARTS = 16
 #: Rows up to which the verifier's assignments are sent to the texts instead of texts to them.
 BROADCAST_ROWS = 100_000
 #: Numbers of dropped rows up to which they are sent to the documents.
@@ -438,9 +440,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     join.profile()
     join.candidates()
     join.links()
-    rooted = join.sets.join(join.labels.withColumnRenamed("v", "sid"), "sid", "left").select("sid", "key", F.coalesce("root", "sid").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("key").alias("component"))
-    by_set = materialise(rooted.join(smallest, "root").select("sid", "component"), "classes")
+    # a component's smallest id goes back to its sets in parts: some components are large
+    placed = join.sets.join(join.labels.withColumnRenamed("v", "sid"), "sid").select("sid", "key", "root", F.pmod(F.xxhash64("sid"), F.lit(ROOT_PARTS)).cast("int").alias("part"))
+    smallest = placed.groupBy("root").agg(F.min("key").alias("component")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ROOT_PARTS - 1))))
+    linked = placed.join(smallest, ["root", "part"]).select("sid", "component")
+    by_set = materialise(join.sets.select("sid", "key").join(linked, "sid", "left").select("sid", F.coalesce("component", "key").alias("component")), "classes")
     real = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
     out = join.documents.join(by_set, "sid", "left").select("key", "n", F.coalesce("component", "key").alias("component"))
     return out.select(real("key").alias(id_col), F.col("n").cast("long").alias("n_shingles"), real("component").alias("component_id"))
