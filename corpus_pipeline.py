@@ -2,6 +2,9 @@
 
 run() writes each stage as Parquet to the shared folder and reads it back as the next stage's
 input, so that a lost executor costs no more than the stage that it worked on.
+
+Every stage takes texts of any length and other columns of any name, and all but the last return the
+columns that they got.  An empty table passes all stages and gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,27 +20,29 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go.  Null and empty texts have no words and are rejected; repeated rows are judged alike."""
     return quality.keep_good(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays, a null id counting as the smallest; null equals
+    the empty text; of rows equal in id and text one stays."""
     return exact_dedup.keep_one(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays."""
+    """Of each component the document with the smallest doc_id stays, a null id counting as the smallest; of
+    equal ids one row.  Documents without words link with nothing and all stay."""
     return jaccard_join.keep_smallest(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans are replaced by their kind; n_chars follows."""
+    """Spans are replaced by their kind; n_chars follows.  A null text stays null."""
     return pii.redact(docs, length_col="n_chars")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its sequence and place."""
+    """One row per piece of a document, with its sequence and place.  Null counts as empty: one piece, the end mark."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -18,6 +18,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -86,6 +87,20 @@ def test_sharding(docs, rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def winner(key, weights):
+    """The shard with the largest weight / -ln(u), u from chained 64-bit hashes of key and shard."""
+    seed = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+    score = lambda k: weights[k] / -math.log(((xxhash.xxh64_intdigest(k.to_bytes(4, "little"), seed) >> 11) + 0.5) / (1 << 53))
+    return max(range(len(weights)), key=lambda k: (score(k), -k))
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 8, [1.0, 3.0, 0.5]])
+def test_shards_equal_brute_force(docs, weights):
+    grown = [*weights, sum(weights) / len(weights)]
+    for r in sharding.shard_rows(docs, weights).collect():
+        assert (r.shard, r.grown_shard) == (winner(r.doc_id, weights), winner(r.doc_id, grown))
+
+
 def test_weights_give_shares(spark):
     shares = Counter(r[0] for r in spark.range(20_000).select(sharding.rendezvous(F.col("id"), [1.0, 3.0])).collect())
     assert abs(shares[1] / 20_000 - 0.75) < 0.02

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -79,3 +80,25 @@ def test_run_equals_its_stages(spark, sf_dir):
         docs = materialise(stage(spark, docs, sf_dir), name)
     keys = ("doc_id", "piece", "start", "length", "ids_crc32")
     assert Counter(rows(corpus_pipeline.run(spark, sf_dir).select(*keys))) == Counter(rows(docs.select(*keys)))
+
+
+NAMES = ["found", "key", "sid", "lm_lang", "row number", "content", "length", "best_id"]
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """An empty table, and very long texts, nulls, repeats and columns that the stages use themselves."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    empty = spark.createDataFrame([], kinds)
+    prose = " ".join(f"word{k * k % 997} and" for k in range(60))
+    long = " ".join(f"w{k * k % 99_991}" for k in range(80_000))
+    odd = spark.createDataFrame([(1, prose, "en", "s", 1), (1, prose, "en", "s", 1), (None, prose + " a@b.co", None, None, None), (3, long, "en", "s", 2), (4, None, None, None, None), (5, "", "en", "s", 0)], kinds)
+    for name in NAMES:
+        odd = odd.withColumn(name, F.lit(name))
+    for docs, rows in ((empty, 0), (odd, 6)):
+        for name, stage in corpus_pipeline.STAGES:
+            columns = docs.columns
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            assert name == "packing" or docs.columns == columns
+            assert rows or docs.isEmpty()
+        if rows:
+            assert {r.doc_id for r in docs.collect()} <= {1, 3, None}
