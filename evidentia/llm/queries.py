@@ -87,6 +87,18 @@ def op11_pivotal_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), share=10, orders=(1, 1), buckets=10_000, seed=2024, least=20)
+
+
+def op13_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import report
+
+    return report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -145,6 +157,19 @@ up AS (SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up
 SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word JOIN f AS last ON last.word = up.root WHERE last.form IS NULL
 """
 
+_WORDS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents), b AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+v AS (SELECT word, {_CRC.format(h="h")} % 10000 AS bucket FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM d UNION SELECT word FROM b))),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN v USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM b JOIN v USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM d JOIN v USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+h AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN w USING (doc_id)),
+c AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM h),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM k) // 100 THEN rank END AS rank FROM c LEFT JOIN k USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_grace_dedup": OP2_SQL, "op7_redirect_url_filter": OP7_SQL, "op11_pivotal_spelling": OP11_SQL}
+    return {"op2_grace_dedup": OP2_SQL, "op7_redirect_url_filter": OP7_SQL, "op11_pivotal_spelling": OP11_SQL, "op12_importance_resampling": OP12_SQL}
