@@ -111,15 +111,29 @@ def _tally(batches: Iterator[pa.RecordBatch], index: dict[bytes, int] | None) ->
     yield from flushed()
 
 
+def _commonest(counts: DataFrame, limit: int) -> list:
+    """Rows (.., n) with the largest n, at most that many, cut between classes of n.  The driver sees the classes'
+    sizes, of which there are 16 to a doubling, and then the chosen rows alone."""
+    size = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    classes = sorted(counts.groupBy(size.alias("c")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True)
+    least, held = None, 0
+    for c, k in classes:
+        held += k
+        if held > limit:
+            break
+        least = c
+    return [] if least is None else counts.filter(size >= least).collect()
+
+
 def head_vocabulary(docs: DataFrame, text: str = "text", orders: tuple[int, int] = (1, 1), buckets: int = 10_000, n_words: int = HEAD_WORDS, n_pairs: int = HEAD_PAIRS) -> Head:
     """The most frequent words of the corpus and, where runs of two are features, pairs of such words."""
     rows = docs.select(text)
 
     def most(index: dict[bytes, int] | None, limit: int) -> list:
         counts = arrow_map(rows, lambda batches: _tally(batches, index), "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-        return counts.orderBy(F.desc("n"), "a", "b").limit(limit).collect()
+        return _commonest(materialise(counts, "counts"), limit)
 
-    words = [bytes(r.a) for r in most(None, n_words)]
+    words = sorted(bytes(r.a) for r in most(None, n_words))
     index = {w: k for k, w in enumerate(words)}
     pairs = [(bytes(r.a), bytes(r.b)) for r in most(index, n_pairs)] if orders[0] <= 2 <= orders[1] and words else []
     return Head(words, pairs, buckets)
