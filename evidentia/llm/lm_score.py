@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, new_path, utf8
+from .common import arrow_map, new_path, noted, utf8
 from .words import by_text, distinct, window_hashes
 
 ORDER, BACKOFF = 3, 0.4
@@ -201,6 +201,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = new_path(spark, "blocks")
     table = f"blocks_{uuid4().hex}"
+    noted("table", table)
     made.withColumn("block", F.monotonically_increasing_id()).write.bucketBy(buckets, "block").option("path", path).saveAsTable(table)
     blocks = spark.table(table)
     corpus = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
