@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, utf8
+from .common import arrow_map, materialise, may_hold, sieve, utf8
 from .components import components
 from .words import window_sets
 
@@ -64,10 +64,6 @@ BLOCK = 256
 LEADER_PART = 256
 #: Parts in which a component's sets are dealt.
 ROOT_PARTS = 16
-#: Rows up to which the verifier's assignments are sent to the texts instead of texts to them.
-BROADCAST_ROWS = 100_000
-#: Numbers of dropped rows up to which they are sent to the documents.
-SENT_IDS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOWEST = -(1 << 63)
 
@@ -360,21 +356,17 @@ class _Join:
         # linked sets are less than twice as large as each other, so one fold makes their bitmaps alike
         return rows.filter((F.size(x) != F.size(y)) | (F.floor((total - apart) / 2) >= F.ceil(self.similar * total / (100 + self.similar)))).select("a", "b")
 
-    def verify(self, pairs: DataFrame, n: int, few: bool) -> DataFrame:
+    def verify(self, pairs: DataFrame, n: int) -> DataFrame:
         """Of n pairs, those that are links.  The first of a pair leads; a leader with many is repeated by parts.
 
-        few: late rounds, whose pairs go to the texts where there are not too many to send; the
-        first round's grow with the corpus, so there texts and pairs meet by a shuffle."""
+        Texts that no pair asks for are sieved out before texts and pairs meet by a shuffle."""
         parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_PART).cast("int").alias("parts"))
         members = pairs.join(parts, "a").select(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("member"))
         leaders = parts.select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("member"))
         asked = members.unionByName(leaders).withColumn("sid", F.coalesce("member", "lead"))
         asked = materialise(asked.join(self.sets.select("sid", "key"), "sid").select("key", "lead", "part", "member"), "asked", rows=2 * n)
-        if few and 2 * n <= BROADCAST_ROWS:  # a pair asks for two texts at most, and for its leader's again by parts
-            asked = F.broadcast(asked)
-        elif not few:
-            asked = asked.hint("merge")
-        texts = self.rows.join(asked, "key").select("lead", "part", "member", "text")
+        wanted = self.rows.filter(may_hold(sieve(asked, "key").scalar(), "key"))
+        texts = wanted.join(asked, "key").select("lead", "part", "member", "text")
         dealt = texts.repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("member").asc_nulls_first())
         return materialise(arrow_map(dealt, _verify(self.words, self.seed, self.similar), "a long, b long").distinct(), "links", rows=n)
 
@@ -403,7 +395,7 @@ class _Join:
 
     def links(self) -> DataFrame:
         tried = materialise(self.likely(self.pairs), "pairs")
-        links = self.verify(tried, tried.count(), few=False)
+        links = self.verify(tried, tried.count())
         final = False
         while True:
             self.labels = components(links)
@@ -424,7 +416,7 @@ class _Join:
                     return links
                 final = True
                 continue
-            new = self.verify(more, n, few=True)
+            new = self.verify(more, n)
             tried = tried.unionByName(more)
             links = links.unionByName(new)
             if final:
@@ -464,6 +456,7 @@ def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = members.join(rows.select(number, F.col(f"`{id_col}`").alias("id")), number)
     first = placed.groupBy("component_id").agg(F.min(F.struct("id", number)).alias("m")).select(F.col("m").getField(number).alias(number))
     extra = materialise(members.select(number).join(first, number, "left_anti"), "extra")
-    # numbers are sent to the texts up to a fixed number of them; beyond it both are shuffled
-    extra = F.broadcast(extra) if extra.count() <= SENT_IDS else extra.hint("merge")
-    return rows.join(extra, number, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # most texts aren't dropped and stay where they are; those that the sieve can't tell meet the numbers by a shuffle
+    doubtful = may_hold(sieve(extra, number).scalar(), number)
+    kept = rows.filter(~doubtful).unionByName(rows.filter(doubtful).join(extra, number, "left_anti"))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
