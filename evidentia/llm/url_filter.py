@@ -21,8 +21,6 @@ from .common import materialise
 from .components import components
 
 Rule = tuple[str, str, str]
-#: Rules up to which each URL is held against the list; more are joined by host.
-LISTED = 200
 
 
 def _lower(c: Column) -> Column:
@@ -46,10 +44,6 @@ def key_of(url: Column) -> Column:
 def match(rows: DataFrame, rules: list[Rule], host: str = "host", path: str = "path") -> DataFrame:
     """rows with the columns rule and action (null where none fits)."""
     spark = rows.sparkSession
-    if len(rules) <= LISTED:
-        fits = [F.when(((F.col(host) == h) | F.col(host).endswith(f".{h}")) & F.col(path).startswith(p), F.struct(F.lit(h + p).alias("rule"), F.lit(a).alias("action"))) for a, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))]
-        best = F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,action:string>")
-        return rows.withColumn("best", best).select(*rows.columns, F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
     table = spark.createDataFrame([(h, p, a) for a, h, p in rules], "rule_host string, rule_path string, rule_action string")
     urls = rows.select(F.col(host).alias("h"), F.col(path).alias("p")).distinct()
     parts = F.split("h", r"\.")
