@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.text import normalize
 from ..functions.timefn import age_hours
 from ..lexicons import BREAKING_CATEGORIES, CATEGORY_POINTS
-from .classify import CREDIBLE, FIRST_PERSON, LOW
+from .classify import CREDIBLE, FIRST_PERSON, LOW, plain
 
 CONFIG = EngineConfig()
 
@@ -58,6 +59,7 @@ def item_facts(items: DataFrame, as_of: Column, config: EngineConfig = CONFIG) -
         F.count_if(news & ~F.col("denial") & F.col("official_words")).alias("confirmations"),
         F.count_if(news).alias("articles"),
         F.count_if(age <= config.verify_window_hours).alias("recent_items"),
+        F.count_if(age <= config.developing_hours).alias("developing_items"),
         F.max("weight").alias("best_weight"),
         F.min_by("source_type", F.struct("at", "name", "source_type")).alias("origin_type"),
         F.min("at").alias("first_seen"),
@@ -72,6 +74,27 @@ def item_facts(items: DataFrame, as_of: Column, config: EngineConfig = CONFIG) -
     )
 
 
+def conflict_notes(items: DataFrame, most: int = 3) -> DataFrame:
+    """AGG-4: (story, notes) of stories with denials: who denies, who asserts and who confirms in official words.
+
+    items: story, name, source_type, kind, denial, official_words.  Names are ranked within their story and
+    side, and a window stops at `most` before its rows are shuffled again."""
+    credible, news = F.col("source_type").isin(CREDIBLE), F.col("kind") == "news"
+    side = F.array(
+        F.when(F.col("denial"), F.lit("denies")),
+        F.when(~F.col("denial") & credible & news, F.lit("asserts")),
+        F.when(~F.col("denial") & F.col("official_words") & news, F.lit("confirms")),
+    )
+    denied = items.filter("denial").select("story").distinct()
+    rows = items.join(denied, "story", "left_semi").select("story", F.explode(F.array_compact(side)).alias("side"), "name").distinct()
+    place = F.row_number().over(Window.partitionBy("story", "side").orderBy("name"))
+    first = rows.withColumn("place", place).filter(F.col("place") <= most)
+    named = first.groupBy("story").pivot("side", ["denies", "confirms", "asserts"]).agg(F.array_join(F.array_sort(F.collect_list("name")), ", "))
+    told_of = {"denies": "denied by ", "confirms": "confirmed in official words by ", "asserts": "reported by "}
+    notes = F.array(*(F.concat(F.lit(words), F.nullif(F.col(side), F.lit(""))) for side, words in told_of.items()))
+    return named.select("story", F.array_compact(notes).alias("notes"))
+
+
 def with_conflicts(facts: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:
     """AGG-4 and 5: contradictions are kept, and what still moves."""
     conflict = F.col("denials") > 0
@@ -129,13 +152,19 @@ def support_label(score: Column) -> Column:
 
 
 def support_reasons() -> Column:
-    """Every score carries its reasons."""
-    n = F.col("independent_count")
+    """AGG-9, I11: every score carries its reasons, each with the points that it brought or cost."""
+    n, shown = F.col("independent_count"), lambda x: x.cast("string")
+    best, hedge = F.round(F.col("best_weight") * 12, 1), F.round(F.col("speculation") * 15, 1)
+    copies = F.least(F.lit(12), F.col("copies") * 4).cast("int")
     return F.array_compact(
         F.array(
             F.when(F.col("official_confirmed"), F.lit("+55 official source")),
-            F.when(n >= 3, F.format_string("+30 %d independent sources", n)).when(n == 2, F.lit("+22 two independent sources")).when(n == 1, F.lit("+12 one credible source")).otherwise(F.lit("+0 no independent source")),
-            F.when(F.col("copies") > 0, F.format_string("-%d copies of other outlets", F.least(F.lit(12), F.col("copies") * 4).cast("int"))),
+            F.when(n >= 3, F.concat(F.lit("+30 "), shown(n), F.lit(" independent sources"))).when(n == 2, F.lit("+22 two independent sources")).when(n == 1, F.lit("+12 one credible source")).otherwise(F.lit("+0 no independent source")),
+            F.when(best > 0, F.concat(F.lit("+"), shown(best), F.lit(" reliability of the best source"))),
+            F.when((F.col("official_posts") > 0) & ~F.col("official_confirmed"), F.lit("+10 official account")),
+            F.when(F.col("credible_posts") > 0, F.lit("+5 posts of credible accounts")),
+            F.when(copies > 0, F.concat(F.lit("-"), shown(copies), F.lit(" copies of other outlets"))),
+            F.when(hedge > 0, F.concat(F.lit("-"), shown(hedge), F.lit(" hedged wording"))),
             F.when(F.col("has_conflict"), F.lit("-15 sources contradict each other")),
         )
     )
@@ -178,6 +207,34 @@ def relevance_parts(category: Column, as_of: Column) -> dict[str, Column]:
     }
 
 
+def told(parts: dict[str, Column]) -> Column:
+    """AGG-12: the parts that count for something, by name."""
+    every = F.create_map(*(x for name, value in parts.items() for x in (F.lit(name), value)))
+    return F.map_filter(every, lambda _, v: v != 0)
+
+
+def with_context(stories: DataFrame, context: DataFrame, watchlist: list[str], majors: list[str], title_terms: list[str], main_terms: list[str]) -> DataFrame:
+    """AGG-12's inputs from a story's words: context (story, headline, summary, keywords, entities).
+
+    title_story and main_event: the terms in headline, summary or keywords; major_hits: entities among the major
+    ones; watch_hits: watch-list terms in these words or among the entities."""
+    words = normalize(F.concat_ws(" ", "headline", "summary", F.concat_ws(" ", "keywords")))
+    names = F.transform(F.coalesce("entities", F.array().cast("array<string>")), normalize)
+    listed = lambda terms: F.array(*(F.lit(t) for t in terms)) if terms else F.array().cast("array<string>")
+    found = context.select("story", words.alias("words"), names.alias("names"))
+    within = lambda terms: F.exists(listed(terms), lambda t: F.col("words").contains(t))
+    hits = F.filter(listed([plain(t) for t in watchlist if plain(t)]), lambda t: F.col("words").contains(t) | F.array_join("names", " ").contains(t))
+    told_of = found.select(
+        "story",
+        within(title_terms).alias("title_story"),
+        within(main_terms).alias("main_event"),
+        F.size(F.filter("names", lambda n: F.array_contains(listed([plain(m) for m in majors]), n))).alias("major_hits"),
+        F.size(hits).alias("watch_hits"),
+    )
+    rows = stories.join(told_of, "story", "left")
+    return rows.na.fill({"title_story": False, "main_event": False, "major_hits": 0, "watch_hits": 0})
+
+
 def relevance_band(score: Column) -> Column:
     return F.when(score >= 70, F.lit("HIGH")).when(score >= 55, "ELEVATED").when(score >= 35, "MEDIUM").otherwise("LOW")
 
@@ -190,20 +247,41 @@ def dominant_category(items: DataFrame) -> DataFrame:
     return votes.groupBy("story").agg(best.alias("b")).select("story", F.col("b.category").alias("category"))
 
 
-def rebuild_stories(items: DataFrame, as_of: Column, config: EngineConfig = CONFIG) -> DataFrame:
-    """AGG-23: everything about a story from its items.  Three aggregates and two joins on the story's key."""
+def first_summary(items: DataFrame) -> DataFrame:
+    """(story, summary): the first article's excerpt that isn't empty, for stories that have none of their own."""
+    said = F.when((F.col("kind") == "news") & (F.trim("excerpt") != ""), F.struct("at", "name", "excerpt"))
+    return items.groupBy("story").agg(F.min(said)["excerpt"].alias("summary"))
+
+
+def rebuild_stories(items: DataFrame, as_of: Column, config: EngineConfig = CONFIG, context: DataFrame | None = None, terms: dict[str, list[str]] | None = None) -> DataFrame:
+    """AGG-23: everything about a story from its items.  Aggregates and joins on the story's key alone.
+
+    context and terms (see with_context) add what a story's words are worth; without them these parts are 0.
+    Items with an excerpt give stories a summary."""
     facts = with_conflicts(item_facts(items, as_of, config), config)
     rows = facts.join(source_counts(build_evidence(items)), "story").join(dominant_category(items), "story", "left")
+    if "excerpt" in items.columns:
+        rows = rows.join(first_summary(items), "story", "left")
     rows = rows.withColumn("category", F.coalesce("category", F.lit("general"))).withColumn("updates", F.col("articles") - 1)
     rows = rows.withColumns({"status": decide_status(F.col("category")), "support_score": support_score(), "trend_score": trend_score()})
     rows = rows.withColumns({"support_label": support_label(F.col("support_score")), "is_trending": F.col("trend_score") >= config.trending_threshold})
+    if context is not None:
+        rows = with_context(rows, context, **(terms or {}))
     missing = {c: F.lit(v) for c, v in (("title_story", False), ("main_event", False), ("major_hits", 0), ("watch_hits", 0)) if c not in rows.columns}
     rows = rows.withColumns(missing) if missing else rows
     parts = relevance_parts(F.col("category"), as_of)
     total = sum(parts.values(), F.lit(0.0))
-    rows = rows.withColumn("relevance", F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)))
+    rows = rows.withColumns({"relevance": F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), "breakdown": told(parts)})
     fresh = (age_hours(F.col("first_seen"), as_of) <= config.breaking_hours) & (F.col("relevance") >= config.breaking_relevance)
-    return rows.withColumns({"band": relevance_band(F.col("relevance")), "is_breaking": fresh & F.col("category").isin(BREAKING_CATEGORIES) & F.col("status").isin("CONFIRMED", "REPORTED", "DEVELOPING")})
+    # AGG-22 over the items, which are what a timeline holds of them
+    burst = (F.col("developing_items") >= config.verify_min_updates) | (F.col("has_conflict") & (F.col("developing_items") >= 2))
+    settled = F.col("official_confirmed") & ~F.col("has_conflict")
+    flags = {
+        "band": relevance_band(F.col("relevance")),
+        "is_breaking": fresh & F.col("category").isin(BREAKING_CATEGORIES) & F.col("status").isin("CONFIRMED", "REPORTED", "DEVELOPING"),
+        "is_developing": ~settled & (F.col("is_moving") | burst),
+    }
+    return rows.withColumns(flags)
 
 
 def source_names(evidence: DataFrame, most: int = 5) -> DataFrame:

@@ -238,9 +238,3 @@ def outcomes(runs: DataFrame, run: Column, ok: Column) -> DataFrame:
 def run_outcome(ok: Column, failed: Column) -> Column:
     """AGG-19: derived from the counts."""
     return F.when(ok + failed == 0, F.lit("NOT_RUN")).when(failed == 0, "SUCCESS").when(ok == 0, "TOTAL_FAILURE").otherwise("PARTIAL")
-
-
-def fingerprints(members: DataFrame, story: str = "story", item: str = "id", at: str = "at") -> DataFrame:
-    """AGG-25: changes whenever a story's members do.  Sums of hashes, so no member list is gathered."""
-    h = F.xxhash64(item, at)
-    return members.groupBy(story).agg(F.sha1(F.concat_ws(",", F.count(F.lit(1)).cast("string"), F.bit_xor(h).cast("string"), F.sum(F.pmod(h, F.lit(1 << 31))).cast("string"))).alias("fingerprint"))

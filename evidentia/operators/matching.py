@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.text import normalize, normalize_title, overlap, set_similarity, title_similarity, token_set, tokens
+from ..functions.text import clean_title, normalize, normalize_title, overlap, title_similarity, token_set, tokens, truncate
 from ..functions.url import url_hash
 
 CONFIG = EngineConfig()
@@ -31,13 +33,16 @@ def insert_if_absent(new: DataFrame, store: DataFrame | None = None) -> DataFram
 
 
 def tfidf(docs: DataFrame, stop: bool = True) -> DataFrame:
-    """DUP-2: (id, gram, w) - one- and two-word grams, sublinear counts, smooth idf, unit length."""
+    """DUP-2: (id, gram, w) - one- and two-word grams, sublinear counts, smooth idf, unit length.
+
+    A document that stands for several (a column `copies`) counts as so many."""
     words = tokens(normalize(F.col("text"))) if stop else F.split(normalize(F.col("text")), " ")
-    base = docs.select("id", words.alias("w")).filter(F.size("w") > 0)
+    copies = F.col("copies") if "copies" in docs.columns else F.lit(1)
+    base = docs.select("id", words.alias("w"), copies.alias("copies")).filter(F.size("w") > 0)
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    tf = base.select("id", F.explode(F.concat("w", pairs)).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    n = base.agg(F.count(F.lit(1)).alias("n"))
+    tf = base.select("id", "copies", F.explode(F.concat("w", pairs)).alias("gram")).groupBy("id", "copies", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("gram").agg(F.sum("copies").alias("df"))
+    n = base.agg(F.sum("copies").alias("n"))
     weighted = tf.join(df, "gram").join(F.broadcast(n)).withColumn("raw", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return weighted.join(norm, "id").select("id", "gram", (F.col("raw") / F.col("norm")).alias("w"), "df")
@@ -76,16 +81,34 @@ def rare_tokens(rows: DataFrame, share: float) -> DataFrame:
     return each.join(df, "key").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(share * F.col("n")) + 1).select("id", "key", "n")
 
 
-def candidate_pairs(articles: DataFrame, weights: DataFrame, hours: int = CONFIG.match_hours, text: float = CONFIG.reply_text_similarity) -> DataFrame:
-    """JOIN-6: (a, b) of articles (id, at, title) near in time that may be alike enough in content or headline."""
-    at = articles.select("id", "at")
+def fold_equal(rows: DataFrame, key: Column, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(members, sizes): every row's (id, rep) with the smallest id of the rows whose key is equal, and (rep, copies).
+
+    What is equal needs no pairs: a class of any size is a row for each member.  Rows without a key stand for themselves."""
+    keyed = rows.select(F.col(id_col).alias("id"), F.sha2(key, 256).alias("k"))
+    reps = keyed.filter("k is not null").groupBy("k").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    members = keyed.join(reps.select("k", "rep"), "k", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    alone = keyed.filter("k is null").select(F.col("id").alias("rep"), F.lit(1).cast("long").alias("copies"))
+    return members, reps.select("rep", "copies").unionByName(alone)
+
+
+def _banded(keys: DataFrame, hours: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with `at` by their stretch of so many hours, and once more in it and the two beside it."""
+    band = F.floor(F.unix_seconds("at") / (hours * 3600))
+    return keys.withColumn("band", band), keys.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+
+
+def candidate_pairs(articles: DataFrame, weights: DataFrame, hours: int = CONFIG.match_hours, text: float = CONFIG.reply_text_similarity, times: DataFrame | None = None) -> DataFrame:
+    """JOIN-6: (a, b) of articles (id, at, title) near in time that may be alike enough in content or headline.
+
+    times: (id, at) where articles stand for classes that have several times; one of each must be near."""
+    at = articles.select("id", "at") if times is None else times
     content = blocked_pairs(prefix_keys(weights, text).join(at, "id"), hours)
     titles = articles.select("id", token_set(normalize_title(F.col("title"))).alias("tokens")).filter(F.size("tokens") > 0)
     # an overlap is a share of the smaller set: its rare tokens meet all tokens of the larger
-    few = rare_tokens(titles, text).join(at, "id").select("key", F.floor(F.unix_seconds("at") / (hours * 3600)).alias("band"), F.col("id").alias("x"), F.col("at").alias("tx"), F.col("n").alias("nx"))
-    band = F.floor(F.unix_seconds("at") / (hours * 3600))
-    every = titles.join(at, "id").select(F.explode("tokens").alias("key"), F.array(band - 1, band, band + 1).alias("bands"), F.col("id").alias("y"), F.col("at").alias("ty"), F.size("tokens").alias("ny"))
-    every = every.select("key", F.explode("bands").alias("band"), "y", "ty", "ny")
+    few = _banded(rare_tokens(titles, text).join(at, "id"), hours)[0].select("key", "band", F.col("id").alias("x"), F.col("at").alias("tx"), F.col("n").alias("nx"))
+    every = titles.join(at, "id").select("id", "at", F.size("tokens").alias("ny"), F.explode("tokens").alias("key"))
+    every = _banded(every, hours)[1].select("key", "band", F.col("id").alias("y"), F.col("at").alias("ty"), "ny")
     near = (F.col("nx") <= F.col("ny")) & (F.col("x") != F.col("y")) & (F.abs(F.unix_micros("tx") - F.unix_micros("ty")) <= hours * 3_600_000_000)
     headline = few.join(every, ["key", "band"]).filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return content.unionByName(headline).distinct()
@@ -98,35 +121,137 @@ def cosine(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     return pairs.join(dots, ["a", "b"], "left").select("a", "b", F.coalesce("content", F.lit(0.0)).alias("content"))
 
 
-def score_pairs(pairs: DataFrame, articles: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:
-    """JOIN-6: (a, b, content) with gates and score; a denial answers what came before it."""
-    cols = ["at", "title", "entities", "events", "category", "has_denial"]
-    side = lambda k: articles.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
+FEATURES = ["title", "entities", "events", "category", "has_denial"]
+
+
+def liken(pairs: DataFrame, articles: DataFrame) -> DataFrame:
+    """What JOIN-6 asks of two articles but for their times, added to (a, b, content)."""
+    side = lambda k: articles.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in FEATURES))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    gap = F.abs(F.unix_micros("at_b") - F.unix_micros("at_a")) / 3.6e9
-    rows = rows.withColumns({"gap": gap, "people": overlap(F.col("entities_a"), F.col("entities_b")), "event": overlap(F.col("events_a"), F.col("events_b")), "headline": title_similarity(F.col("title_a"), F.col("title_b"))})
-    both = (F.size("entities_a") > 0) & (F.size("entities_b") > 0)
-    named = (F.size("entities_a") + F.size("entities_b") + F.size("events_a") + F.size("events_b")) > 0
-    denies = F.when(F.col("at_b") >= F.col("at_a"), F.col("has_denial_b")).otherwise(F.col("has_denial_a"))
-    reply = denies & (F.col("gap") <= 24) & ((F.col("people") > 0) | (F.col("event") > 0))
-    apart = (F.col("category_a") != F.col("category_b")) & F.col("category_a").isin(DISTINCT) & F.col("category_b").isin(DISTINCT) & ~reply
+    return rows.withColumns(
+        {
+            "people": overlap(F.col("entities_a"), F.col("entities_b")),
+            "event": overlap(F.col("events_a"), F.col("events_b")),
+            "headline": title_similarity(F.col("title_a"), F.col("title_b")),
+            "both": (F.size("entities_a") > 0) & (F.size("entities_b") > 0),
+            "named": (F.size("entities_a") + F.size("entities_b") + F.size("events_a") + F.size("events_b")) > 0,
+            "differ": (F.col("category_a") != F.col("category_b")) & F.col("category_a").isin(DISTINCT) & F.col("category_b").isin(DISTINCT),
+        }
+    )
+
+
+def match_score(gap: Column, config: EngineConfig = CONFIG) -> Column:
+    """JOIN-6: the score of likened articles so many hours apart; it only falls as the gap grows."""
+    entity, recency = F.greatest("people", "event"), F.greatest(F.lit(0.0), 1 - gap / config.match_hours)
+    return F.when(F.col("named"), 0.34 * F.col("content") + 0.28 * F.col("headline") + 0.24 * entity + 0.14 * recency).otherwise(0.48 * F.col("content") + 0.38 * F.col("headline") + 0.14 * recency)
+
+
+def match_accepted(score: Column, gap: Column, denies: Column, config: EngineConfig = CONFIG) -> Column:
+    """JOIN-6's gates; what holds at a gap holds at any smaller one.  A denial answers what came before it."""
     entity, text = F.greatest("people", "event"), F.greatest("content", "headline")
-    recency = F.greatest(F.lit(0.0), 1 - F.col("gap") / config.match_hours)
-    score = F.when(named, 0.34 * F.col("content") + 0.28 * F.col("headline") + 0.24 * entity + 0.14 * recency).otherwise(0.48 * F.col("content") + 0.38 * F.col("headline") + 0.14 * recency)
-    accepted = ((score >= config.similarity) & (text >= config.text_similarity)) | ((F.col("headline") >= config.title_similarity) & ((entity > 0) | ~named)) | (reply & (entity >= 0.5) & (text >= config.reply_text_similarity))
-    gates = (F.col("gap") <= config.match_hours) & ~(both & (F.col("people") == 0)) & ~apart
-    return rows.withColumns({"score": score, "accepted": gates & accepted})
+    reply = denies & (gap <= 24) & ((F.col("people") > 0) | (F.col("event") > 0))
+    gates = (gap <= config.match_hours) & ~(F.col("both") & (F.col("people") == 0)) & ~(F.col("differ") & ~reply)
+    by_score = (score >= config.similarity) & (text >= config.text_similarity)
+    by_headline = (F.col("headline") >= config.title_similarity) & ((entity > 0) | ~F.col("named"))
+    return gates & (by_score | by_headline | (reply & (entity >= 0.5) & (text >= config.reply_text_similarity)))
+
+
+def score_pairs(pairs: DataFrame, articles: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:
+    """JOIN-6: (a, b, content) with gates and score."""
+    at = lambda k: articles.select(F.col("id").alias(k), F.col("at").alias(f"at_{k}"))
+    rows = liken(pairs, articles).join(at("a"), "a").join(at("b"), "b")
+    rows = rows.withColumn("gap", F.abs(F.unix_micros("at_b") - F.unix_micros("at_a")) / 3.6e9)
+    denies = F.when(F.col("at_b") >= F.col("at_a"), F.col("has_denial_b")).otherwise(F.col("has_denial_a"))
+    rows = rows.withColumn("score", match_score(F.col("gap"), config))
+    return rows.withColumn("accepted", match_accepted(F.col("score"), F.col("gap"), denies, config))
+
+
+def _latest_before(directed: DataFrame, members: DataFrame, hours: int) -> DataFrame:
+    """Of directed classes (child, parent, ..): for each member of the child the parent's latest member before it,
+    no more than about so many hours back: (id, at, p_id, p_at, ..).
+
+    An as-of join: rows of both classes meet by pair and stretch of time, in order, so a class costs
+    what it holds, not its square.  Of members at one time the smallest id counts."""
+    width = hours * 3600
+    band = F.floor(F.unix_seconds("at") / width).alias("band")
+    times = members.groupBy("rep", "at").agg(F.min("id").alias("first")).select("rep", "at", "first", band)
+    # a stretch begins with the last member of the one before
+    carried = times.groupBy("rep", "band").agg(F.max(F.struct("at", "first")).alias("l")).select("rep", F.col("l.at").alias("at"), F.col("l.first").alias("first"), (F.col("band") + 1).alias("band"))
+    entry = F.struct("at", "first").alias("entry")
+    step = Window.partitionBy("rep", "band").orderBy("at")
+    entries = times.unionByName(carried).select("rep", "band", "at", entry, F.lag(F.struct("at", "first")).over(step).alias("prior"))
+    there = members.select(F.col("rep").alias("child"), band).distinct()
+    pairs = directed.select("child", "parent")
+    none = F.lit(None)
+    kind = "struct<at:timestamp,first:bigint>"
+    of_parent = pairs.join(there, "child").join(entries.withColumnRenamed("rep", "parent"), ["parent", "band"]).select("child", "parent", "band", "at", F.lit(0).alias("kind"), none.cast("bigint").alias("id"), "entry", "prior")
+    low = F.col("least_score") if "least_score" in members.columns else F.lit(-1.0)
+    children = members.select(F.col("rep").alias("child"), "id", "at", band, low.alias("least_score"))
+    best = directed.select("child", "parent", "most")
+    of_child = best.join(children, "child").filter(F.col("most") >= F.col("least_score"))
+    of_child = of_child.select("child", "parent", "band", "at", F.lit(1).alias("kind"), "id", none.cast(kind).alias("entry"), none.cast(kind).alias("prior"))
+    so_far = Window.partitionBy("child", "parent", "band").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    met = of_parent.unionByName(of_child).withColumns({"e": last("entry"), "p": last(F.when(F.col("kind") == 0, F.struct("prior")))}).filter("kind = 1")
+    same = (F.col("e.at") == F.col("at")) & (F.col("e.first") >= F.col("id"))
+    found = met.withColumn("f", F.when(same, F.col("p.prior")).otherwise(F.col("e"))).filter("f is not null")
+    return found.select("child", "parent", "id", "at", F.col("f.first").alias("p_id"), F.col("f.at").alias("p_at")).join(directed.drop("most"), ["child", "parent"])
+
+
+def best_parents(articles: DataFrame, keep, config: EngineConfig = CONFIG) -> DataFrame:
+    """CLU-1: (id, parent, similarity): the best accepted earlier article of each.
+
+    Articles that are equal in all but their time are a class, compared with others once.  Within two classes only
+    the nearest earlier member can be best, as scores fall with the gap.  Members first look into their own
+    class; other classes are looked into only where their best score could be higher."""
+    wanted = articles.select("id", "at", "text", *FEATURES)
+    members, sizes = fold_equal(wanted, F.to_json(F.struct("text", *FEATURES)))
+    members = keep(members.join(wanted.select("id", "at"), "id"))
+    classes = keep(wanted.join(sizes.withColumnRenamed("rep", "id"), "id"))
+    weights = keep(tfidf(classes.select("id", "text", "copies")))
+    hour = F.timestamp_seconds(F.floor(F.unix_seconds("at") / 3600) * 3600)
+    # a class's times to the hour: candidates may be an hour too far apart, the gap decides below
+    times = members.select(F.col("rep").alias("id"), hour.alias("at")).distinct()
+    pairs = cosine(candidate_pairs(classes, weights, config.match_hours + 1, times=times), weights)
+    own = cosine(classes.filter("copies > 1").select(F.col("id").alias("a"), F.col("id").alias("b")), weights)
+    alike = keep(liken(pairs.unionByName(own), classes))
+    columns = ["content", "people", "event", "headline", "both", "named", "differ"]
+    way = lambda child, parent: alike.select(F.col(child).alias("child"), F.col(parent).alias("parent"), F.col(f"has_denial_{child}").alias("denies"), *columns)
+    none = F.lit(0.0)
+    directed = way("b", "a").unionByName(way("a", "b").filter("child <> parent"))
+    directed = directed.withColumn("most", match_score(none, config)).filter(match_accepted(F.col("most"), none, F.col("denies"), config))
+    gap = (F.unix_micros("at") - F.unix_micros("p_at")) / 3.6e9
+
+    def best(rows: DataFrame) -> DataFrame:
+        scored = rows.withColumn("gap", gap).withColumn("score", match_score(F.col("gap"), config))
+        good = scored.filter(match_accepted(F.col("score"), F.col("gap"), F.col("denies"), config))
+        return good.groupBy("id").agg(F.max(F.struct("score", (-F.col("p_id")).alias("p"))).alias("m"))
+
+    within = keep(best(_latest_before(directed.filter("child = parent"), members, config.match_hours)))
+    known = members.join(within.select("id", F.col("m.score").alias("own")), "id", "left").select("id", "at", "rep", F.coalesce("own", F.lit(-1.0)).alias("least_score"))
+    across = best(_latest_before(directed.filter("child <> parent"), known, config.match_hours))
+    found = within.unionByName(across).groupBy("id").agg(F.max("m").alias("m"))
+    return found.select("id", (-F.col("m.p")).alias("parent"), F.col("m.score").alias("similarity"))
 
 
 def cluster(articles: DataFrame, scored: DataFrame, checkpoint=None) -> DataFrame:
-    """CLU-1: (id, story, role, similarity).  An article joins its best accepted earlier article's
-    story; stories are the roots, found by pointer doubling."""
+    """CLU-1 over scored pairs: (id, story, role, similarity)."""
     order = articles.select("id", "at")
     pairs = scored.filter("accepted").select("a", "b", "score")
     ends = pairs.join(order.withColumnsRenamed({"id": "a", "at": "ta"}), "a").join(order.withColumnsRenamed({"id": "b", "at": "tb"}), "b")
     later_b = (F.col("ta") < F.col("tb")) | ((F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")))
     directed = ends.select(F.when(later_b, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(later_b, F.col("a")).otherwise(F.col("b")).alias("parent"), "score")
     best = directed.groupBy("id").agg(F.max(F.struct("score", (-F.col("parent")).alias("p"))).alias("m")).select("id", (-F.col("m.p")).alias("parent"), F.col("m.score").alias("similarity"))
+    return follow_parents(articles, best, checkpoint)
+
+
+def cluster_articles(articles: DataFrame, keep, config: EngineConfig = CONFIG) -> DataFrame:
+    """CLU-1: (id, story, role, similarity) of articles, copies folded before any pair is made."""
+    return follow_parents(articles, best_parents(articles, keep, config), keep)
+
+
+def follow_parents(articles: DataFrame, best: DataFrame, checkpoint=None) -> DataFrame:
+    """CLU-1: an article joins its best earlier article's story; stories are the roots, found by pointer doubling."""
     up = articles.select("id").join(best, "id", "left").select("id", F.coalesce("parent", "id").alias("root"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
     keep = checkpoint or (lambda df: df.checkpoint())
     while True:
@@ -140,19 +265,43 @@ def cluster(articles: DataFrame, scored: DataFrame, checkpoint=None) -> DataFram
     return up.select("id", F.col("root").alias("story"), role.alias("role"), "similarity")
 
 
-def fold_stories(articles: DataFrame, members: DataFrame) -> DataFrame:
-    """CLU-2: a story's row from its origin and members."""
+def first_values(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """(story, column): the first values of a list column over a story's articles, in their order, each once whatever
+    its spelling.  Values are one row each until they are ranked, so no story's lists are gathered whole."""
+    each = rows.select("story", "at", "id", F.posexplode(column).alias("pos", "value")).withColumn("key", normalize(F.col("value"))).filter("key <> ''")
+    once = each.groupBy("story", "key").agg(F.min(F.struct("at", "id", "pos", "value")).alias("f"))
+    place = F.row_number().over(Window.partitionBy("story").orderBy("f"))
+    first = once.withColumn("place", place).filter(F.col("place") <= most)
+    return first.groupBy("story").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["value"]).alias(column))  # at most `most`
+
+
+def fold_stories(articles: DataFrame, members: DataFrame, lists: dict[str, int] | None = None) -> DataFrame:
+    """CLU-2: a story's row from its origin and members.
+
+    articles: id, at, title, category, entities; and, where they have them, summary, image_url, is_official, events and
+    keywords.  The first official article gives headline and summary (the origin's where it has none), the
+    first image is the story's; lists are merged in order, 12 names and 20 keywords at most."""
     rows = articles.join(members, "id")
-    first = lambda c: F.min_by(c, F.struct("at", "id"))
-    names = F.transform(F.array_sort(F.collect_list(F.struct("at", "id", "entities"))), lambda x: x["entities"])
-    return rows.groupBy("story").agg(
-        first("title").alias("headline"),
+    lists = lists or {c: most for c, most in (("entities", 12), ("events", 12), ("keywords", 20)) if c in articles.columns}
+    order = F.struct("at", "id")
+    first = lambda c, test=None: F.min_by(c, order if test is None else F.when(test, order))
+    official = F.coalesce("is_official", F.lit(False)) if "is_official" in articles.columns else F.lit(False)
+    filled = lambda c: F.col(c).isNotNull() & (F.trim(c) != "")
+    made = [
+        F.coalesce(first("title", official & filled("title")), first("title")).alias("headline"),
         first("category").alias("category"),
         F.min("at").alias("first_seen"),
         F.max("at").alias("last_seen"),
         (F.count(F.lit(1)) - 1).alias("updates"),
-        F.slice(F.array_distinct(F.flatten(names)), 1, 12).alias("entities"),
-    )
+    ]
+    if "summary" in articles.columns:
+        made.append(truncate(F.coalesce(first("summary", official & filled("summary")), first("summary", filled("summary"))), 400).alias("summary"))
+    if "image_url" in articles.columns:
+        made.append(first("image_url", filled("image_url")).alias("image_url"))
+    folded = rows.groupBy("story").agg(*made)
+    for column, most in lists.items():
+        folded = folded.join(first_values(rows, column, most), "story", "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+    return folded.withColumn("headline", clean_title(F.col("headline")))
 
 
 def attach_new(new: DataFrame, stored: DataFrame, members: DataFrame, scored: DataFrame, checkpoint=None) -> DataFrame:
@@ -171,46 +320,92 @@ def attach_new(new: DataFrame, stored: DataFrame, members: DataFrame, scored: Da
     return rooted.select("id", F.coalesce("known", "root").alias("story"), "role", "similarity")
 
 
-def duplicate_report(articles: DataFrame, weights: DataFrame, least: float = 0.8) -> DataFrame:
-    """DUP-3: (a, b, reason, headline, content) of articles (id, url, title) with the same canonical URL, or
-    headlines or texts that are nearly identical."""
-    base = articles.select("id", url_hash(F.col("url")).alias("url_hash"), token_set(normalize_title(F.col("title"))).alias("tokens"))
-    titles = base.filter(F.size("tokens") > 0).select("id", "tokens")
-    few, every = rare_tokens(titles, least), titles.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("key"))
+def duplicate_report(articles: DataFrame, keep, least: float = 0.8) -> DataFrame:
+    """DUP-3: (reason, relation, a, b, similarity) of articles (id, url, title, text) with the same canonical URL, or
+    headlines or texts that are nearly identical.
+
+    relation "copy": a is equal to the representative b; "near": the representatives a < b are alike.  All copies
+    of two that are near are near too, so no link is lost and none is written twice."""
+    tokens_of = F.array_join(F.array_sort(token_set(normalize_title(F.col("title")))), " ")
+    words_of = F.array_join(tokens(normalize(F.col("text"))), " ")
+    parts = []
+
+    def folded(reason: str, key: Column) -> DataFrame:
+        members, sizes = fold_equal(articles, F.nullif(key, F.lit("")))
+        parts.append(members.filter("id <> rep").select(F.lit(reason).alias("reason"), F.lit("copy").alias("relation"), F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")))
+        return sizes.withColumnRenamed("rep", "id")
+
+    def linked(reason: str, pairs: DataFrame) -> None:
+        parts.append(pairs.filter(F.col("similarity") >= least).select(F.lit(reason).alias("reason"), F.lit("near").alias("relation"), "a", "b", "similarity"))
+
+    folded("same URL", url_hash(F.col("url")))
+    heads = articles.join(folded("headline", tokens_of), "id").select("id", token_set(normalize_title(F.col("title"))).alias("tokens")).filter(F.size("tokens") > 0)
+    heads = keep(heads)
+    few, every = rare_tokens(heads, least), heads.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("key"))
     side = lambda df, k: df.select("key", F.col("id").alias(k), F.col("n").alias(f"n{k}"))
-    headline = side(few, "x").join(side(every, "y"), "key").filter("nx <= ny and x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    same = blocked_pairs(base.select("id", F.col("url_hash").alias("key")).filter("key is not null"))
-    pairs = same.unionByName(headline).unionByName(blocked_pairs(prefix_keys(weights, least))).distinct()
-    scored = cosine(pairs, weights)
-    half = lambda k: base.select(F.col("id").alias(k), F.col("url_hash").alias(f"u{k}"), F.col("tokens").alias(f"t{k}"))
-    rows = scored.join(half("a"), "a").join(half("b"), "b").withColumns({"headline": overlap(F.col("ta"), F.col("tb")), "same": F.coalesce(F.col("ua") == F.col("ub"), F.lit(False))})
-    rows = rows.filter(F.col("same") | (F.col("headline") >= least) | (F.col("content") >= least))
-    return rows.select("a", "b", F.when(F.col("same"), F.lit("same URL")).otherwise("near-identical text").alias("reason"), "headline", "content")
+    met = side(few, "x").join(side(every, "y"), "key").filter("nx <= ny and x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    half = lambda k: heads.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}"))
+    linked("headline", met.join(half("a"), "a").join(half("b"), "b").select("a", "b", overlap(F.col("ta"), F.col("tb")).alias("similarity")))
+    texts = articles.join(folded("text", words_of), "id").select("id", "text", "copies")
+    weights = keep(tfidf(texts))
+    linked("text", cosine(blocked_pairs(prefix_keys(weights, least)), weights).withColumnRenamed("content", "similarity"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
 
+def link_posts(posts: DataFrame, stories: DataFrame, config: EngineConfig = CONFIG, post_hours: int = 48, story_hours: int = CONFIG.match_hours) -> DataFrame:
+    """JOIN-7: (post, story, score) - each post's best story of its time.
 
-def link_posts(posts: DataFrame, stories: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:
-    """JOIN-7: (post, story, score) - each post's best story.
+    posts: post, at, text, entities, events; stories: story, last_seen, headline, entities, events.  A run sees the posts
+    of the last 48 hours and the stories of the last 72, so a story counts if its last item is no more than 72 hours
+    older than the post and no more than 48 hours newer.  Both sides meet by key and stretch of time: a name that
+    all share costs what happens at a time.
 
     Where either side has names, only names in common lift the score far enough, so these meet by names;
-    without any, texts must share a part of their tokens, so their rare tokens meet."""
-    names = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    p = posts.select("post", names("entities").alias("pe"), names("events").alias("pv"), token_set(normalize(F.col("text"))).alias("pt"))
-    words = F.concat_ws(" ", F.col("headline"), names("entities"))
-    s = stories.select("story", names("entities").alias("se"), names("events").alias("sv"), token_set(normalize(words)).alias("st"))
-    called = lambda df, i, a, b: df.select(i, F.explode(F.array_distinct(F.concat(F.transform(a, lambda x: F.concat(F.lit("e:"), normalize(x))), F.transform(b, lambda x: F.concat(F.lit("v:"), normalize(x)))))).alias("key"))
-    by_name = called(p, "post", "pe", "pv").join(called(s, "story", "se", "sv"), "key").select("post", "story")
-    bare_p, bare_s = p.filter("size(pe) + size(pv) = 0 and size(pt) > 0"), s.filter("size(se) + size(sv) = 0 and size(st) > 0")
-    both = bare_p.select(F.struct(F.lit(0).alias("side"), F.col("post").alias("i")).alias("id"), F.col("pt").alias("tokens")).unionByName(bare_s.select(F.struct(F.lit(1).alias("side"), F.col("story").alias("i")).alias("id"), F.col("st").alias("tokens")))
+    without any, texts must share a part of their tokens, so their rare tokens meet.  What two share in names
+    is counted from the keys alone, with the sizes of their sets; tokens are compared only where the
+    score can still be reached."""
+    names = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), normalize), lambda n: n != ""))
+    said = F.concat_ws(" ", F.col("headline"), F.coalesce("entities", F.array().cast("array<string>")))
+    # tables without times are all of one time
+    time = lambda df, c: F.col(c) if c in df.columns else F.timestamp_seconds(F.lit(0))
+    p = posts.select("post", time(posts, "at").alias("at"), names("entities").alias("e"), names("events").alias("v"), token_set(normalize(F.col("text"))).alias("t"))
+    s = stories.select("story", time(stories, "last_seen").alias("at"), names("entities").alias("e"), names("events").alias("v"), token_set(normalize(said)).alias("t"))
+    sizes = [F.size(c).alias(f"n{c}") for c in "evt"]
+    band = F.floor(F.unix_seconds("at") / (max(post_hours, story_hours) * 3600))
+    hour = 3_600_000_000
+    gap = F.unix_micros("tp") - F.unix_micros("ts")
+    in_time = gap.between(-post_hours * hour, story_hours * hour)
+    key = F.concat(F.transform("e", lambda x: F.struct(F.lit("e").alias("kind"), x.alias("name"))), F.transform("v", lambda x: F.struct(F.lit("v").alias("kind"), x.alias("name"))))
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Rows (key, band, ..) of posts with those of stories, in time."""
+        return left.join(right, ["key", "band"]).filter(in_time)
+
+    def of_post(rows: DataFrame) -> DataFrame:
+        return rows.select("key", F.explode(F.array(band - 1, band, band + 1)).alias("band"), "post", F.col("at").alias("tp"), *(F.col(f"n{c}").alias(f"p{c}") for c in "evt"))
+
+    def of_story(rows: DataFrame) -> DataFrame:
+        return rows.select("key", band.alias("band"), "story", F.col("at").alias("ts"), *(F.col(f"n{c}").alias(f"s{c}") for c in "evt"))
+
+    by_name = meet(of_post(p.select("post", "at", *sizes, F.explode(key).alias("key"))), of_story(s.select("story", "at", *sizes, F.explode(key).alias("key"))))
+    counts = [f"{x}{c}" for x in "ps" for c in "evt"]
+    shared = by_name.groupBy("post", "story", *counts).agg(F.count_if(F.col("key.kind") == "e").alias("people"), F.count_if(F.col("key.kind") == "v").alias("event"))
+    bare_p, bare_s = p.filter("size(e) + size(v) = 0 and size(t) > 0"), s.filter("size(e) + size(v) = 0 and size(t) > 0")
+    both = bare_p.select(F.struct(F.lit(0).alias("side"), F.col("post").alias("i")).alias("id"), F.col("t").alias("tokens")).unionByName(bare_s.select(F.struct(F.lit(1).alias("side"), F.col("story").alias("i")).alias("id"), F.col("t").alias("tokens")))
     keys = rare_tokens(both, config.post_score / 0.85)
-    by_token = keys.filter("id.side = 0").select("key", F.col("id.i").alias("post")).join(keys.filter("id.side = 1").select("key", F.col("id.i").alias("story")), "key").select("post", "story")
-    rows = by_name.unionByName(by_token).distinct().join(p, "post").join(s, "story")
-    people, event = set_similarity(F.col("pe"), F.col("se")), set_similarity(F.col("pv"), F.col("sv"))
-    shared = F.size(F.array_intersect("pt", "st"))
-    text = shared / F.greatest(F.size(F.array_union("pt", "st")), F.lit(1))
-    both_named = (F.size("pe") > 0) & (F.size("se") > 0)
-    named = (F.size("pe") + F.size("pv") + F.size("se") + F.size("sv")) > 0
-    score = F.when(named, 0.45 * people + 0.25 * event + 0.30 * text).otherwise(0.85 * text)
-    rows = rows.withColumn("score", score).filter(~(both_named & (people == 0)) & ~((people == 0) & (event == 0) & (shared < 3)) & (F.col("score") >= config.post_score))
+    few = lambda k, name, rows: keys.filter(F.col("id.side") == k).select("key", F.col("id.i").alias(name)).join(rows.select(name, "at", *sizes), name)
+    by_token = meet(of_post(few(0, "post", bare_p)), of_story(few(1, "story", bare_s))).select("post", "story", *counts, F.lit(0).cast("long").alias("people"), F.lit(0).cast("long").alias("event")).distinct()
+    rows = shared.unionByName(by_token)
+    ratio = lambda n, c: F.when(F.least(f"p{c}", f"s{c}") > 0, F.col(n) / F.least(f"p{c}", f"s{c}")).otherwise(0.0)
+    rows = rows.withColumns({"people": ratio("people", "e"), "event": ratio("event", "v"), "named": sum(F.col(x + c) for x in "ps" for c in "ev") > 0})
+    score = lambda text: F.when(F.col("named"), 0.45 * F.col("people") + 0.25 * F.col("event") + 0.30 * text).otherwise(0.85 * text)
+    most = F.least("pt", "st") / F.greatest("pt", "st", F.lit(1))  # a Jaccard index is no larger than the ratio of the sizes
+    rows = rows.filter(~((F.col("pe") > 0) & (F.col("se") > 0) & (F.col("people") == 0)) & (score(most) >= config.post_score - 1e-9))
+    rows = rows.join(p.select("post", F.col("t").alias("tp")), "post").join(s.select("story", F.col("t").alias("ts")), "story")
+    rows = rows.withColumn("shared", F.size(F.array_intersect("tp", "ts")))
+    text = F.col("shared") / F.greatest(F.col("pt") + F.col("st") - F.col("shared"), F.lit(1))
+    # parts add up to the same score in several ways; beyond nine digits they differ by chance
+    rows = rows.withColumn("score", F.round(score(text), 9)).filter(~((F.col("people") == 0) & (F.col("event") == 0) & (F.col("shared") < 3)) & (F.col("score") >= config.post_score))
     return rows.groupBy("post").agg(F.max(F.struct("score", (-F.col("story")).alias("s"))).alias("m")).select("post", (-F.col("m.s")).alias("story"), F.col("m.score").alias("score"))
 
 

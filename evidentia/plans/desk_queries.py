@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import url
 from ..lexicons import TITLE_TERMS
-from ..operators import cards, checks, entities, evidence, feeds
+from ..operators import cards, checks, entities, evidence, feeds, rebuild
 from . import newsroom
 from .news_queries import any_in
 from .newsroom import ARTICLES, chosen
@@ -124,15 +124,25 @@ def agg_developing(spark, sf_dir):
     return evidence.developing(timeline, conflicts, F.lit(CALENDAR).cast("timestamp")).select("story", "recent", "is_developing")
 
 
-@query("SELECT o_orderkey AS story, count(l_linenumber) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <> 2 GROUP BY 1")
+@query(
+    """SELECT o_orderkey AS story, bool_or(l_linenumber = 2) OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR max(l_shipdate) FILTER (l_linenumber <> 2) <> max(l_shipdate) AS changed
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"""
+)
 def agg_fingerprint(spark, sf_dir):
-    """AGG-25: stories whose members changed since a run without their second line have another fingerprint."""
+    """AGG-25: a story's fingerprint follows from its status, headline, last update and members, however they are
+    dealt, and from nothing else.  Every fifth story's status is another now, every seventh's headline."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("story"), F.col("l_linenumber").alias("id"), F.col("l_shipdate").alias("at"))
-    now, before, same = feeds.fingerprints(lines), feeds.fingerprints(lines.filter("id <> 2")), feeds.fingerprints(lines.repartition(7))
-    # a fingerprint follows from the members alone, however they are dealt, and differs where a member does
-    true = now.join(same, ["story", "fingerprint"]).join(before.withColumnRenamed("fingerprint", "old"), "story")
-    sizes = lines.groupBy("story").agg(F.count_if(F.col("id") != 2).alias("n"), F.count_if(F.col("id") == 2).alias("second"))
-    return true.join(sizes, "story").filter((F.col("old") != F.col("fingerprint")) == (F.col("second") > 0)).select("story", "n")
+
+    def told(lines, fifth, seventh):
+        k = F.col("story")
+        rows = lines.groupBy("story").agg(F.max("at").alias("last_seen"))
+        return rows.withColumns({"status": F.when(k % 5 == 0, fifth).otherwise("REPORTED"), "headline": F.concat(F.when(k % 7 == 0, seventh).otherwise("story "), k.cast("string"))})
+
+    now = rebuild.story_prints(told(lines, "RUMOR", "report "), lines)
+    same = rebuild.story_prints(told(lines.repartition(7), "RUMOR", "report "), lines.repartition(5))
+    before = lines.filter("id <> 2")
+    old = rebuild.story_prints(told(before, "CONTESTED", "story "), before).withColumnRenamed("fingerprint", "old")
+    return now.join(same, ["story", "fingerprint"]).join(old, "story", "left").select("story", (~F.col("old").eqNullSafe(F.col("fingerprint"))).alias("changed"))
 
 
 @query(f"WITH {ITEMS_SQL} SELECT story, coalesce(sum(engagement), 0)::BIGINT AS engagement, count(*) AS posts FROM items WHERE kind = 'social' GROUP BY story")

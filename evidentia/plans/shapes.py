@@ -43,8 +43,6 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-
-
 def breaking_sql(hours: int = 8, relevance: int = 70) -> str:
     listed = ", ".join(repr(c) for c in BREAKING_CATEGORIES)
     return f"date_diff('second', first_seen, TIMESTAMP '{AS_OF}') / 3600.0 <= {hours} AND relevance >= {relevance} AND status IN ('CONFIRMED','REPORTED','DEVELOPING') AND category IN ({listed})"
@@ -96,12 +94,13 @@ scored AS (SELECT *, CASE WHEN official_confirmed AND NOT has_conflict THEN 'CON
   (CASE WHEN recent_families >= 3 THEN 6 WHEN recent_families = 2 THEN 3 ELSE 0 END + CASE WHEN recent_articles >= 4 THEN 4 ELSE 0 END + CASE WHEN recent_official > 0 THEN 3 ELSE 0 END
    + least(4, recent_posts) + CASE WHEN recent_press > 0 THEN 2 ELSE 0 END + CASE WHEN recent_engagement >= 50000 THEN 4 WHEN recent_engagement >= 5000 THEN 2 ELSE 0 END
    + CASE WHEN updates >= 4 THEN 2 ELSE 0 END)::DOUBLE AS trend_score FROM joined),
-stories AS (SELECT *, trend_score >= 10 AS is_trending, greatest(0.0, least(100.0,
-  CASE category WHEN 'cancellation' THEN 30 WHEN 'replacement' THEN 28 WHEN 'injury' THEN 26 WHEN 'fight_announcement' THEN 25 WHEN 'retirement' THEN 24 WHEN 'suspension' THEN 22 WHEN 'title' THEN 22
+pointed AS (SELECT *, trend_score >= 10 AS is_trending,
+  (CASE category WHEN 'cancellation' THEN 30 WHEN 'replacement' THEN 28 WHEN 'injury' THEN 26 WHEN 'fight_announcement' THEN 25 WHEN 'retirement' THEN 24 WHEN 'suspension' THEN 22 WHEN 'title' THEN 22
    WHEN 'ranking' THEN 16 WHEN 'result' THEN 16 WHEN 'event_change' THEN 18 WHEN 'business' THEN 14 WHEN 'controversy' THEN 16 WHEN 'fighter_statement' THEN 8 WHEN 'interview' THEN 4 WHEN 'promo' THEN 1 WHEN 'general' THEN 6 WHEN 'rumor' THEN 10 ELSE 5 END
   + least(16, independent_count * 6) + least(8, credible_articles * 2) + CASE WHEN official_confirmed THEN 8 ELSE 0 END + least(10, posts * 2 + credible_posts * 2)
   + CASE WHEN updates >= 2 THEN least(10, updates * 2) ELSE 0 END + CASE WHEN trend_score >= 10 THEN 6 ELSE 0 END
   + CASE WHEN date_diff('second', last_seen, TIMESTAMP '{AS_OF}') / 3600.0 <= 3 THEN 12 WHEN date_diff('second', last_seen, TIMESTAMP '{AS_OF}') / 3600.0 <= 12 THEN 8
      WHEN date_diff('second', last_seen, TIMESTAMP '{AS_OF}') / 3600.0 <= 36 THEN 4 WHEN date_diff('second', last_seen, TIMESTAMP '{AS_OF}') / 3600.0 > 96 THEN -6 ELSE 0 END
-  + CASE WHEN category IN ('promo','interview') THEN -8 ELSE 0 END + CASE WHEN speculation >= 0.67 THEN -4 ELSE 0 END))::DOUBLE AS relevance FROM scored)
+  + CASE WHEN category IN ('promo','interview') THEN -8 ELSE 0 END + CASE WHEN speculation >= 0.67 THEN -4 ELSE 0 END)::DOUBLE AS points FROM scored),
+stories AS (SELECT *, greatest(0.0, least(100.0, points))::DOUBLE AS relevance FROM pointed)
 """

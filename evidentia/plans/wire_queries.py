@@ -117,20 +117,27 @@ WORDS = f"list_distinct({toks('x')})"
 
 
 @query(
-    f"""WITH {ARTICLES}, p AS (SELECT id AS post, CASE WHEN id % 3 > 0 THEN [a, b] ELSE [] END AS pe, CASE WHEN id % 4 = 0 THEN ['UFC 312'] ELSE [] END AS pv, title AS x FROM art),
-s AS (SELECT n_nationkey AS story, CASE WHEN k % 3 > 0 THEN [{person_sql('k')}, {person_sql('k + 5')}] ELSE [] END AS se, CASE WHEN k % 3 = 1 THEN ['ufc  312'] ELSE [] END AS sv, {NATION_HEADS} AS head FROM (SELECT n_nationkey, n_nationkey AS k FROM nation)),
-p2 AS (SELECT *, {WORDS} AS pt, list_distinct(list_transform(pe, lambda e: {norm('e')})) AS pn FROM p), s2 AS (SELECT *, {WORDS} AS st, list_distinct(list_transform(se, lambda e: {norm('e')})) AS sn FROM (SELECT *, head || CASE WHEN len(se) > 0 THEN ' ' || array_to_string(se, ' ') ELSE '' END AS x FROM s)),
-c AS (SELECT post, story, pn, sn, CASE WHEN len(pn) = 0 OR len(sn) = 0 THEN 0 ELSE len(list_intersect(pn, sn)) / least(len(pn), len(sn)) END AS people, CASE WHEN len(pv) = 0 OR len(sv) = 0 THEN 0 ELSE 1 END AS event, len(list_intersect(pt, st)) AS shared, len(list_distinct(list_concat(pt, st))) AS either, len(pn) + len(sn) + len(pv) + len(sv) > 0 AS named FROM p2, s2),
-d AS (SELECT *, CASE WHEN named THEN 0.45::DOUBLE * people + 0.25::DOUBLE * event + 0.30::DOUBLE * (shared / greatest(either, 1)) ELSE 0.85::DOUBLE * (shared / greatest(either, 1)) END AS score FROM c WHERE NOT (len(pn) > 0 AND len(sn) > 0 AND people = 0) AND NOT (people = 0 AND event = 0 AND shared < 3)),
-r AS (SELECT *, row_number() OVER (PARTITION BY post ORDER BY round(score, 9) DESC, story) AS r FROM d WHERE score >= 0.34) SELECT post, story, round(score, 6)::DOUBLE AS score FROM r WHERE r = 1"""
+    f"""WITH {ARTICLES}, p AS (SELECT id AS post, t0, CASE WHEN id % 3 > 0 THEN [a, b] ELSE [] END AS pe, CASE WHEN id % 4 = 0 THEN ['UFC 312'] ELSE [] END AS pv, title AS x FROM art),
+s AS (SELECT id AS story, t0 + INTERVAL 7 HOURS AS t1, CASE WHEN id % 3 <> 1 THEN [a, b] ELSE [] END AS se, CASE WHEN id % 8 = 0 THEN ['ufc  312'] ELSE [] END AS sv, title AS head FROM art WHERE id % 2 = 0),
+p2 AS (SELECT *, {WORDS} AS pt, list_distinct(list_transform(pe, lambda e: {norm('e')})) AS pn FROM p),
+s2 AS (SELECT *, {WORDS} AS st, list_distinct(list_transform(se, lambda e: {norm('e')})) AS sn FROM (SELECT *, head || CASE WHEN len(se) > 0 THEN ' ' || array_to_string(se, ' ') ELSE '' END AS x FROM s)),
+c AS (SELECT post, story, pn, sn, CASE WHEN len(pn) = 0 OR len(sn) = 0 THEN 0 ELSE len(list_intersect(pn, sn)) / least(len(pn), len(sn)) END AS people,
+  CASE WHEN len(pv) = 0 OR len(sv) = 0 THEN 0 ELSE 1 END AS event, len(list_intersect(pt, st)) AS shared, len(list_distinct(list_concat(pt, st))) AS either, len(pn) + len(sn) + len(pv) + len(sv) > 0 AS named
+  FROM p2 JOIN s2 ON t1 BETWEEN t0 - INTERVAL 72 HOURS AND t0 + INTERVAL 48 HOURS),
+d AS (SELECT *, CASE WHEN named THEN 0.45::DOUBLE * people + 0.25::DOUBLE * event + 0.30::DOUBLE * (shared / greatest(either, 1)) ELSE 0.85::DOUBLE * (shared / greatest(either, 1)) END AS score
+  FROM c WHERE NOT (len(pn) > 0 AND len(sn) > 0 AND people = 0) AND NOT (people = 0 AND event = 0 AND shared < 3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY post ORDER BY round(score, 9) DESC, story) AS r FROM d WHERE score >= 0.34)
+SELECT post, story, round(score, 6)::DOUBLE AS score FROM r WHERE r = 1"""
 )
 def join_post_stories(spark, sf_dir):
-    """JOIN-7, WIN-1: every article as a post, linked to the stories of the nations."""
-    k, none = F.col("k"), F.array().cast("array<string>")
-    posts = newsroom.articles(spark, sf_dir).select(F.col("id").alias("post"), F.col("title").alias("text"), F.when(F.col("id") % 3 > 0, F.array("a", "b")).otherwise(none).alias("entities"), F.when(F.col("id") % 4 == 0, F.array(F.lit("UFC 312"))).otherwise(none).alias("events"))
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
-    pre, mid, post = (pick(k, [h[j] for h in newsroom.HEADLINES]) for j in range(3))
-    stories = n.select(k.alias("story"), F.concat(pre, person(k), mid, person(k + 5), post).alias("headline"), F.when(k % 3 > 0, F.array(person(k), person(k + 5))).otherwise(none).alias("entities"), F.when(k % 3 == 1, F.array(F.lit("ufc  312"))).otherwise(none).alias("events"))
+    """JOIN-7, WIN-1: every article as a post, linked to the stories of its days; every second article is a story."""
+    none, k = F.array().cast("array<string>"), F.col("id")
+    rows = newsroom.articles(spark, sf_dir)
+    posts = rows.select(k.alias("post"), "at", F.col("title").alias("text"), F.when(k % 3 > 0, F.array("a", "b")).otherwise(none).alias("entities"), F.when(k % 4 == 0, F.array(F.lit("UFC 312"))).otherwise(none).alias("events"))
+    stories = rows.filter(k % 2 == 0).select(
+        k.alias("story"), (F.col("at") + F.make_dt_interval(hours=F.lit(7))).alias("last_seen"), F.col("title").alias("headline"),
+        F.when(k % 3 != 1, F.array("a", "b")).otherwise(none).alias("entities"), F.when(k % 8 == 0, F.array(F.lit("ufc  312"))).otherwise(none).alias("events"),
+    )
     return matching.link_posts(posts, stories).select("post", "story", F.round("score", 6).alias("score"))
 
 
