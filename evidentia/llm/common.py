@@ -92,8 +92,8 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a sieve: a megabyte, whatever it holds.
-SIEVE_BITS = 1 << 23
+#: Bits of a sieve: 128 kilobytes, whatever it holds.
+SIEVE_BITS = 1 << 20
 
 
 def sieve(keys: DataFrame, key: str) -> DataFrame:
@@ -101,9 +101,9 @@ def sieve(keys: DataFrame, key: str) -> DataFrame:
     at = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
     bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
     words = keys.select(F.floor(at / 64).alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = words.toArrow()  # at most as many rows as the bitmap has words
     held = np.zeros(SIEVE_BITS // 64, np.int64)
-    for word, bits in words.collect():  # at most as many rows as the bitmap has words
-        held[word] = bits
+    held[found["word"].to_numpy()] = found["bits"].to_numpy()
     return keys.sparkSession.createDataFrame(pa.table({"sieve": pa.array([held], pa.list_(pa.int64()))}))
 
 

@@ -40,7 +40,7 @@ def test_a_sieve_loses_no_key(spark):
     rows = spark.range(200_000)
     kept = rows.filter(common.may_hold(common.sieve(keys, "k").scalar(), "id"))
     assert kept.join(keys, F.col("id") == F.col("k")).count() == keys.count()
-    assert kept.count() < 1.05 * keys.count()
+    assert kept.count() < 1.2 * keys.count()
     none = common.sieve(keys.limit(0), "k").scalar()
     assert rows.filter(common.may_hold(none, "id")).isEmpty()
 
