@@ -150,3 +150,14 @@ def words_pattern(terms: Iterable[str]) -> str:
 def any_of(text: Column, terms: Iterable[str]) -> Column:
     """Whether a normalised text contains any of the terms."""
     return reduce(lambda a, b: a | b, (text.contains(t) for t in terms), F.lit(False))
+
+
+#: What a word of a name goes on with, up to white space or a mark that ends a phrase.
+IN_NAME = r"[^\s,;:!?()\[\]<>\"“”/|]"
+#: A word that is written with a capital, and one of two letters or more.
+CAPITALISED, NAME_PART = rf"[A-Z]{IN_NAME}*", rf"[A-Z]{IN_NAME}+"
+
+
+def run_of(word: str, most: int) -> str:
+    """A pattern of one to so many such words in a row."""
+    return rf"{word}(?:\s+{word}){{0,{most - 1}}}"

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, normalize, words_pattern
+from ..functions.text import CAPITALISED, let, normalize, run_of, words_pattern
 from ..lexicons import CATEGORIES, CREDITS, DECISIVE, DENIAL, FUTURE_TERMS, INTENT_ORDER, INTENTS, OFFICIAL, OUTLETS, PRIORITY, RELIABLE, RESULT_VERBS, SPECULATION
 
 Lexicon = dict[str, list[str]]
@@ -78,13 +78,10 @@ def has_any(text: Column, terms: list[str]) -> Column:
     return F.exists(F.array(*(F.lit(plain(t)) for t in terms)), lambda x: text.contains(x))
 
 
-#: One word of a name, as it is written.
-NAME_WORD = r"[A-Z][\w.'-]*"
-
-
 def attributions(raw: Column, own: Column, outlets: list[str] = OUTLETS, most: int = 4) -> Column:
     """CLS-5: outlets credited by "according to X" and the like, in order, but for the article's own."""
-    credit = F.lit(rf"\b(?:{'|'.join(CREDITS)})\s+({NAME_WORD}(?: {NAME_WORD}){{0,3}})".replace(" ", r"\s+"))
+    phrases = "|".join(words.replace(" ", r"\s+") for words in CREDITS)
+    credit = F.lit(rf"\b(?:{phrases})\s+({run_of(CAPITALISED, 4)})")
     self_name = normalize(F.coalesce(own, F.lit("")))
     known = lambda s: F.coalesce(*(F.when(s.contains(plain(o)) & ~self_name.contains(plain(o)), F.lit(o)) for o in outlets))
     return F.slice(F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(raw, credit, 1), lambda s: known(normalize(s))))), 1, most)

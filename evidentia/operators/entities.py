@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, words_pattern
+from ..functions.text import NAME_PART, normalize, run_of, words_pattern
 from .classify import source_type
 
 #: Weight classes and title phrases.
@@ -82,13 +84,26 @@ def event_mentions(texts: DataFrame, events: DataFrame, most: int = 4) -> DataFr
     return rows.select("id", F.slice(every, 1, most).alias("events"))
 
 
-#: Up to four capitalised words.
-PERSON = r"[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,3}"
+#: Words between two names that say that they meet.
+AGAINST = ["vs", "vs.", "versus"]
 
 
 def _sides(text: Column) -> Column:
-    pattern = F.lit(rf"({PERSON})\s+(?:vs\.?|versus)\s+({PERSON})")
-    return F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("a"), F.regexp_extract_all(text, pattern, 2).alias("b"))
+    """(a, b) of every "A vs B": the text is cut at the words between, and of each two neighbouring pieces the
+    capitalised words that end the first and begin the second are the names.  What has been the second name
+    of a pair isn't the first of another."""
+    name = run_of(NAME_PART, 4)
+    pieces = F.split(text, rf"\s+(?:{'|'.join(re.escape(w) for w in reversed(AGAINST))})\s+")
+    start = F.struct(F.element_at(pieces, 1).alias("left"), F.array().cast("array<struct<a:string,b:string>>").alias("pairs"))
+
+    def step(held: Column, piece: Column) -> Column:
+        first, second = F.regexp_extract(held["left"], rf"({name})$", 1), F.regexp_extract(piece, rf"^({name})", 1)
+        met = (first != "") & (second != "")
+        rest = F.when(met, F.substr(piece, F.length(second) + 1)).otherwise(piece)
+        pair = F.array(F.struct(first.alias("a"), second.alias("b")))
+        return F.struct(rest.alias("left"), F.when(met, F.concat(held["pairs"], pair)).otherwise(held["pairs"]).alias("pairs"))
+
+    return F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step)["pairs"]).otherwise(start["pairs"])
 
 
 def find_matchups(text: Column) -> Column:

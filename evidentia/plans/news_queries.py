@@ -61,8 +61,8 @@ def pattern(terms: list[str]) -> str:
 
 
 def credits_sql(raw: str, own: str) -> str:
-    word = classify.NAME_WORD
-    said = rf"\b(?:{'|'.join(CREDITS)})\s+({word}(?:\s+{word}){{0,3}})".replace(" ", r"\s+").replace("'", "''")
+    phrases = "|".join(words.replace(" ", r"\s+") for words in CREDITS)
+    said = rf"\b(?:{phrases})\s+({text.run_of(text.CAPITALISED, 4)})".replace("'", "''")
     known = " ".join(f"WHEN contains({norm('x')}, '{classify.plain(o)}') AND NOT contains({norm(own)}, '{classify.plain(o)}') THEN {newsroom.text(o)}" for o in OUTLETS)
     return f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({raw}, '{said}', 1), lambda x: CASE {known} END), lambda x: x IS NOT NULL)))"
 

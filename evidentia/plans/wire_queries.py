@@ -37,7 +37,8 @@ def ent_events(spark, sf_dir):
 
 AMBIGUOUS = ["jones"]
 KNOWN_SQL = f"kn AS (SELECT i AS entity, {person_sql('i')} AS name FROM range({len(LAST)}) r(i)), kw AS (SELECT *, {norm('name')} AS whole, string_split({norm('name')}, ' ')[-1] AS last FROM kn)"
-VERSUS = rf"({entities.PERSON})\s+(?:vs\.?|versus)\s+({entities.PERSON})".replace("'", "''")
+NAMES = text.run_of(text.NAME_PART, 4)
+VERSUS = rf"({NAMES})\s+(?:vs\.?|versus)\s+({NAMES})".replace("'", "''")
 
 
 def side_sql(c: str) -> str:
@@ -143,12 +144,12 @@ def join_post_stories(spark, sf_dir):
 
 EVENT_NAMES = ["UFC 312", "Crypto.com UFC 312", "UFC Fight Night: Silva vs Costa 2", "ufc  fight night - Costa vs. Silva presented by Acme", "Gala Night", "UFC on ESPN", "", "UFC 2024"]
 EVENT_URLS = ["", "https://www.ufc.com/event/ufc-312", "https://www.ufc.com/event/UFC-fight-night-october-31-2026", "https://x.org/event/gala"]
-SPONSORED = "(?i)\\b(?:" + "|".join(s.replace(".", "\\.").replace(" ", "\\s+") for s in resolve.SPONSORS) + ")\\b"
+SPONSORED = resolve.sponsor_pattern().replace("'", "''")
 MONTH_SQL = "|".join(resolve.MONTHS)
-VERSUS_KEY = "(?i)([a-zÀ-ɏ''.-]+)\\s+vs\\.?\\s+([a-zÀ-ɏ''.-]+)(?:\\s+(\\d))?"
+VERSUS_KEY = "(?i)([^ ]+) vs[.]? ([^ ]+)(?: ([0-9])(?: |$))?"
 KEYS_SQL = f"""k0 AS (SELECT p_partkey AS id, {chosen('p_partkey', EVENT_NAMES)} AS name, {chosen(f'p_partkey // {len(EVENT_NAMES)}', EVENT_URLS)} AS url, CASE WHEN p_partkey % 3 > 0 THEN '2026-01-0' || (p_partkey % 7 + 1) END AS day, CASE WHEN p_partkey % 50 = 0 THEN 'E' || (p_partkey % 4) END AS official FROM part),
 k1 AS (SELECT *, trim(trim(regexp_replace(regexp_replace(regexp_replace(name, '{SPONSORED}', ' ', 'g'), '(?i)\\bpresented\\s+by\\b.*$', ' '), '\\s+', ' ', 'g')), ' :-') AS bare, nullif(lower(regexp_extract(url, '(?i)/event/([a-z0-9-]+)', 1)), '') AS slug FROM k0),
-k2 AS (SELECT *, coalesce(CASE WHEN try_cast(nullif(regexp_extract(bare, '(?i)\\bufc\\s*#?\\s*(\\d{{2,4}})\\b', 1), '') AS INTEGER) BETWEEN 1 AND 999 THEN regexp_extract(bare, '(?i)\\bufc\\s*#?\\s*(\\d{{2,4}})\\b', 1) END, nullif(regexp_extract(slug, '^ufc-(\\d{{2,4}})$', 1), '')) AS number,
+k2 AS (SELECT *, coalesce(CASE WHEN try_cast(nullif(regexp_extract({norm('bare')}, '(?:^| )ufc ?([0-9]{{2,4}})(?: |$)', 1), '') AS INTEGER) BETWEEN 1 AND 999 THEN regexp_extract({norm('bare')}, '(?:^| )ufc ?([0-9]{{2,4}})(?: |$)', 1) END, nullif(regexp_extract(slug, '^ufc-(\\d{{2,4}})$', 1), '')) AS number,
  regexp_matches(bare, '(?i)\\bufc\\s+(?:fight\\s+night|on\\s+(?:espn|abc|fox|fx))\\b') OR coalesce(starts_with(slug, 'ufc-fight-night'), false) AS night, {norm('bare')} AS plain FROM k1),
 k3 AS (SELECT *, number IS NULL AND night AS dated, CASE WHEN regexp_matches(slug, '({MONTH_SQL})-(\\d{{1,2}})-(\\d{{4}})') THEN '2026-10-31' ELSE day END AS shown FROM k2),
 ks AS (SELECT id, list_filter([CASE WHEN official IS NOT NULL THEN 'id:' || lower(official) END, 'number:' || number, CASE WHEN dated THEN 'night:' || shown END,
@@ -228,7 +229,7 @@ MEET = ["replaces", "steps in for", "will replace", "takes the place of", "met"]
 SAYS = "Bruno Adams " + "{v}" + " Carla Costa"
 CHANGED = f"""ch AS (SELECT id, a, b, title || '. ' || body || CASE WHEN id % 3 = 0 THEN ' Today ' || split_part(a, ' ', 2) || ' ' || {chosen('id // 3', MEET)} || ' ' || split_part(b, ' ', 2) || '.' ELSE '' END AS raw, category, CASE WHEN id % 5 > 0 THEN a END AS who FROM enriched),
 cn AS (SELECT *, {norm('raw')} AS n, nullif(rtrim(regexp_extract(raw, '{{said}}', 1), '.'), '') AS comes, nullif(rtrim(regexp_extract(raw, '{{said}}', 2), '.'), '') AS goes FROM ch)"""
-_NAME = rf"{classify.NAME_WORD}(?:\s+{classify.NAME_WORD}){{0,2}}".replace("'", "''")
+_NAME = text.run_of(text.CAPITALISED, 3).replace("'", "''")
 SAID = rf"({_NAME})\s+(?:will\s+)?(?:{'|'.join(v.replace(' ', chr(92) + 's+') for v in cards.STEPPING_IN)})\s+({_NAME})"
 
 
@@ -242,9 +243,9 @@ PAIRS_SQL = f"list_transform(list_zip(regexp_extract_all(raw, '{VERSUS}', 1), re
 @query(
     f"""WITH {ENRICHED}, {CHANGED.replace("{said}", SAID)}, cp AS (SELECT *, {PAIRS_SQL} AS ps, {first_of('n', cards.REASONS)} AS why, {first_of('n', cards.SEGMENTS)} AS segment, list_filter({listed(entities.WEIGHT_CLASSES)}, lambda c: contains(n, replace(c, '-', ' ')))[1] AS weight_class, {any_in('n', cards.TITLE_BOUT)} AS title_fight FROM cn),
 r AS (SELECT id, 'replacement' AS change_type, goes AS before_text, comes AS after_text, why AS reason, segment, weight_class, title_fight FROM cp WHERE {norm('comes')} <> {norm('goes')}
- UNION ALL SELECT id, 'cancellation', coalesce(ps[1], who), 'Bout reported off the card', why, segment, weight_class, title_fight FROM cp WHERE category = 'cancellation'
+ UNION ALL SELECT id, 'cancellation', coalesce(ps[1], who), 'Bout is off', why, segment, weight_class, title_fight FROM cp WHERE category = 'cancellation'
  UNION ALL SELECT id, 'new_fight', NULL, unnest(list_filter(ps, lambda x, i: list_position(ps, x) = i)[1:2]), NULL, segment, weight_class, title_fight FROM cp WHERE category = 'fight_announcement'
- UNION ALL SELECT id, 'cancellation', coalesce(ps[1], who), coalesce(who, 'Fighter') || ' reported out', coalesce(why, 'injury'), segment, weight_class, title_fight FROM cp WHERE category = 'injury' AND {any_in('n', cards.WITHDRAWAL)})
+ UNION ALL SELECT id, 'cancellation', coalesce(ps[1], who), coalesce(who, 'Fighter') || ' is out of the bout', coalesce(why, 'injury'), segment, weight_class, title_fight FROM cp WHERE category = 'injury' AND {any_in('n', cards.WITHDRAWAL)})
 SELECT * FROM r"""
 )
 def res_card_changes(spark, sf_dir):

@@ -334,10 +334,10 @@ def test_card_changes(spark):
     found = cards.detect_changes(spark.createDataFrame(rows, "id int, title string, body string, category string, entities array<string>"))
     assert sorted((r.id, r.change_type, r.before_text, r.after_text, r.reason) for r in found.collect()) == [
         (1, "replacement", "Conor McGregor", "Max Holloway", "injury"),
-        (2, "cancellation", "jon jones|tom aspinall", "Bout reported off the card", None),
+        (2, "cancellation", "jon jones|tom aspinall", "Bout is off", None),
         (3, "new_fight", None, "ann lee|sue ray", None),
         (3, "new_fight", None, "kim do|pat xu", None),
-        (5, "cancellation", "ann", "ann reported out", "injury"),
+        (5, "cancellation", "ann", "ann is out of the bout", "injury"),
     ]
     assert {r.id: r.segment for r in found.collect()}[1] == "co_main"
 
