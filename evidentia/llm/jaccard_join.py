@@ -366,7 +366,7 @@ class _Join:
         asked = members.unionByName(leaders).withColumn("sid", F.coalesce("member", "lead"))
         asked = materialise(asked.join(self.sets.select("sid", "key"), "sid").select("key", "lead", "part", "member"), "asked", rows=2 * n)
         wanted = self.rows.filter(may_hold(sieve(asked, "key").scalar(), "key"))
-        texts = wanted.join(asked, "key").select("lead", "part", "member", "text")
+        texts = wanted.join(asked.hint("merge"), "key").select("lead", "part", "member", "text")
         dealt = texts.repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("member").asc_nulls_first())
         return materialise(arrow_map(dealt, _verify(self.words, self.seed, self.similar), "a long, b long").distinct(), "links", rows=n)
 
@@ -458,5 +458,5 @@ def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     extra = materialise(members.select(number).join(first, number, "left_anti"), "extra")
     # most texts aren't dropped and stay where they are; those that the sieve can't tell meet the numbers by a shuffle
     doubtful = may_hold(sieve(extra, number).scalar(), number)
-    kept = rows.filter(~doubtful).unionByName(rows.filter(doubtful).join(extra, number, "left_anti"))
+    kept = rows.filter(~doubtful).unionByName(rows.filter(doubtful).join(extra.hint("merge"), number, "left_anti"))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
