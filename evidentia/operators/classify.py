@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,13 +48,6 @@ def score(title: Column, body: Column, terms: list[str]) -> Column:
     return let(F.struct(_padded(title).alias("t"), _padded(body).alias("b")), each)
 
 
-def matched(title: Column, body: Column, terms: list[str], most: int = 12) -> Column:
-    listed = F.arrays_zip(F.array(*map(F.lit, terms)).alias("term"), _sought(terms).alias("x"))
-    found = lambda both: F.filter(listed, lambda k: both["t"].contains(k["x"]) | both["b"].contains(k["x"]))
-    hits = let(F.struct(_padded(title).alias("t"), _padded(body).alias("b")), found)
-    return F.slice(F.array_sort(F.array_distinct(F.transform(hits, lambda k: k["term"]))), 1, most)
-
-
 def with_scores(rows: DataFrame, title: str, body: str, lexicon: Lexicon, prefix: str) -> DataFrame:
     """rows with a score column for every group of the lexicon."""
     return rows.withColumns({f"{prefix}{g}": score(F.col(title), F.col(body), terms) for g, terms in lexicon.items()})
@@ -67,17 +61,6 @@ def pick(prefix: str, priority: list[str], title: Column, lexicon: Lexicon, deci
     return F.coalesce(*firm, by_score)
 
 
-def speculation(text: Column, terms: list[str] = SPECULATION) -> Column:
-    """CLS-3"""
-    hits = let(_padded(text), lambda t: F.size(F.filter(_sought(terms), lambda x: t.contains(x))))
-    return F.round(F.least(F.lit(1.0), hits / 3), 3)
-
-
-def has_any(text: Column, terms: list[str]) -> Column:
-    """CLS-4"""
-    return F.exists(F.array(*(F.lit(plain(t)) for t in terms)), lambda x: text.contains(x))
-
-
 def attributions(raw: Column, own: Column, outlets: list[str] = OUTLETS, most: int = 4) -> Column:
     """CLS-5: outlets credited by "according to X" and the like, in order, but for the article's own."""
     phrases = "|".join(words.replace(" ", r"\s+") for words in CREDITS)
@@ -92,9 +75,10 @@ def is_promotional(category: Column) -> Column:
     return category.isin("promo", "interview")
 
 
-def intent(raw_title: Column, title: Column, body: Column, raw_body: Column, prefix: str, lexicon: Lexicon = INTENTS) -> Column:
-    """CLS-7: what an article is doing; a headline outranks a body, and nothing to come is a result."""
-    in_title = lambda g: has_term(title, lexicon[g])
+def intent(raw_title: Column, raw_body: Column, prefix: str, in_title: Callable[[str], Column]) -> Column:
+    """CLS-7: what an article is doing; a headline outranks a body, and nothing to come is a result.
+
+    in_title: whether a group of the intents has a term in the title."""
     done, coming = words_pattern(RESULT_VERBS), words_pattern(FUTURE_TERMS)
     results, verb, ahead = F.col(f"{prefix}RESULT") > 0, raw_title.rlike(done), raw_title.rlike(coming)
     best = F.greatest(*(F.col(f"{prefix}{g}") for g in INTENT_ORDER))
@@ -132,22 +116,105 @@ def reliability(kind: Column) -> Column:
     return F.coalesce(*(F.when(kind == k, F.lit(w)) for k, w in WEIGHTS.items()), F.lit(0.3))
 
 
-def enrich(articles: DataFrame, categories: Lexicon = CATEGORIES, priority: list[str] = PRIORITY, decisive: list[str] = DECISIVE) -> DataFrame:
-    """CLS-10: articles (title, body, source_name, source_type) with every CLS column.  One pass, no shuffle."""
-    rows = articles.withColumns({"title_n": normalize(F.col("title")), "body_n": normalize(F.col("body"))})
-    rows = rows.withColumn("text_n", F.concat_ws(" ", "title_n", "body_n"))
-    rows = with_scores(with_scores(rows, "title_n", "body_n", categories, "c_"), "title_n", "body_n", INTENTS, "i_")
-    t, b = F.col("title_n"), F.col("body_n")
-    rows = rows.withColumns(
+class Hits:
+    """All terms of several lexicons, looked up in one pass.
+
+    Every term carries the groups that it belongs to as bits of a number.  A row gets the array of the terms
+    that it has, with whether its title does; scores, flags, keywords and the terms behind a flag are read
+    from that short array instead of from the text.  Terms of the whole groups may run from the title into the body."""
+
+    def __init__(self, groups: Lexicon, whole: Lexicon) -> None:
+        self.bits = {g: 1 << k for k, g in enumerate([*groups, *whole])}
+        if len(self.bits) > 62:
+            raise ValueError("more than 62 groups")
+        masks: dict[tuple[str, str, bool], int] = {}
+        for names, far in ((groups, False), (whole, True)):
+            for g, terms in names.items():
+                for term in terms:
+                    t = plain(term)
+                    # short terms are whole words, but for official words and denials, which are parts of words too
+                    key = (term, f" {t} " if len(t) <= 4 and not g.startswith("~") else t, far)
+                    masks[key] = masks.get(key, 0) | self.bits[g]
+        rows = [(F.struct(F.lit(x).alias("x"), F.lit(term).alias("term"), F.lit(mask).cast("long").alias("mask")), far) for (term, x, far), mask in masks.items()]
+        self.near, self.far = (F.array(*(r for r, f in rows if f == far)) for far in (False, True))
+
+    def find(self, title: Column, body: Column) -> Column:
+        """array<(x, term, mask, t)>: one search for each term, in title and body with a mark between them that no term
+        has; only what is found is looked for in the title again."""
+        texts = F.array(F.concat_ws(" \u0001 ", F.concat(F.lit(" "), title), F.concat(body, F.lit(" "))), F.concat_ws(" ", F.lit(""), title, body, F.lit("")))
+        within = lambda terms, text: F.filter(terms, lambda k: text.contains(k["x"]))
+        found = F.flatten(F.transform(texts, lambda text, i: F.when(i == 0, within(self.near, text)).otherwise(within(self.far, text))))
+        return let(_padded(title), lambda t: F.transform(found, lambda k: F.struct(k["term"].alias("term"), k["mask"].alias("mask"), t.contains(k["x"]).alias("t"))))
+
+    def _of(self, group: str):
+        return lambda h: h["mask"].bitwiseAND(F.lit(self.bits[group])) != 0
+
+    def score(self, hits: Column, group: str) -> Column:
+        """CLS-1: 3 for a term in the title, else 1."""
+        of = self._of(group)
+        return F.aggregate(hits, F.lit(0), lambda n, h: n + F.when(of(h), F.when(h["t"], 3).otherwise(1)).otherwise(0))
+
+    def in_title(self, hits: Column, group: str) -> Column:
+        of = self._of(group)
+        return F.exists(hits, lambda h: of(h) & h["t"])
+
+    def matched(self, hits: Column, groups: list[str]) -> Column:
+        """The terms of these groups that a row has, each once."""
+        mask = F.lit(sum(self.bits[g] for g in groups)).cast("long")
+        return F.array_sort(F.array_distinct(F.transform(F.filter(hits, lambda h: h["mask"].bitwiseAND(mask) != 0), lambda h: h["term"])))
+
+    def count(self, hits: Column, group: str) -> Column:
+        return F.size(F.filter(hits, self._of(group)))
+
+
+def computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with these columns, each worked out once per row.  Projections on top of each other are merged, and
+    what several columns use would be worked out for each of them; a generator of one row isn't merged."""
+    made = F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in columns), made)
+
+
+def _article_hits(categories: Lexicon) -> Hits:
+    return Hits({f"c_{g}": t for g, t in categories.items()} | {f"i_{g}": t for g, t in INTENTS.items()}, {"speculation": SPECULATION, "~official": OFFICIAL, "~denial": DENIAL})
+
+
+def _picked(hits: Hits, found: Column, prefix: str, priority: list[str], decisive: list[str], none: str = "general") -> Column:
+    """CLS-2 from hits and score columns."""
+    best = F.greatest(*(F.col(f"{prefix}{g}") for g in priority), F.lit(0))
+    by_score = reduce(lambda c, g: c.when(F.col(f"{prefix}{g}") == best, g), priority, F.when(best == 0, F.lit(none)))
+    return F.coalesce(*(F.when(hits.in_title(found, f"{prefix}{g}"), F.lit(g)) for g in decisive), by_score)
+
+
+def _flags(hits: Hits, found: Column) -> dict[str, Column]:
+    """CLS-3, 4: how hedged, and official words and denials with the terms that show them."""
+    official, denial = hits.matched(found, ["~official"]), hits.matched(found, ["~denial"])
+    return {
+        "speculation_score": F.round(F.least(F.lit(1.0), hits.count(found, "speculation") / 3), 3),
+        "official_terms": official,
+        "denial_terms": denial,
+        "has_official_language": F.size(official) > 0,
+        "has_denial": F.size(denial) > 0,
+    }
+
+
+def enrich(articles: DataFrame, categories: Lexicon = CATEGORIES, priority: list[str] = PRIORITY, decisive: list[str] = DECISIVE, most: int = 15) -> DataFrame:
+    """CLS-10: articles (title, body, source_name, source_type) with every CLS column.  One pass, no shuffle.
+
+    Where articles have keywords of their own, these come first, and all are `most` at most."""
+    hits = _article_hits(categories)
+    found = F.col("hits__")
+    rows = computed(articles, {"hits__": hits.find(normalize(F.col("title")), normalize(F.col("body")))})
+    rows = computed(rows, {k: hits.score(found, k) for k in hits.bits if k[:2] in ("c_", "i_")})
+    own = F.slice(hits.matched(found, [f"c_{g}" for g in categories]), 1, 12)
+    rows = computed(
+        rows,
         {
-            "category_raw": pick("c_", priority, t, categories, decisive),
-            "keywords": matched(t, b, [x for g in categories.values() for x in g]),
-            "speculation_score": speculation(F.col("text_n")),
-            "has_official_language": has_any(F.col("text_n"), OFFICIAL),
-            "has_denial": has_any(F.col("text_n"), DENIAL),
+            "category_raw": _picked(hits, found, "c_", priority, decisive),
+            "keywords": F.slice(F.array_distinct(F.concat(F.coalesce("keywords", F.array().cast("array<string>")), own)), 1, most) if "keywords" in articles.columns else own,
+            **_flags(hits, found),
             "attribution_outlets": attributions(F.concat_ws(" ", "title", "body"), F.col("source_name")),
-            "intent": intent(F.col("title"), t, b, F.col("body"), "i_"),
-        }
+            "intent": intent(F.col("title"), F.col("body"), "i_", lambda g: hits.in_title(found, f"i_{g}")),
+        },
     )
     weak = (F.col("category_raw") == "result") & F.col("intent").isin("PREVIEW", "PREDICTION")
     rows = rows.withColumns(
@@ -158,26 +225,27 @@ def enrich(articles: DataFrame, categories: Lexicon = CATEGORIES, priority: list
             "may_establish_result": may_establish_result(F.col("intent"), F.col("source_type")),
         }
     )
-    return rows.drop("category_raw", "title_n", "body_n", "text_n", *(f"c_{g}" for g in categories), *(f"i_{g}" for g in INTENTS))
+    return rows.drop("category_raw", "hits__", *(f"c_{g}" for g in categories), *(f"i_{g}" for g in INTENTS))
 
 
 def enrich_posts(posts: DataFrame, categories: Lexicon = CATEGORIES, priority: list[str] = PRIORITY, decisive: list[str] = DECISIVE) -> DataFrame:
     """CLS-11: posts (text, username, account_type) with what they are about, how hedged, and who says it.
 
     account_type is that of JOIN-3; a post has a text and no headline, so its text counts as one."""
-    rows = posts.withColumns({"text_n": normalize(F.col("text")), "none_n": F.lit("")})
-    rows = with_scores(rows, "text_n", "none_n", categories, "c_")
-    t = F.col("text_n")
-    rows = rows.withColumns(
+    hits = Hits({f"c_{g}": t for g, t in categories.items()}, {"speculation": SPECULATION, "~official": OFFICIAL, "~denial": DENIAL})
+    found = F.col("hits__")
+    rows = computed(posts, {"hits__": hits.find(normalize(F.col("text")), F.lit(""))})
+    rows = computed(rows, {k: hits.score(found, k) for k in hits.bits if k.startswith("c_")})
+    rows = computed(
+        rows,
         {
             "account_type": source_type(F.col("account_type")),
-            "category": pick("c_", priority, t, categories, decisive),
-            "speculation_score": speculation(t),
-            "has_denial": has_any(t, DENIAL),
+            "category": _picked(hits, found, "c_", priority, decisive),
+            **_flags(hits, found),
             "attribution_outlets": attributions(F.col("text"), F.col("username")),
-        }
+        },
     )
-    return rows.withColumn("reliability_weight", reliability(F.col("account_type"))).drop("text_n", "none_n", *(f"c_{g}" for g in categories))
+    return rows.withColumn("reliability_weight", reliability(F.col("account_type"))).drop("hits__", *(f"c_{g}" for g in categories))
 
 
 def missing_details(category: Column, events: Column, text: Column) -> Column:

@@ -12,6 +12,7 @@ from ..config import EngineConfig
 from ..functions.text import any_of, normalize
 from ..functions.timefn import age_hours
 from ..lexicons import TITLE_TERMS
+from .matching import first_by
 
 CONFIG = EngineConfig()
 
@@ -119,15 +120,16 @@ def upsert_posts(old: DataFrame, new: DataFrame, key: list[str], metrics: list[s
 
 
 def append_timeline(log: DataFrame, new: DataFrame) -> DataFrame:
-    """SNK-3: entries of new that the log doesn't hold, each once per story."""
+    """SNK-3: entries of new that the log doesn't hold, each once per story; of those alike the first by their other columns."""
     key = F.sha1(F.concat_ws("|", "kind", F.col("occurred_at").cast("string"), "headline", "url"))
-    rows = new.withColumn("dedup_key", key).dropDuplicates(["story", "dedup_key"])
+    rows = first_by(new.withColumn("dedup_key", key), ["story", "dedup_key"], [F.col(c) for c in sorted(new.columns) if c != "story"])
     return rows.join(log.select("story", "dedup_key"), ["story", "dedup_key"], "left_anti")
 
 
 def append_snapshot(store: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """SNK-4: rows with a name whose key is not stored."""
-    return new.filter(F.trim("name") != "").dropDuplicates(key).join(store.select(*key), key, "left_anti")
+    """SNK-4: rows with a name whose key is not stored; of those with one key the first by their other columns."""
+    rest = [F.col(c) for c in sorted(new.columns) if c not in key] or [F.lit(1)]
+    return first_by(new.filter(F.trim("name") != ""), key, rest).join(store.select(*key), key, "left_anti")
 
 
 def merge_dimension(old: DataFrame, new: DataFrame, key: str, protected: list[str], overwrite: bool = False) -> DataFrame:

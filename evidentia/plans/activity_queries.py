@@ -61,6 +61,28 @@ def agg_rank_changes(spark, sf_dir):
     return resolve.rank_changes(snapshots(spark, sf_dir)).na.fill(-1, ["previous_position", "new_position", "positions_moved"])
 
 
+CHANGES_SQL = f"""{SNAPSHOTS_SQL}, ch AS (SELECT coalesce(a.division, b.division) AS division, coalesce(a.name, b.name) AS name, coalesce(a.y, b.y)::INTEGER AS ranking_date, b.position AS p, a.position AS n,
+ CASE WHEN b.name IS NULL THEN CASE WHEN a.champ THEN 'new_champion' ELSE 'new_entry' END WHEN a.name IS NULL THEN 'exit' WHEN a.champ <> b.champ THEN CASE WHEN a.champ THEN 'new_champion' ELSE 'champion_change' END
+  WHEN a.position < b.position THEN 'up' WHEN a.position > b.position THEN 'down' END AS change_type FROM cur a FULL JOIN prev b ON a.division = b.division AND a.name = b.name AND a.y = b.y)"""
+
+
+@query(
+    f"""WITH {CHANGES_SQL} SELECT division, name, ranking_date, CASE change_type WHEN 'new_entry' THEN name || ' enters the ' || division || ' rankings at #' || n WHEN 'exit' THEN name || ' drops out of the ' || division || ' rankings (was #' || p || ')'
+ WHEN 'new_champion' THEN name || ' is listed as ' || division || ' champion' WHEN 'champion_change' THEN name || ' is no longer listed as ' || division || ' champion'
+ ELSE name || ' moves ' || change_type || ' in ' || division || ': #' || p || ' -> #' || n END AS sentence FROM ch WHERE change_type IS NOT NULL"""
+)
+def agg_rank_sentences(spark, sf_dir):
+    """AGG-11: each movement in words."""
+    return resolve.rank_changes(snapshots(spark, sf_dir)).select("division", "name", "ranking_date", resolve.describe_change().alias("sentence"))
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT division, name, y::INTEGER AS ranking_date, position::INTEGER AS position, coalesce(lag(position) OVER (PARTITION BY division, name ORDER BY y), -1)::INTEGER AS previous_position FROM s")
+def win_rank_history(spark, sf_dir):
+    """WIN-3: every place of a name over the years with the one before it."""
+    found = resolve.rank_history(snapshots(spark, sf_dir))
+    return found.select("division", "name", "ranking_date", F.col("position").cast("int").alias("position"), F.coalesce("previous_position", F.lit(-1)).cast("int").alias("previous_position"))
+
+
 @query(f"WITH {SNAPSHOTS_SQL} SELECT name, max(y)::INTEGER AS as_of, last(position ORDER BY y)::INTEGER AS position FROM s GROUP BY name")
 def res_latest_rank(spark, sf_dir):
     return resolve.latest_rank(snapshots(spark, sf_dir)).select("name", "as_of", F.col("position").cast("int").alias("position"))

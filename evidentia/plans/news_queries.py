@@ -105,6 +105,22 @@ def cls_enrich(spark, sf_dir):
     )
 
 
+def said_terms(terms: list[str]) -> str:
+    each = ", ".join(f"CASE WHEN contains(x, '{classify.plain(t)}') THEN {newsroom.text(t)} END" for t in terms)
+    return f"array_to_string(list_sort(list_distinct(list_filter([{each}], lambda k: k IS NOT NULL))), '|')"
+
+
+@query(
+    f"""WITH {ENRICHED} SELECT id, {said_terms(OFFICIAL)} AS official_terms, {said_terms(DENIAL)} AS denial_terms,
+ array_to_string(list_concat(['Own ' || id % 3, 'injury'], list_filter(keywords, lambda k: k <> 'injury'))[1:15], '|') AS keywords FROM enriched"""
+)
+def cls_terms(spark, sf_dir):
+    """CLS-4, 10: the terms behind the flags, and keywords merged with the article's own."""
+    own = F.array(F.concat(F.lit("Own "), (F.col("id") % 3).cast("string")), F.lit("injury"))
+    rows = newsroom.articles(spark, sf_dir).withColumns({"title": text.clean_title(F.col("title")), "keywords": own})
+    return classify.enrich(rows).select("id", *(F.array_join(c, "|").alias(c) for c in ("official_terms", "denial_terms", "keywords")))
+
+
 ACCOUNTS = [("@espn ", "Trusted Journalist"), ("UFC", "OFFICIAL")]
 CLASSES = [("x_account", "fan blog", "FAN_ACCOUNT"), ("x_account", "espn", "UNKNOWN"), ("domain", "somebody", "OFFICIAL")]
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, clean_title, excerpt, normalize, strip_html, truncate
+from ..functions.text import clean_title, excerpt, normalize, strip_html, truncate
 from ..functions.timefn import parse_time
 
 FEED_SCHEMA = "title string, link string, guid string, pubDate string, updated string, creator string, description string, media_url string, category array<string>, source string"
@@ -100,7 +100,3 @@ def thin_articles(articles: DataFrame, as_of: Column, listed: list[str], most: i
 def newest_ids(rows: DataFrame, key: str, post_id: str = "post_id") -> DataFrame:
     """SRC-8: the largest id per query; ids compare by length, then text."""
     return rows.groupBy(key).agg(F.max(F.struct(F.length(post_id), F.col(post_id)))[post_id].alias("newest_id"))
-
-
-def clean_snippet(c: Column) -> Column:
-    return collapse(strip_html(c))
