@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm import exact_dedup, jaccard_join, packing, pii, quality
-from evidentia.llm.common import materialise
+from evidentia.llm.common import new_path, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
