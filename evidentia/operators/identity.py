@@ -91,7 +91,8 @@ def apply_corrections(stories: DataFrame, sources: DataFrame, links: DataFrame,
     * reclassify: a source's type, in any spelling, and its reliability (weight) between 0 and 1; null leaves it
     * detach: an article (value) leaves a story
 
-    Corrections count in the order of (at, id); each is told with the value that it found and the one that it left.
+    Corrections count in the order of (at, id), those with one id by value and weight; each is told with the value that
+    it found and the one that it left.
     One that can't be applied changes nothing and is told with the reason.  Corrections of one target are
     few, as people make them, so a window orders them."""
     c = corrections.withColumn("value", F.trim("value"))
@@ -111,23 +112,24 @@ def apply_corrections(stories: DataFrame, sources: DataFrame, links: DataFrame,
     typed = checked(of("reclassify"), sources, "source", F.concat_ws("|", "source_type", F.col("reliability").cast("string")), source_type(F.col("value")), F.when(F.col("value").isNull(), F.lit("no type")))
     pair = links.select(F.col("story").alias("target"), F.col("article").cast("string").alias("value"), F.lit(True).alias("linked")).distinct()
     cut = of("detach").join(pair, ["target", "value"], "left").withColumns({"before": F.col("value"), "after": none, "error": F.when(F.col("linked").isNull(), F.lit("no such link"))})
-    columns = ["id", "kind", "target", "before", "after", "weight", "reason", "at", "error"]
+    columns = ["id", "kind", "target", "value", "before", "after", "weight", "reason", "at", "error"]
     every = reduce(lambda a, b: a.unionByName(b), (x.select(*columns) for x in (moved, filed, typed, cut)))
     unknown = c.filter(~F.coalesce(F.col("kind").isin("reassign_event", "recategorise", "reclassify", "detach"), F.lit(False))).select("id", "kind", "target", F.lit("no such kind").alias("error"))
     good = every.filter(F.col("error").isNull())
     # an article leaves a story once; a second time there is no link left
-    again = F.row_number().over(Window.partitionBy("kind", "target", "before").orderBy("at", "id"))
+    order = ["at", "id", "value", "weight"]
+    again = F.row_number().over(Window.partitionBy("kind", "target", "before").orderBy(*order))
     good = good.withColumn("again", F.when(F.col("kind") == "detach", again).otherwise(1))
     repeated = good.filter("again > 1").select("id", "kind", "target", F.lit("no such link").alias("error"))
     good = good.filter("again = 1")
     # a source keeps its reliability where a correction gives none
-    steps = Window.partitionBy("kind", "target").orderBy("at", "id")
+    steps = Window.partitionBy("kind", "target").orderBy(*order)
     so_far = steps.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = F.coalesce(F.last(weight, ignorenulls=True).over(so_far), F.substring_index("before", "|", -1).try_cast("double"))
     good = good.withColumn("after", F.when(F.col("kind") == "reclassify", F.concat_ws("|", "after", held.cast("string"))).otherwise(F.col("after")))
     first = F.row_number().over(steps) == 1
     audit = good.withColumn("before", F.when(first | (F.col("kind") == "detach"), F.col("before")).otherwise(F.lag("after").over(steps)))
-    last = good.filter("kind <> 'detach'").groupBy("kind", "target").agg(F.max_by(F.struct("after"), F.struct("at", "id")).alias("l"))
+    last = good.filter("kind <> 'detach'").groupBy("kind", "target").agg(F.max_by(F.struct("after"), F.struct(*order)).alias("l"))
     fix = lambda kind, key: last.filter(F.col("kind") == kind).select(F.col("target").alias(key), F.col("l.after").alias("fixed"), F.lit(True).alias("hit"))
     hit = F.col("hit").isNotNull()
     done = stories.join(fix("reassign_event", "story"), "story", "left").withColumn("event", F.when(hit, F.col("fixed").try_cast(stories.schema["event"].dataType)).otherwise(F.col("event"))).drop("fixed", "hit")
