@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -92,55 +93,61 @@ def status_changes(observed: DataFrame, hours: int = EngineConfig.match_hours) -
     return rows.transformWithStateInPandas(StatusChanges(hours), CHANGES, "append", "EventTime")
 
 
-STATE, STATUS = "start timestamp, status string", "event long, at timestamp, status string"
+#: Parts of the lifecycle's state: events are dealt to them by their ids, so that a batch is some calls with many events, not
+#: one a call.  A prime, so that ids in steps of two or ten are spread too.
+SHARDS = 1021
+STATE, STATUS = "events array<bigint>, starts array<bigint>, statuses array<string>", "event long, micros long, status string"
 
 
-def _moved(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, hours: int, keep: int) -> Iterator[pd.DataFrame]:
-    """An event's state over its announcements (event, start, at), and what time makes of it with no new data.
+def _moved(batches: Iterator[pd.DataFrame], state: GroupState, hours: int, keep: int) -> Iterator[pd.DataFrame]:
+    """The state of a shard's events over their announcements (event, start, at: microseconds), and what time makes
+    of it with no new data.
 
     What comes due is told with the time at which it did, however late a batch or a timer brings it, so the
     entries don't depend on how the stream is cut."""
-    end, tick = pd.Timedelta(hours=hours), pd.Timedelta(milliseconds=1)
-    start, last = state.get if state.exists else (None, None)
-    mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+    hour, tick = 3_600_000_000, 1000
+    end, keep = hours * hour, keep * hour
+    held = {e: (start, last) for e, start, last in zip(*state.get, strict=True)} if state.exists else {}
+    mark = state.getCurrentWatermarkMs()
     rows = []
 
-    def tell(at: pd.Timestamp, status: str) -> str:
-        rows.append((key[0], at, status))
-        return status
-
-    def due(until: pd.Timestamp) -> str | None:
-        now = last
-        if now == "UPCOMING" and until >= start:
-            now = tell(start, "LIVE")
-        if now == "LIVE" and until > start + end:
-            now = tell(start + end, "UNKNOWN")
-        return now
-
-    if state.hasTimedOut:
-        last = due(mark)
-    else:
-        for row in pd.concat(list(batches)).sort_values("at", kind="stable").itertuples():
-            if last is not None:
-                last = due(row.at)
-            start = row.start
-            status = "UPCOMING" if row.at < start else "LIVE" if row.at <= start + end else "UNKNOWN"
+    def due(event: int, start: int, last: str, until: int) -> str:
+        if last == "UPCOMING" and until >= start:
+            last = "LIVE"
+            rows.append((event, start, last))
+        if last == "LIVE" and until > start + end:
+            last = "UNKNOWN"
+            rows.append((event, start + end, last))
+        return last
+
+    if not state.hasTimedOut:
+        told = pd.concat(list(batches)).sort_values("at_", kind="stable")
+        for event, start, at in zip(told["event"].tolist(), told["start_"].tolist(), told["at_"].tolist(), strict=True):
+            last = due(event, *held[event], at) if event in held else None
+            status = "UPCOMING" if at < start else "LIVE" if at <= start + end else "UNKNOWN"
             if status != last:
-                last = tell(row.at, status)
-    over = start + end + pd.Timedelta(hours=keep)
-    if last == "UNKNOWN" and mark > over:
-        state.remove()  # nothing more can come of it
+                rows.append((event, at, status))
+            held[event] = start, status
+    left, wake = [], []
+    for event, (start, last) in held.items():
+        last, over = due(event, start, last, mark * 1000), start + end + keep
+        if last != "UNKNOWN" or mark * 1000 <= over:  # else nothing more can come of it
+            left.append((event, start, last))
+            # the next time at which the status changes by itself, or at which the state may go
+            wake.append({"UPCOMING": start, "LIVE": start + end + tick}.get(last, over + tick))
+    if left:
+        state.update(tuple(map(list, zip(*left, strict=True))))
+        state.setTimeoutTimestamp(max(min(wake) // 1000, mark + 1))
     else:
-        state.update((start, last))
-        # the next time at which the status changes by itself, or at which the state may go
-        later = {"UPCOMING": start, "LIVE": start + end + tick}.get(last, over + tick)
-        state.setTimeoutTimestamp(max(int(later.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        state.remove()
     if rows:
-        yield pd.DataFrame(rows, columns=["event", "at", "status"])
+        yield pd.DataFrame(rows, columns=["event", "micros", "status"])
 
 
 def lifecycle(announcements: DataFrame, hours: int = EngineConfig.event_hours, keep: int = EngineConfig.match_hours) -> DataFrame:
     """STRM-7, 8: status changes (event, at, status) of announced events (event, start, at with a watermark):
     keyed state, and a timer for what comes due when nothing more is said.  The state goes when so many
     hours have passed since the event must have ended; what is announced after that counts as a new event."""
-    return announcements.groupBy("event").applyInPandasWithState(lambda k, b, s: _moved(k, b, s, hours, keep), STATUS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = announcements.select("event", "at", F.unix_micros("start").alias("start_"), F.unix_micros("at").alias("at_"), F.pmod("event", F.lit(SHARDS)).alias("shard"))
+    moved = rows.groupBy("shard").applyInPandasWithState(lambda _, b, s: _moved(b, s, hours, keep), STATUS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return moved.select("event", F.timestamp_micros("micros").alias("at"), "status")

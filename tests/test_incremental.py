@@ -180,6 +180,21 @@ def test_state_ends(spark, kind):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) in (None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
 
 
+def test_lifecycle_calls_are_shared(spark):
+    """Tens of thousands of events, each announced once, in two runs: a call for each event and timer would take minutes."""
+    began, folder, out = time.perf_counter(), new_folder(spark), new_folder(spark)
+    base = int(START.replace(tzinfo=dt.timezone.utc).timestamp())
+    for run in range(2):
+        at = F.timestamp_seconds(F.lit(base + run * 86_400) + F.col("id") % 3600)
+        made = spark.range(30_000).select((F.col("id") + run * 30_000).alias("event"), (at + F.make_dt_interval(hours=F.lit(2))).alias("start"), at.alias("at"))
+        made.write.mode("append").parquet(folder)
+        told = spark.readStream.schema(made.schema).parquet(folder).withWatermark("at", "1 hour")
+        found = sinks.appended(state.lifecycle(told), out)
+    counts = {(r.first_run, r.status): r["count"] for r in found.groupBy((F.col("event") < 30_000).alias("first_run"), "status").count().collect()}
+    assert counts == {(True, "UPCOMING"): 30_000, (True, "LIVE"): 30_000, (True, "UNKNOWN"): 30_000, (False, "UPCOMING"): 30_000}
+    assert time.perf_counter() - began < 60
+
+
 ARTICLE = "id long, at timestamp, title string, text string, entities array<string>, events array<string>, category string, has_denial boolean, url string"
 
 
