@@ -91,11 +91,12 @@ def strm_late(spark, sf_dir):
 SELECT user_id, epoch(h - to_hours(k))::BIGINT AS start, count(*) AS items, count(DISTINCT event_type) AS families FROM w GROUP BY ALL"""
 )
 def strm_trend(spark, sf_dir):
-    """STRM-3: twelve hours, every hour; a window that changes in several runs is merged by its key."""
+    """STRM-3: twelve hours, every hour, from hours that are merged by their key where they change in several runs."""
 
     def sink(rows, out):
-        found = s.trend_windows(rows.withWatermark("at", "72 hours"), "user_id", "event_type")
-        return sinks.merged(found.select("user_id", F.unix_seconds("window.start").alias("start"), "items", "families"), ["user_id", "start"], out)
+        found = s.trend_hours(rows.withWatermark("at", "72 hours"), "user_id", "event_type")
+        hours = sinks.merged(found, ["user_id", "start", "event_type"], out)
+        return s.sliding(hours, "user_id", "event_type").select("user_id", F.unix_seconds("start").alias("start"), "items", "families")
 
     return in_runs(spark, sf_dir, sink)
 

@@ -22,6 +22,24 @@ def event_time(stream: DataFrame, published: str, collected: str, delay: str = "
     return stream.withColumn("at", sanitise(F.col(published), F.col(collected), F.col(collected))).withWatermark("at", delay)
 
 
+def trend_hours(stream: DataFrame, key: str, family: str, slide: str = "1 hour") -> DataFrame:
+    """STRM-3: activity per story, stretch and family, of which `sliding` makes the windows.  A state for each
+    stretch, where sliding windows would have as many as a window has stretches."""
+    rows = stream.groupBy(F.window("at", slide).alias("w"), key, family).agg(F.count(F.lit(1)).alias("items"))
+    return rows.select(key, F.col("w.start").alias("start"), family, "items")
+
+
+def sliding(hours: DataFrame, key: str, family: str, length: str = "12 hours", slide: str = "1 hour") -> DataFrame:
+    """(key, start, items, families): the windows over what `trend_hours` counted, families exactly.  A story's stretches
+    are shuffled once, and its windows made where they are."""
+    width, step = (F.expr(f"timestampdiff(MICROSECOND, timestamp '1970-01-01', timestamp '1970-01-01' + interval {x})") for x in (length, slide))
+    at = F.unix_micros("start")
+    rows = hours.repartition(key).withColumn("start", F.explode(F.sequence(at - width + step, at, step)))
+    each = rows.groupBy(key, "start", family).agg(F.sum("items").alias("items"))
+    found = each.groupBy(key, "start").agg(F.sum("items").alias("items"), F.count(family).alias("families"))
+    return found.withColumn("start", F.timestamp_micros("start"))
+
+
 def trend_windows(stream: DataFrame, key: str, family: str, length: str = "12 hours", slide: str = "1 hour") -> DataFrame:
     """STRM-3: sliding activity per story; families by sketch, as exact distinct counts can't be kept."""
     return stream.groupBy(F.window("at", length, slide), key).agg(F.count(F.lit(1)).alias("items"), F.approx_count_distinct(family).alias("families"))
