@@ -77,6 +77,8 @@ def live_aliases(aliases: DataFrame, tombstones: DataFrame) -> DataFrame:
     return aliases.join(tombstones.select("event").distinct(), "event", "left_anti")
 
 
+#: Places that the corrections of one value are dealt to.
+SALTS = 64
 AUDIT = ["id", "kind", "target", "before", "after", "reason", "at"]
 
 
@@ -106,7 +108,13 @@ def apply_corrections(stories: DataFrame, sources: DataFrame, links: DataFrame,
         return found.withColumns({"error": F.when(F.col("known").isNull(), no_target).otherwise(wrong), "after": after})
 
     exists = events.select(F.col("event").cast("string").alias("value"), F.lit(True).alias("exists")).distinct()
-    moved = checked(of("reassign_event").withColumn("value", F.when(F.col("value").isNotNull(), F.coalesce(number.cast("string"), F.col("value")))).join(exists, "value", "left"), stories, "story", F.col("event").cast("string"), F.col("value"), F.when(F.col("value").isNotNull() & F.col("exists").isNull(), F.lit("no such event")))
+    named = of("reassign_event").withColumn("value", F.when(F.col("value").isNotNull(), F.coalesce(number.cast("string"), F.col("value"))))
+    # many corrections name one event, or none: those that name any are dealt by value and place
+    place = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    asked = named.filter(F.col("value").isNotNull()).withColumn("place", place)
+    there = asked.select("value", "place").distinct().join(exists, "value").select("value", "place", "exists")
+    named = asked.join(there, ["value", "place"], "left").drop("place").unionByName(named.filter(F.col("value").isNull()).withColumn("exists", F.lit(None).cast("boolean")))
+    moved = checked(named, stories, "story", F.col("event").cast("string"), F.col("value"), F.when(F.col("value").isNotNull() & F.col("exists").isNull(), F.lit("no such event")))
     filed = checked(of("recategorise"), stories, "story", F.col("category"), F.col("value"), F.when(~F.coalesce(F.col("value").isin(categories), F.lit(False)), F.lit("no such category")))
     weight = F.when(F.col("weight").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("weight"))))
     typed = checked(of("reclassify"), sources, "source", F.concat_ws("|", "source_type", F.col("reliability").cast("string")), source_type(F.col("value")), F.when(F.col("value").isNull(), F.lit("no type")))
