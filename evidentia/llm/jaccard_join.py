@@ -127,7 +127,7 @@ def _profile(words: int, seed: int):
 
 def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
-    unpack = zstandard.ZstdDecompressor().decompress
+    pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             gaps, counts = np.frombuffer(unpack(blob), np.uint32).reshape(2, -1)
@@ -136,7 +136,15 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[k][np.cumsum(gaps, dtype=np.int64)] += counts
     for k, part in total.items():
         level = np.where(part > 0, 1 + np.rint(4 * np.log2(np.maximum(part, 1).astype(np.float64))), 0).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "levels"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(level.tobytes())], pa.binary())], ["chunk", "levels"])
+
+
+def _unpacked(chunks: dict[int, bytes]) -> np.ndarray:
+    """The levels of all cells; chunks that hold nothing aren't sent."""
+    levels = np.zeros((CHUNKS, CELLS), np.uint8)
+    for k, blob in chunks.items():
+        levels[k] = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return levels.reshape(-1)
 
 
 def _ordered(s: np.ndarray, levels: np.ndarray, floor: int) -> np.ndarray:
@@ -153,7 +161,7 @@ def _need(n: np.ndarray | int, m: np.ndarray | int, similar: int):
 
 def _index(words: int, seed: int, sent, floor: int, partitions: int, similar: int, together: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen = sent.value, set()
+        levels, seen = _unpacked(sent.value), set()
         pack = zstandard.ZstdCompressor(level=1).compress
         held: list[tuple] = []
         postings = 0
@@ -325,10 +333,8 @@ class _Join:
             self.seed += 1
         self.total = total["n"]
         chunks = arrow_map(table.filter(F.col("chunk").isNotNull()).select("chunk", "sketch").repartition(CHUNKS, "chunk"), _sum_sketch, "chunk int, levels binary")
-        levels = np.zeros((CHUNKS, CELLS), np.uint8)
-        for row in chunks.collect():  # 2 ** SKETCH_BITS bytes, whatever the input
-            levels[row["chunk"]] = np.frombuffer(row["levels"], np.uint8)
-        self.levels = self.spark.sparkContext.broadcast(levels.reshape(-1))
+        # 2 ** SKETCH_BITS bytes at most, whatever the input; packed here, as only tasks look into them
+        self.levels = self.spark.sparkContext.broadcast({row["chunk"]: bytes(row["levels"]) for row in chunks.toLocalIterator()})
         mean = self.total / (1 << SKETCH_BITS)  # counts that stand out of it make an n-gram common
         self.floor = math.ceil(1 + 4 * math.log2(mean + 6 * math.sqrt(mean) + 4))
 
@@ -337,6 +343,7 @@ class _Join:
         postings = arrow_map(self.rows.select("text"), _index(self.words, self.seed, self.levels, self.floor, partitions, self.similar, LIST_POSTINGS), "p int, size int, postings binary")
         dealt = postings.repartition(partitions, "p").sortWithinPartitions("p")
         found = materialise(arrow_map(dealt, _pairs(self.similar, SHORT, BLOCK), "a long, b long, list long, block long, n long, pos long, central long"), "candidates")
+        self.levels.destroy()  # else the driver holds it until its collector finds it
         self.pairs = found.filter(F.col("list").isNull()).select("a", "b").distinct()
         self.lists = found.filter(F.col("list").isNotNull()).select("list", "block", F.col("a").alias("sid"), "n", "pos", "central")
 
@@ -393,15 +400,19 @@ class _Join:
         member = lambda k: side(placed.drop("central"), k).join(meet, ["list", f"block{k}"])
         return member(1).join(member(2), ["list", "block1", "block2"]).filter("if(block1 < block2, root1 <> root2, root1 < root2)")
 
+    def _open(self, members: DataFrame) -> DataFrame:
+        """Members of lists with their components, where a list has several; others are done and never looked at again."""
+        placed = members.join(self.labels.withColumnRenamed("v", "sid"), "sid", "left").select("list", "block", "sid", "n", "pos", "central", F.coalesce("root", "sid").alias("root"))
+        placed = materialise(placed, "placed")
+        apart = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        return placed.filter(may_hold(sieve(apart, "list").scalar(), "list"))
+
     def links(self) -> DataFrame:
         tried = materialise(self.likely(self.pairs), "pairs")
         links = self.verify(tried, tried.count())
-        final = False
-        while True:
-            self.labels = components(links)
-            if self.lists.isEmpty():
-                return links
-            placed = self.lists.join(self.labels.withColumnRenamed("v", "sid"), "sid", "left").select("list", "block", "sid", "n", "pos", "central", F.coalesce("root", "sid").alias("root"))
+        self.labels = components(links)
+        placed, final = self._open(self.lists), False
+        while not placed.isEmpty():
             more = self._across(placed) if final else self._leads(placed)
             # the bounds of size and position, as in the lists themselves
             t = self.similar
@@ -411,19 +422,18 @@ class _Join:
             more = more.filter(close).select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")).distinct()
             more = materialise(self.likely(more.join(tried, ["a", "b"], "left_anti")), "pairs")
             n = more.count()
-            if not n:
-                if final:
-                    return links
-                final = True
-                continue
-            new = self.verify(more, n)
-            tried = tried.unionByName(more)
-            links = links.unionByName(new)
-            if final:
-                # pairs of what is one component by now were only spared, not lost
+            new = self.verify(more, n) if n else None
+            if grown := new is not None and not new.isEmpty():
+                links = links.unionByName(new)
                 self.labels = components(links)
-                return links
-            final = new.isEmpty()
+            if final:
+                return links  # pairs of what is one component by now were only spared, not lost
+            if n:
+                tried = tried.unionByName(more)
+            if grown:
+                placed = self._open(placed.drop("root"))
+            final = not grown
+        return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:

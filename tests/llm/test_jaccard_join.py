@@ -115,3 +115,26 @@ def test_bitmaps_never_hide_a_link():
         assert bound >= len(np.intersect1d(a, b))
         told += 100 * bound < 75 * (len(a) + len(b) - bound)
     assert told > 100
+
+
+def test_sketch_reaches_the_driver_packed_and_settled_lists_are_left_alone(spark, monkeypatch):
+    """What the driver holds follows from what the sketch counted, and goes before the rounds; components are found anew
+    only where links were, and lists of one component aren't looked at again."""
+    found = []
+    real = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda links: found.append(links.count()) or real(links))
+    copies = [(k, " ".join(f"w{i}" for i in range(60)) + f" x{k}") for k in range(20)]
+    # four of five windows in common with the others of their kind: one list, and nothing is alike by three quarters
+    apart = [(100 + k, f"a b c d e f g h y{k}") for k in range(12)]
+    join = jaccard_join._Join(spark.createDataFrame(copies + apart, "doc_id long, text string").repartition(3), "doc_id", "text", 5, 75)
+    join.profile()
+    assert sum(map(len, join.levels.value.values())) < (1 << jaccard_join.SKETCH_BITS) // 100
+    join.candidates()
+    with pytest.raises(Exception, match="destroyed"):
+        join.spark.sparkContext.parallelize([0]).map(lambda _, sent=join.levels: sent.value).collect()
+    members, shared = join.lists.count(), set()
+    leads = jaccard_join._Join._leads
+    monkeypatch.setattr(jaccard_join._Join, "_leads", lambda self, placed: shared.add(placed.count()) or leads(self, placed))
+    links = join.links()
+    assert links.count() >= 19 and join.labels.select("root").distinct().count() == 1
+    assert len(found) == 1 and shared == {12} and members > 200
