@@ -406,3 +406,14 @@ def test_posts_and_stories_meet_without_the_driver(spark, sf_dir):
     from evidentia.plans import QUERIES
 
     assert "BroadcastExchange" not in QUERIES["join_post_stories"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_meet_words_without_a_row_function(spark):
+    """ENT-2, JOIN-11: names that begin alike, at the end of a text and beyond it; no function is called for each run of words."""
+    texts = spark.createDataFrame([(1, "The one two, the one"), (2, "two"), (3, ""), (4, None), (5, "one the one two three")], "id long, text string")
+    phrases = spark.createDataFrame([("one", "a"), ("one two", "b"), ("one two three", "c"), ("two", "d"), ("the one", "e")], "phrase string, entity string")
+    found = entities.phrase_hits(texts, phrases)
+    got = sorted((r.id, r.pos, r.entity) for r in found.collect())
+    assert got == [(1, 1, "e"), (1, 2, "a"), (1, 2, "b"), (1, 3, "d"), (1, 4, "e"), (1, 5, "a"), (2, 1, "d"), (5, 1, "a"), (5, 2, "e"), (5, 3, "a"), (5, 3, "b"), (5, 3, "c"), (5, 4, "d")]
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert entities.phrase_hits(texts, phrases.filter("false")).collect() == []
