@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import EngineConfig
@@ -30,72 +29,109 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-CHANGES = "story long, at timestamp, before string, after string, recent int"
-
-
-class StatusChanges(StatefulProcessor):
-    """STRM-7, RES-13: entries of a story's timeline where its status differs from the one before.
-
-    State: the last status with its time, and the times of the story's updates within the last hours.
-    Both are dropped by a timer when the story has been silent for that long: a later update starts
-    anew, without an entry.  The timer counts event time, so a replay of old data gives the same entries
-    (Spark's own time to live counts processing time)."""
-
-    def __init__(self, hours: int) -> None:
-        self.hours = hours
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "status string, at timestamp")
-        self.recent = handle.getListState("recent", "at timestamp")
-
-    def _forget(self) -> None:
-        self.last.clear()
-        self.recent.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        told = pd.concat(list(rows)).sort_values(["at", "status"], kind="stable")
-        keep = dt.timedelta(hours=self.hours)
-        status, at = self.last.get() if self.last.exists() else (None, None)
-        times = [r[0] for r in self.recent.get()] if self.recent.exists() else []
-        out = []
-        for row in told.itertuples():
-            now = row.at.to_pydatetime()
-            if at is not None and now - at > keep:
-                status, times = None, []
-            times = [t for t in times if now - t <= keep] + [now]
-            if status is not None and status != row.status:
-                out.append((key[0], now, status, row.status, len(times)))
-            status, at = row.status, now if at is None else max(at, now)
-        self._forget()
-        self.last.update((status, at))
-        self.recent.put([(t,) for t in times])
-        ends = int((at + keep).replace(tzinfo=dt.timezone.utc).timestamp() * 1000) + 1 if at.tzinfo is None else int((at + keep).timestamp() * 1000) + 1
-        self.handle.registerTimer(max(ends, timerValues.getCurrentWatermarkInMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self._forget()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+#: Parts of the state: events and stories are dealt to them by their ids, so that a batch is some calls with many of them, not
+#: one a call.  A prime, so that ids in steps of two or ten are spread too.
+SHARDS = 1021
+HELD, CHANGES = "rows binary, statuses array<string>", "story long, micros long, before string, after string, recent int"
+#: A story without an id.
+NO_STORY = -(1 << 63)
+
+
+def _one_by_one(at: np.ndarray, code: np.ndarray, fresh: np.ndarray, keep: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(place, recent) of the entries of a story whose updates aren't in order, and the places that stay."""
+    last, times, found = None, [], []
+    for k, now in enumerate(at.tolist()):
+        if not fresh[k]:
+            last = now if last is None else max(last, now)
+            times.append(k)
+            continue
+        alone = last is None or now - last > keep
+        times = [] if alone else [t for t in times if now - at[t] <= keep]
+        times.append(k)
+        if not alone and code[k - 1] >= 0 and code[k - 1] != code[k]:
+            found.append((k, len(times)))
+        last = now if last is None else max(last, now)
+    return found, times
+
+
+def _changed(batches: Iterator[pd.DataFrame], state: GroupState, keep: int) -> Iterator[pd.DataFrame]:
+    """The entries of a shard's stories over their updates (story_, at_: microseconds, status), by arrays.
+
+    State: the updates of each story within so many microseconds of its last, in their order; the last one has its status.
+    What is older than that counts for nothing, so when it goes changes no entry."""
+    mark = state.getCurrentWatermarkMs()
+    story, at, code, names = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    if state.exists:
+        blob, names = state.get
+        story, at, code = np.frombuffer(blob, np.int64).reshape(3, -1)
+        names = list(names)
+    fresh = np.zeros(len(story), bool)
+    if not state.hasTimedOut:
+        told = pd.concat(list(batches))
+        status = told["status"].astype(object).where(told["status"].notna(), None)
+        every = sorted(set(names) | {x for x in status.unique() if x is not None})
+        place = {x: k for k, x in enumerate(every)}
+        code = np.array([place[x] for x in names] + [-1], np.int64)[code]
+        names, new = every, status.map(place).fillna(len(every)).to_numpy(np.int64)
+        order = np.lexsort((new, told["at_"].to_numpy(), told["story_"].to_numpy()))
+        new[new == len(every)] = -1
+        parts = ((story, told["story_"].to_numpy()), (at, told["at_"].to_numpy()), (code, new), (fresh, np.ones(len(new), bool)))
+        story, at, code, fresh = (np.concatenate([held, came[order]]) for held, came in parts)
+        order = np.argsort(story, kind="stable")
+        story, at, code, fresh = (x[order] for x in (story, at, code, fresh))
+    first = np.r_[True, story[1:] != story[:-1]] if len(story) else np.zeros(0, bool)
+    starts, rank = np.flatnonzero(first), np.cumsum(first) - 1
+    ends = np.r_[starts[1:], len(story)] - 1 if len(starts) else starts
+    gap = np.diff(at, prepend=at[:1])
+    odd = np.zeros(len(starts), bool)
+    odd[rank[~first & (gap < 0)]] = True
+    span = int(at.max() - at.min()) + keep + 1 if len(at) else 1
+    if len(starts) * span >= 1 << 62:
+        odd[:] = True
+    stays, low = np.zeros(len(story), bool), np.zeros(len(story), np.int64)
+    if len(starts) and not odd.all():
+        even = ~odd[rank]
+        where = np.flatnonzero(even)
+        line = rank[even] * span + (at[even] - at.min())
+        low[where] = where[np.searchsorted(line, np.maximum(line - keep, rank[even] * span))]
+        stays[where] = at[where] >= at[ends[rank[where]]] - keep
+    changed = fresh & ~first & (gap <= keep) & ~odd[rank]
+    changed[1:] &= (code[:-1] >= 0) & (code[:-1] != code[1:])
+    at_place = np.flatnonzero(changed)
+    recent = at_place - low[at_place] + 1
+    more = []
+    for k in np.flatnonzero(odd).tolist():
+        s, e = starts[k], ends[k] + 1
+        found, times = _one_by_one(at[s:e], code[s:e], fresh[s:e], keep)
+        more += [(s + i, n) for i, n in found]
+        stays[s + np.array(times, np.int64)] = True
+    if more:
+        at_place, recent = np.r_[at_place, [i for i, _ in more]], np.r_[recent, [n for _, n in more]]
+    latest = np.maximum.reduceat(at, starts) if len(starts) else at
+    stays &= (latest + keep >= mark * 1000)[rank]
+    if stays.any():
+        state.update((np.stack([story[stays], at[stays], code[stays]]).tobytes(), names))
+        state.setTimeoutTimestamp(max(int(latest[rank[stays]].min() + keep) // 1000 + 1, mark + 1))
+    else:
+        state.remove()
+    if len(at_place):
+        named = np.array([*names, None], object)
+        yield pd.DataFrame({"story": story[at_place], "micros": at[at_place], "before": named[code[at_place - 1]], "after": named[code[at_place]], "recent": recent.astype(np.int32)})
 
 
 def status_changes(observed: DataFrame, hours: int = EngineConfig.match_hours) -> DataFrame:
-    """(story, at, before, after, recent): where a story's status changed, and its updates in so many hours up to then.
+    """STRM-7, RES-13: (story, at, before, after, recent): where a story's status changed, and its updates in so many hours
+    up to then.  A story that was silent for longer begins anew, without an entry; its state goes by a timer of event
+    time, so a replay of old data gives the same entries (Spark's own time to live counts processing time).
 
     observed: (story, at, status) with a watermark on at.  Start the query inside `rocksdb`."""
-    rows = observed.select("story", "at", "status").groupBy("story")
-    return rows.transformWithStateInPandas(StatusChanges(hours), CHANGES, "append", "EventTime")
+    keep = hours * 3_600_000_000
+    rows = observed.select("at", "status", F.coalesce("story", F.lit(NO_STORY)).alias("story_"), F.unix_micros("at").alias("at_"))
+    dealt = rows.withColumn("shard", F.pmod("story_", F.lit(SHARDS))).groupBy("shard")
+    found = dealt.applyInPandasWithState(lambda _, b, s: _changed(b, s, keep), CHANGES, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.nullif("story", F.lit(NO_STORY)).alias("story"), F.timestamp_micros("micros").alias("at"), "before", "after", "recent")
 
 
-#: Parts of the lifecycle's state: events are dealt to them by their ids, so that a batch is some calls with many events, not
-#: one a call.  A prime, so that ids in steps of two or ten are spread too.
-SHARDS = 1021
 STATE, STATUS = "events array<bigint>, starts array<bigint>, statuses array<string>", "event long, micros long, status string"
 
 

@@ -7,6 +7,7 @@ import re
 import time
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,3 +313,50 @@ def test_corrections_of_one_event_are_dealt(spark, sf_dir):
     planned = plans.QUERIES["res_rejected_corrections"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in planned.split("\n") if "Join LeftOuter" in line and "value#" in line and "target#" not in line]
     assert joins and all("place#" in line for line in joins)
+
+
+class Held:
+    """A group's state in memory."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.mark, self.wake = None, False, False, 0, None
+
+    def getCurrentWatermarkMs(self):  # noqa: N802
+        return self.mark
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutTimestamp(self, at):  # noqa: N802
+        self.wake = at
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+
+@pytest.mark.parametrize("disorder", [0, 40])
+def test_status_changes_of_many_stories_in_one_call(disorder):
+    """Many stories share a call and a state, in any cut and somewhat out of order: the entries that each has by itself."""
+    hour, keep, rng = 3_600_000_000, 6 * 3_600_000_000, random.Random(9)
+    rows = sorted((k * hour // 40 + rng.randint(0, hour), rng.randint(0, 30), rng.choice(["A", "B", None, "C"])) for k in range(3000))
+    cuts = [rows[i : i + 500] for i in range(0, 3000, 500)]
+    for a, b in zip(cuts, cuts[1:], strict=False):  # the last of a batch come with the next
+        b[:0], a[len(a) - disorder :] = a[len(a) - disorder :], []
+        rng.shuffle(b)
+    want, told = [], {}
+    got, held = [], Held()
+    for part in cuts:
+        for at, story, status in sorted(part, key=lambda r: (r[0], r[2] is None, r[2] or "")):
+            last, before, times = told.get(story, (None, None, []))
+            if last is not None and at - last > keep:
+                before, times = None, []
+            times = [t for t in times if at - t <= keep] + [at]
+            if before is not None and before != status:
+                want.append((story, at, before, status, len(times)))
+            told[story] = (at if last is None else max(at, last), status, times)
+        frame = pd.DataFrame({"story_": [r[1] for r in part], "at_": [r[0] for r in part], "status": [r[2] for r in part]})
+        for found in state._changed(iter([frame]), held, keep):
+            got += [(*r[:3], r[3], r[4]) for r in found.itertuples(index=False, name=None)]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 500
+    held.hasTimedOut, held.mark = True, rows[-1][0] // 1000 + keep // 1000 + 2
+    assert list(state._changed(iter([]), held, keep)) == [] and not held.exists
