@@ -63,3 +63,22 @@ def test_a_pair_costs_no_row_for_each_word_in_common(spark):
     vectors = keep(articles.select("id", F.array().cast("array<bigint>").alias("heads")).join(likeness.unit_vectors(matching.grams_of(articles), keep), "id"))
     plan = likeness.near_pairs(vectors, articles.select("id", "at"), 72, 0.02)
     assert plan.count() == sum(min(72, k) for k in range(300))
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8])
+def test_alike_are_all_pairs_whatever_their_times(spark, least):
+    """Near copies, chance words in common, empty texts: the pairs and cosines of brute force, from few that move their vectors."""
+    rng = random.Random(7)
+    bases = [[f"w{min(rng.randint(0, 400), rng.randint(0, 400))}" for _ in range(rng.randint(1, 60))] for _ in range(25)]
+    rows = [(0, START, "", "")]
+    for k in range(1, 200):
+        words = [f"w{rng.randint(0, 400)}" if rng.random() < 0.08 else w for w in rng.choice(bases)]
+        rows.append((k, START, "", " ".join(words)))
+    articles = spark.createDataFrame(rows, "id long, at timestamp, title string, text string").repartition(3)
+    moved = []
+    vectors = keep(likeness.unit_vectors(matching.grams_of(articles), keep, counts=True))
+    found = likeness.alike(vectors, lambda df: moved.append(keep(df)) or moved[-1], least).collect()
+    got = {(r.a, r.b): round(r.similarity, 9) for r in found if r.similarity >= least}
+    want = {k: content for k, (content, _) in brute(rows, 1, least).items()}
+    assert len(got) > 100 and got == want
+    assert moved[-1].columns == ["a", "b"] and moved[-1].count() < 199 * 198 / 4
